@@ -19,3 +19,9 @@ def modulate_options(metrics: DataFrame, connections: DataFrame, options: DataFr
         F.col("lo"), F.col("value") + F.col("_t") * (F.col("hi") - F.col("lo"))))
     stepped = F.when(F.col("step") > 0, F.floor(moved / F.col("step") + 0.5) * F.col("step")).otherwise(moved)
     return total.join(options, "target").select(*keys, "target", F.round(stepped, 6).alias("value"))
+
+
+def match_themes(lists: DataFrame, themes: DataFrame) -> DataFrame:
+    """Equi-join on the canonical text of the colour list."""
+    return (lists.withColumn("_k", F.to_json("colors"))
+            .join(themes.select("theme", F.to_json("colors").alias("_k")), "_k").drop("_k"))

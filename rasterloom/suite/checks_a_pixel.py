@@ -217,7 +217,7 @@ _bands = [(230, 60, 50), (240, 200, 60), (80, 200, 90), (60, 180, 220), (70, 80,
 
 
 def _pm(k):
-    band = "least(5, floor((h - 25 - floor((h - 25) / 360.0) * 360.0) / 360.0 * 6.0))"
+    band = "least(5, floor((h - 23.7183 - floor((h - 23.7183) / 360.0) * 360.0) / 360.0 * 6.0))"
 
     def tgt(j):
         return "(case " + " ".join(f"when {band} = {i} then {c[j]} / 255.0" for i, c in enumerate(_bands)) + " end)"
@@ -229,7 +229,7 @@ def _pm(k):
 
 on_carrier("palette_mapper_by_hue_bands", P.palette_mapper,
            carrier_sql(*[_pm(k) for k in range(3)], pre=HSV),
-           bands=_bands, hueOffset=25, saturationBoost=1.1)
+           bands=_bands, hueOffset=23.7183, saturationBoost=1.1)
 _dist = "sqrt(pow((x / 8.0 - 0.5) * 2.0, 2) + pow((y / 8.0 - 0.5) * 2.0, 2))"
 on_raster("vignette", P.vignette, raster_sql(*each(
     FU(f"{{c}} / 255.0 * (1.0 - {SMOOTH('0.8 - 0.4', '0.8 + 0.4', _dist)} * 0.5)"))), width=8, height=8)
