@@ -42,6 +42,14 @@ def u8(x: Column) -> Column:
     return jr(clamp(0, 255, x))
 
 
+def u8_soft(x: Column) -> Column:
+    """`u8` for values that went through a recurrence or a long float sum.
+
+    The tolerance keeps exact halves on the upper side whatever the last bits are.
+    """
+    return u8(x + F.lit(1e-9))
+
+
 def unit(c) -> Column:
     return col(c) / F.lit(255.0)
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.functions import color as C
 
@@ -20,9 +21,8 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
                 outputs: dict[str, str], step: Callable) -> DataFrame:
     """Add `outputs` (name -> type) by `state, values = step(state, *inputs)`; state starts as None."""
     names = list(outputs)
-    schema = df.schema
-    for n, t in outputs.items():
-        schema = schema.add(n, t)
+    schema = StructType(df.schema.fields + StructType.fromDDL(
+        ", ".join(f"{n} {t}" for n, t in outputs.items())).fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -50,7 +50,7 @@ def additive_exposure(df: DataFrame, *, decay=0.05, brightnessThreshold=30.0) ->
         return state, state
     d = fold_sorted(df, ["clip_id", "x", "y"], ["frame"], ["r", "g", "b"],
                     {"_yr": "double", "_yg": "double", "_yb": "double"}, step)
-    return d.withColumns({c: C.u8(F.col(f"_y{c}")) for c in C.RGB}).drop("_yr", "_yg", "_yb")
+    return d.withColumns({c: C.u8_soft(F.col(f"_y{c}")) for c in C.RGB}).drop("_yr", "_yg", "_yb")
 
 
 def poster_hold(df: DataFrame, *, levels=5, holdThreshold=18.0, releaseSpeed=0.25) -> DataFrame:

@@ -84,7 +84,7 @@ def decayed_max(df: DataFrame, terms: dict[str, tuple[Column, float]], *, keys=P
 def leaky_mean(df: DataFrame, cols=C.RGB, *, retain: float, keys=PIXEL, chunk=CHUNK) -> DataFrame:
     """`y = retain * y_prev + (1 - retain) * x`, seeded by the first frame."""
     d = with_ema(df, cols, alpha=1.0 - retain, keys=keys, chunk=chunk, prefix="_y_", shifted=False)
-    return d.withColumns({c: C.u8(F.col(f"_y_{c}")) for c in cols}).drop(*[f"_y_{c}" for c in cols])
+    return d.withColumns({c: C.u8_soft(F.col(f"_y_{c}")) for c in cols}).drop(*[f"_y_{c}" for c in cols])
 
 
 def delayed(df: DataFrame, offset: Column, *, keys=PIXEL, cols=C.RGB) -> DataFrame:
@@ -151,8 +151,8 @@ def motion_analysis(df: DataFrame, *, source="EMA", renderMode="MASK", threshold
         shown = [F.lit(64.0) + F.col("_diff") * 3.0] * 3
     cols = {}
     for c, e, bg in zip(C.RGB, shown, backgroundColor):
-        cols[c] = (F.when(first, C.u8(F.col(c) * 0.3))
-                   .when(F.col("_diff") < float(threshold), F.lit(int(bg))).otherwise(C.u8(e)))
+        cols[c] = (F.when(first, C.u8_soft(F.col(c) * 0.3))
+                   .when(F.col("_diff") < float(threshold), F.lit(int(bg))).otherwise(C.u8_soft(e)))
     return d.withColumns(cols).drop("_diff", "_m", "_ref_r", "_ref_g", "_ref_b")
 
 
@@ -191,9 +191,9 @@ def scene_separation(df: DataFrame, *, mode="FOREGROUND", threshold=20.0, feathe
             v = x * mv + x * 0.2 * st
         else:
             v = x * mv + F.lit(float(bg)) * st
-        cols[c] = F.when(F.col("_e_r").isNull(), x).otherwise(C.u8(v))
+        cols[c] = F.when(F.col("_e_r").isNull(), x).otherwise(C.u8_soft(v))
     if mode == "FOREGROUND" and background == "TRANSPARENT":
-        cols["a"] = F.when(F.col("_e_r").isNull(), 255).otherwise(C.jr(mv * 255.0))
+        cols["a"] = F.when(F.col("_e_r").isNull(), 255).otherwise(C.jr(mv * 255.0 + 1e-9))
     return d.withColumns(cols).select(*df.columns)
 
 
@@ -201,7 +201,7 @@ def foreground_rows(df: DataFrame, *, threshold=20.0, feather=5.0, chunk=CHUNK)
     """Only the rows that are mostly moving."""
     d = with_ema(df, chunk=chunk, prefix="_e_").withColumn("_diff", _mean_diff("", "_e_"))
     mv = C.smoothstep(max(0.0, threshold - feather), threshold + feather, F.col("_diff"))
-    return d.where(mv > 0.5).select(*df.columns)
+    return d.where(F.col("_e_r").isNotNull() & (mv > 0.5)).select(*df.columns)
 
 
 def temporal_edge(df: DataFrame, *, threshold=15.0, sensitivity=3.0, accumulate=True, decayRate=0.08,
@@ -212,9 +212,9 @@ def temporal_edge(df: DataFrame, *, threshold=15.0, sensitivity=3.0, accumulate=
         F.abs(F.col(c) - F.col(f"_p_{c}")) - float(threshold), F.lit(0.0)) * float(sensitivity)),
         F.lit(0.0)) for c in C.RGB}
     if not accumulate:
-        return d.withColumns({c: C.u8(e) for c, e in edge.items()}).select(*df.columns)
+        return d.withColumns({c: C.u8_soft(e) for c, e in edge.items()}).select(*df.columns)
     d = decayed_max(d, {f"_d_{c}": (e, 1.0 - decayRate) for c, e in edge.items()}, chunk=chunk)
-    return d.withColumns({c: C.u8(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
+    return d.withColumns({c: C.u8_soft(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
 
 
 def long_exposure(df: DataFrame, *, mode="BLEND", blendFactor=0.7, windowSize=8, decay=0.05,
@@ -223,7 +223,7 @@ def long_exposure(df: DataFrame, *, mode="BLEND", blendFactor=0.7, windowSize=8,
     if mode == "SHUTTER":
         d = chunked(df, "frame", chunk, windowSize - 1)
         w = _window(PIXEL, -(windowSize - 1), 0)
-        d = d.withColumns({c: C.u8(F.avg(c).over(w)) for c in C.RGB})
+        d = d.withColumns({c: C.u8_soft(F.avg(c).over(w)) for c in C.RGB})
         return own_rows(d, "frame", chunk)
     if mode == "BLEND":
         return leaky_mean(df, retain=blendFactor, chunk=chunk)
@@ -234,7 +234,7 @@ def long_exposure(df: DataFrame, *, mode="BLEND", blendFactor=0.7, windowSize=8,
     if mode == "MAX":
         d = decayed_max(df, {f"_d_{c}": (F.when(above, F.col(c).cast("double")).otherwise(F.lit(0.0)),
                                          1.0 - decay) for c in C.RGB}, chunk=chunk)
-        return d.withColumns({c: C.u8(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
+        return d.withColumns({c: C.u8_soft(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
     if mode == "ADDITIVE":
         from rasterloom.operators.folds import additive_exposure
         return additive_exposure(df, decay=decay, brightnessThreshold=brightnessThreshold)
@@ -244,7 +244,7 @@ def long_exposure(df: DataFrame, *, mode="BLEND", blendFactor=0.7, windowSize=8,
 def phosphor_decay(df: DataFrame, *, redDecay=0.15, greenDecay=0.05, blueDecay=0.2, chunk=CHUNK) -> DataFrame:
     rates = dict(zip(C.RGB, (redDecay, greenDecay, blueDecay)))
     d = decayed_max(df, {f"_d_{c}": (F.col(c).cast("double"), 1.0 - k) for c, k in rates.items()}, chunk=chunk)
-    return d.withColumns({c: C.u8(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
+    return d.withColumns({c: C.u8_soft(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
 
 
 def echo_combiner(df: DataFrame, *, gain=2.0, baseline="ORIGINAL", chunk=CHUNK) -> DataFrame:
@@ -253,11 +253,11 @@ def echo_combiner(df: DataFrame, *, gain=2.0, baseline="ORIGINAL", chunk=CHUNK)
     def one(c: str) -> Column:
         base = F.col(c) if baseline == "ORIGINAL" else F.lit(0)
         return F.when(F.col(f"_e_{c}").isNull(), base).otherwise(
-            C.u8(base + F.abs(F.col(c) - F.col(f"_e_{c}")) * float(gain)))
+            C.u8_soft(base + F.abs(F.col(c) - F.col(f"_e_{c}")) * float(gain)))
     return d.withColumns({c: one(c) for c in C.RGB}).select(*df.columns)
 
 
-def chronophotography(df: DataFrame, *, exposures=8, interval=2, blendMode="LIGHTEN", fadeMode="NONE",
+def chronophotography(df: DataFrame, *, exposures=8, interval=2, blendMode="LIGHTEN", fadeMode="LINEAR",
                       isolateSubject=False, chunk=CHUNK) -> DataFrame:
     """Combine the last `exposures` captures; a capture is every `interval`-th frame.
 
@@ -281,7 +281,7 @@ def chronophotography(df: DataFrame, *, exposures=8, interval=2, blendMode="LIGH
     def vals(c: str) -> Column:
         return F.filter(F.transform(F.col("_h"), lambda h, i: F.struct(
             F.element_at("_use", i + 1).alias("u"), h[c].alias("v"),
-            (i + 1 if fadeMode == "LINEAR" else F.size("_h") - i if fadeMode == "REVERSE"
+            (i + 1 if fadeMode == "TAIL" else F.size("_h") - i if fadeMode == "HEAD"
              else F.lit(1)).alias("w"))), lambda s: s["u"])
 
     def one(c: str) -> Column:
@@ -293,7 +293,7 @@ def chronophotography(df: DataFrame, *, exposures=8, interval=2, blendMode="LIGH
             return F.coalesce(F.array_min(plain), F.lit(255))
         num = F.aggregate(v, F.lit(0).cast("bigint"), lambda s, e: s + e["v"] * e["w"])
         den = F.aggregate(v, F.lit(0).cast("bigint"), lambda s, e: s + e["w"])
-        return F.when(den > 0, C.u8(num / F.nullif(den, F.lit(0)))).otherwise(F.lit(0))
+        return F.when(den > 0, C.u8_soft(num / F.nullif(den, F.lit(0)))).otherwise(F.lit(0))
     d = d.withColumns({c: one(c) for c in C.RGB})
     return own_rows(d, "frame", chunk).select(*df.columns)
 
@@ -330,7 +330,7 @@ def time_warp_displacement(df: DataFrame, *, width: int, height: int, depth=16,
     """Delay chosen by the current pixel's luma, or by x or y."""
     t = {"LUMINANCE": C.luma_unit(), "X": F.col("x") / float(max(1, width - 1)),
          "Y": F.col("y") / float(max(1, height - 1))}[source]
-    if direction == "BRIGHT_RECENT":
+    if direction == "BRIGHT_OLDEST":
         t = F.lit(1.0) - t
     have = filled(depth) - 1
     return delayed(df, F.least(have, F.floor(t * have + 0.5)))
@@ -368,7 +368,7 @@ def keyframe_smear(df: DataFrame, *, keyframeInterval=8, smear=0.65) -> DataFram
     """Mix the current frame with its latest keyframe."""
     keep = df.select("*", *[F.col(c).alias(f"_c{c}") for c in C.RGB])
     d = delayed(keep, F.pmod("frame", F.lit(keyframeInterval)))
-    return d.withColumns({c: C.u8(F.col(c) * float(smear) + F.col(f"_c{c}") * (1.0 - smear))
+    return d.withColumns({c: C.u8_soft(F.col(c) * float(smear) + F.col(f"_c{c}") * (1.0 - smear))
                           for c in C.RGB}).drop("_cr", "_cg", "_cb")
 
 

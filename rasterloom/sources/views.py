@@ -73,14 +73,26 @@ def channel_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(255).alias("a"))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with `ts` as an instant and `ts_us` in microseconds.
+
+    The files may hold zone-less timestamps; they are read as UTC whatever the
+    session's zone is.
+    """
+    e = table(spark, sf_dir, "events")
+    if e.schema["ts"].dataType.typeName() == "timestamp_ntz":
+        e = e.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    return e.withColumn("ts_us", F.unix_micros("ts"))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event samples as a two-channel signal; `bin` is the event type's rank."""
     kinds = ["click", "error", "purchase", "signup", "view"]
     bin_of = F.when(F.col("event_type") == kinds[0], 0)
     for i, k in enumerate(kinds[1:], 1):
         bin_of = bin_of.when(F.col("event_type") == k, i)
-    return table(spark, sf_dir, "events").select(
-        "event_id", "ts",
+    return events(spark, sf_dir).select(
+        "event_id", "ts", "ts_us",
         F.pmod("user_id", F.lit(2)).cast("int").alias("channel"),
         bin_of.cast("int").alias("bin"),
         F.col("value").alias("sample"))
@@ -88,15 +100,14 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decoded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timestamped frames per clip; a zero duration means "not stated"."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("clip_id"), "event_id",
-        F.unix_micros("ts").alias("ts_us"),
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("clip_id"), "event_id", "ts_us",
         F.expr("nullif(cast(floor(value) as bigint) * 1000, 0)").alias("dur_us"))
 
 
 def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run_id"), "event_id", "ts",
+    return events(spark, sf_dir).select(
+        F.col("user_id").alias("run_id"), "event_id", "ts", "ts_us",
         F.col("event_type").alias("name"),
         F.round(F.col("value") * 10, 2).alias("ms"))
 

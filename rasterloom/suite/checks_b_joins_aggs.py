@@ -172,11 +172,11 @@ def _heq_channels(spark, d):
 
 @check("clahe", f"""with p as (select *, {J(L709)} as l from {RASTER} q),
  h as (select clip_id, frame, x // 4 as tx, y // 4 as ty, l as bin, count(*) as n from p group by all),
- t as (select clip_id, frame, tx, ty, sum(n) as N, greatest(1, {J('3.0 * sum(n) / 256')}) as cap from h group by all),
- ex as (select clip_id, frame, tx, ty, N, cap, sum(greatest(0, n - cap)) as excess from h join t using (clip_id, frame, tx, ty) group by all),
+ t as (select clip_id, frame, tx, ty, sum(n) as total, greatest(1, {J('3.0 * sum(n) / 256')}) as cap from h group by all),
+ ex as (select clip_id, frame, tx, ty, total, cap, sum(greatest(0, n - cap)) as excess from h join t using (clip_id, frame, tx, ty) group by all),
  dn as (select ex.*, b.bin, least(coalesce(h.n, 0), cap) as n from ex cross join (select unnest(range(256)) as bin) b
   left join h on h.clip_id = ex.clip_id and h.frame = ex.frame and h.tx = ex.tx and h.ty = ex.ty and h.bin = b.bin),
- cdf as (select clip_id, frame, tx, ty, bin, {J('(sum(n) over (partition by clip_id, frame, tx, ty order by bin) + (excess // 256) * (bin + 1) + least(bin + 1, excess - (excess // 256) * 256)) / N * 255.0')} as v from dn),
+ cdf as (select clip_id, frame, tx, ty, bin, {J('(sum(n) over (partition by clip_id, frame, tx, ty order by bin) + (excess // 256) * (bin + 1) + least(bin + 1, excess - (excess // 256) * 256)) / total * 255.0')} as v from dn),
  f as (select *, greatest(0, cast(floor((x + 0.5) / 4 - 0.5) as int)) as tx0, greatest(0, cast(floor((y + 0.5) / 4 - 0.5) as int)) as ty0 from p),
  w as (select *, {CL('(x + 0.5) / 4 - 0.5 - tx0')} as wx, {CL('(y + 0.5) / 4 - 0.5 - ty0')} as wy, least(1, tx0 + 1) as tx1, least(1, ty0 + 1) as ty1 from f),
  m as (select w.*, round(c00.v * (1 - wx) * (1 - wy) + c10.v * wx * (1 - wy) + c01.v * (1 - wx) * wy + c11.v * wx * wy, 9) as mm from w
@@ -329,8 +329,8 @@ def _slow_list(spark, d):
  case when b.v is not null and a.v is not null then 'both' when b.v is null then 'new' else 'removed' end as status
  from b full join a on a.user_id = b.user_id and a.event_type = b.event_type""")
 def _bench(spark, d):
-    e = V.table(spark, d, "events").where(F.pmod("event_id", F.lit(7)) != F.pmod("user_id", F.lit(7)))
-    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    e = V.events(spark, d).where(F.pmod("event_id", F.lit(7)) != F.pmod("user_id", F.lit(7)))
+    early = F.col("ts_us") < 1_705_363_200_000_000   # 2024-01-16 UTC
     keys = ["user_id", "event_type"]
     rep = e.groupBy(*keys, early.alias("early")).agg(F.avg("value").alias("v"))
     before = rep.where(F.col("early") & (F.col("user_id") % 11 != 3))

@@ -8,7 +8,7 @@ from rasterloom.operators import folds as FD
 from rasterloom.operators import temporal as TP
 from rasterloom.sources import views as V
 from rasterloom.suite.checks_a_pixel import on_raster
-from rasterloom.suite.registry import CL, FU, J, L709U, RASTER, SMOOTH, U8, check, each, raster_sql
+from rasterloom.suite.registry import CL, FU, J, L709U, RASTER, SMOOTH, U8S, check, each, raster_sql
 
 SAME = "h.clip_id = p.clip_id and h.x = p.x and h.y = p.y"
 ID = "p.clip_id, p.frame, p.x, p.y"
@@ -40,11 +40,11 @@ _m = CL(f"({DIFF} - 4) / 80.0 * 6")
 
 
 def motion_case(c, shown, bg):
-    return f"case when er is null then {U8(f'{c} * 0.3')} when {DIFF} < 4 then {bg} else {shown} end"
+    return f"case when er is null then {U8S(f'{c} * 0.3')} when {DIFF} < 4 then {bg} else {shown} end"
 
 
 on_raster("motion_analysis", TP.motion_analysis, raster_sql(*[
-    motion_case(c, U8(f"{_m} * 255.0"), bg) for c, bg in zip("rgb", (1, 2, 3))], pre=ema_pre()),
+    motion_case(c, U8S(f"{_m} * 255.0"), bg) for c, bg in zip("rgb", (1, 2, 3))], pre=ema_pre()),
     threshold=4, sensitivity=6, backgroundColor=(1, 2, 3))
 
 
@@ -57,10 +57,10 @@ def heat_sql(t, k):
 
 
 on_raster("motion_analysis_heat", TP.motion_analysis, raster_sql(*[
-    motion_case(c, U8(heat_sql(_m, k)), 0) for k, c in enumerate("rgb")], pre=ema_pre()),
+    motion_case(c, U8S(heat_sql(_m, k)), 0) for k, c in enumerate("rgb")], pre=ema_pre()),
     threshold=4, sensitivity=6, renderMode="HEATMAP")
 on_raster("motion_analysis_previous", TP.motion_analysis, raster_sql(*[
-    f"case when pr is null then {U8(f'{c} * 0.3')} when {PDIFF} < 4 then 0 else {U8(f'64 + {PDIFF} * 3.0')} end" for c in "rgb"], pre=PREV),
+    f"case when pr is null then {U8S(f'{c} * 0.3')} when {PDIFF} < 4 then 0 else {U8S(f'64 + {PDIFF} * 3.0')} end" for c in "rgb"], pre=PREV),
     threshold=4, renderMode="DIFFERENCE", source="PREVIOUS")
 
 
@@ -74,13 +74,13 @@ def _heat(spark, d):
 
 _mv = SMOOTH("3.0", "13.0", DIFF)
 on_raster("scene_separation", TP.scene_separation, raster_sql(
-    "r", "g", "b", a=f"case when er is null then 255 else {J(f'{_mv} * 255.0')} end", pre=ema_pre()), threshold=8, feather=5)
+    "r", "g", "b", a=f"case when er is null then 255 else {J(f'{_mv} * 255.0 + 0.000000001')} end", pre=ema_pre()), threshold=8, feather=5)
 on_raster("scene_separation_background", TP.scene_separation, raster_sql(*[
-    f"case when er is null then {c} else {U8(f'e{c} * (1 - {_mv}) + (e{c} * 0.98 + {c} * 0.02) * {_mv}')} end" for c in "rgb"], pre=ema_pre()),
+    f"case when er is null then {c} else {U8S(f'e{c} * (1 - {_mv}) + (e{c} * 0.98 + {c} * 0.02) * {_mv}')} end" for c in "rgb"], pre=ema_pre()),
     threshold=8, feather=5, mode="BACKGROUND")
 _frozen = f"(select e.*, z.r as zr, z.g as zg, z.b as zb from {ema_pre()} e join {RASTER} z on z.clip_id = e.clip_id and z.x = e.x and z.y = e.y and z.frame = 0)"
 on_raster("scene_separation_freeze", TP.scene_separation, raster_sql(*[
-    f"case when er is null then {c} else {U8(f'z{c} * (1 - {_mv}) + {c} * {_mv}')} end" for c in "rgb"], pre=_frozen),
+    f"case when er is null then {c} else {U8S(f'z{c} * (1 - {_mv}) + {c} * {_mv}')} end" for c in "rgb"], pre=_frozen),
     threshold=8, feather=5, mode="FREEZE")
 on_raster("foreground_rows", TP.foreground_rows, raster_sql("r", "g", "b", pre=ema_pre()) + f" where er is not null and {_mv} > 0.5",
           threshold=8, feather=5)
@@ -88,22 +88,22 @@ on_raster("foreground_rows", TP.foreground_rows, raster_sql("r", "g", "b", pre=e
 
 def decay_sql(term, rho, pre):
     """max over history of term * rho^age; `term` maps a channel to SQL over alias h."""
-    vals = ", ".join(f"{U8(f'max(({term(c)}) * pow({r!r}, p.frame - h.frame))')} as {c}" for c, r in zip("rgb", rho))
+    vals = ", ".join(f"{U8S(f'max(({term(c)}) * pow({r!r}, p.frame - h.frame))')} as {c}" for c, r in zip("rgb", rho))
     return f"select {ID}, {vals}, p.a from {pre} p join {pre} h on {SAME} and h.frame <= p.frame group by {ID}, p.a"
 
 
 on_raster("temporal_edge", TP.temporal_edge, decay_sql(
     lambda c: f"coalesce(least(greatest(greatest(abs(h.{c} - h.p{c}) - 6.0, 0.0) * 3.0, 0.0), 255.0), 0.0)", (0.92,) * 3, PREV), threshold=6)
 on_raster("temporal_edge_plain", TP.temporal_edge, raster_sql(*each(
-    U8("coalesce(greatest(abs({c} - p{c}) - 6.0, 0.0) * 3.0, 0.0)")), pre=PREV), threshold=6, accumulate=False)
+    U8S("coalesce(greatest(abs({c} - p{c}) - 6.0, 0.0) * 3.0, 0.0)")), pre=PREV), threshold=6, accumulate=False)
 on_raster("phosphor_decay", TP.phosphor_decay, decay_sql(lambda c: f"h.{c}", (0.85, 0.95, 0.8), RASTER))
 _w = "over (partition by clip_id, x, y order by frame rows between 4 preceding and current row)"
-on_raster("long_exposure_shutter", TP.long_exposure, raster_sql(*each(U8(f"avg({{c}}) {_w}"))), mode="SHUTTER", windowSize=5, chunk=16)
+on_raster("long_exposure_shutter", TP.long_exposure, raster_sql(*each(U8S(f"avg({{c}}) {_w}"))), mode="SHUTTER", windowSize=5, chunk=16)
 
 
 def leaky_sql(retain):
     w = f"case when h.frame = 0 then pow({retain!r}, p.frame) else {1 - retain!r} * pow({retain!r}, p.frame - h.frame) end"
-    vals = ", ".join(f"{U8(f'sum(h.{c} * ({w}))')} as {c}" for c in "rgb")
+    vals = ", ".join(f"{U8S(f'sum(h.{c} * ({w}))')} as {c}" for c in "rgb")
     return f"select {ID}, {vals}, p.a from {RASTER} p join {RASTER} h on {SAME} and h.frame <= p.frame group by {ID}, p.a"
 
 
@@ -123,17 +123,17 @@ def fold_sql(init, step, frames="clip_id, x, y, a"):
 _add = ", ".join(f"least(255.0, f.y{c} * 0.95 + p.{c} * (case when (p.r + p.g + p.b) / 3.0 >= 125 then 0.3 else 0.0 end)) as y{c}" for c in "rgb")
 on_raster("long_exposure_additive", TP.long_exposure,
           fold_sql("cast(r as double) as yr, cast(g as double) as yg, cast(b as double) as yb, a", _add + ", p.a")
-          + f" select clip_id, frame, x, y, {U8('yr')} as r, {U8('yg')} as g, {U8('yb')} as b, a from f",
+          + f" select clip_id, frame, x, y, {U8S('yr')} as r, {U8S('yg')} as g, {U8S('yb')} as b, a from f",
           mode="ADDITIVE", brightnessThreshold=125)
 on_raster("echo_combiner", TP.echo_combiner, raster_sql(*each(
-    f"case when er is null then {{c}} else {U8('{c} + abs({c} - e{c}) * 2.0')} end"), pre=ema_pre()))
+    f"case when er is null then {{c}} else {U8S('{c} + abs({c} - e{c}) * 2.0')} end"), pre=ema_pre()))
 
 _cap = f"{RASTER} p join {RASTER} h on {SAME} and h.frame <= p.frame and h.frame % 3 = 0 and h.frame > p.frame - 12"
 on_raster("chronophotography", TP.chronophotography, f"""select {ID}, max(h.r) as r, max(h.g) as g, max(h.b) as b, p.a from {_cap} group by {ID}, p.a""",
           exposures=4, interval=3, chunk=16)
 _wt = "(h.frame // 3 - greatest(0, p.frame // 3 - 3) + 1)"
-on_raster("chronophotography_average", TP.chronophotography, f"""select {ID}, {', '.join(U8(f'sum(h.{c} * {_wt}) / sum({_wt})') + f' as {c}' for c in 'rgb')}, p.a from {_cap} group by {ID}, p.a""",
-          exposures=4, interval=3, blendMode="AVERAGE", fadeMode="LINEAR", chunk=16)
+on_raster("chronophotography_average", TP.chronophotography, f"""select {ID}, {', '.join(U8S(f'sum(h.{c} * {_wt}) / sum({_wt})') + f' as {c}' for c in 'rgb')}, p.a from {_cap} group by {ID}, p.a""",
+          exposures=4, interval=3, blendMode="AVERAGE", fadeMode="TAIL", chunk=16)
 _far = "(e.er is null or (abs(h.r - e.er) + abs(h.g - e.eg) + abs(h.b - e.eb)) / 3.0 >= 15.0)"
 on_raster("chronophotography_isolated", TP.chronophotography, f"""select {ID}, {', '.join(f'coalesce(min(h.{c}) filter (where {_far}), 255) as {c}' for c in 'rgb')}, p.a
  from {_cap} join {ema_pre()} e on e.clip_id = p.clip_id and e.x = p.x and e.y = p.y and e.frame = p.frame group by {ID}, p.a""",
@@ -152,13 +152,13 @@ on_raster("slit_scan_rows_reversed", TP.slit_scan, delay_sql(f"floor(y * {_have}
           direction="VERTICAL", reverse=True)
 on_raster("pov_bands", TP.pov_bands, delay_sql("least(least(frame + 1, 10) - 1, least(3, y // 2) * 3)"), height=8, bands=4)
 on_raster("time_warp_displacement", TP.time_warp_displacement, delay_sql(
-    f"least(least(frame + 1, 16) - 1, floor((1.0 - {L709U}) * (least(frame + 1, 16) - 1) + 0.5))"), width=8, height=8)
+    f"least(least(frame + 1, 16) - 1, floor({L709U} * (least(frame + 1, 16) - 1) + 0.5))"), width=8, height=8)
 on_raster("time_mosaic", TP.time_mosaic, delay_sql(
     "least(floor(sqrt(pow(x // 2 - 2, 2) + pow(y // 2 - 2, 2)) / sqrt(8.0) * 9), least(frame + 1, 10) - 1)"),
     width=8, height=8, tileSize=2, pattern="RADIAL")
 check("time_mosaic_hashed")(lambda spark, d: TP.time_mosaic(V.raster_px(spark, d), width=8, height=8, tileSize=2))
 on_raster("stop_motion", TP.stop_motion, delay_sql("frame % 6"))
-on_raster("keyframe_smear", TP.keyframe_smear, f"""select {ID}, {', '.join(U8(f'h.{c} * 0.65 + p.{c} * 0.35') + f' as {c}' for c in 'rgb')}, p.a
+on_raster("keyframe_smear", TP.keyframe_smear, f"""select {ID}, {', '.join(U8S(f'h.{c} * 0.65 + p.{c} * 0.35') + f' as {c}' for c in 'rgb')}, p.a
  from {RASTER} p join {RASTER} h on {SAME} and h.frame = p.frame - p.frame % 8""")
 
 _block = "partition by clip_id, frame, x // 4, y // 4"
@@ -200,8 +200,8 @@ def _stabiliser(spark, d):
  l as (select *, lag(idx) over (partition by user_id order by ts, event_id) as p from e)
  select user_id, event_id, cast(idx as bigint) as idx, cast(sum(case when idx < p then 1 else 0 end) over (partition by user_id order by ts, event_id) as bigint) as session from l""")
 def _resets(spark, d):
-    e = V.table(spark, d, "events").select(
+    e = V.events(spark, d).select(
         "user_id", "event_id", "ts", F.pmod("event_id", F.lit(17)).alias("idx"),
-        F.floor(F.unix_seconds("ts") / 86400).alias("_day"))
+        F.floor(F.col("ts_us") / 86_400_000_000).alias("_day"))
     return TP.reset_sessions(e, ["user_id"], "_day", ["ts", "event_id"], "idx").select(
         "user_id", "event_id", "idx", F.col("session").cast("bigint").alias("session"))

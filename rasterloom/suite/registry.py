@@ -43,6 +43,11 @@ def U8(x: str) -> str:
     return J(f"least(greatest({x}, 0.0), 255.0)")
 
 
+def U8S(x: str) -> str:
+    """U8 with the upward tolerance used after recurrences."""
+    return U8(f"({x}) + 0.000000001")
+
+
 def FU(x: str) -> str:
     """Unit value to 8 bits."""
     return J(f"least(greatest({x}, 0.0), 1.0) * 255.0")
