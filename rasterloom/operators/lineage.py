@@ -23,3 +23,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rasterloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="rasterloom-work-")
+    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"

@@ -92,7 +92,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], *, left_ts: st
     before = (Window.partitionBy(*keys).orderBy("_b")
               .rowsBetween(Window.unboundedPreceding, -1))
     edges = both.groupBy(*by).agg(
-        F.max_by("_r", F.struct("_t", "_rank")).alias("_last_r")).select(
+        F.max_by("_r", F.when(F.col("_kind") == 0, F.struct("_t", "_rank"))).alias("_last_r")).select(
         *by, F.last("_last_r", ignorenulls=True).over(before).alias("_carry"))
     first = rows.groupBy(*keys).agg(F.min_by("_r", F.struct("_t", "_rank")).alias("_first"))
     found = (both.withColumn("_local", F.last("_r", ignorenulls=True).over(w))

@@ -44,12 +44,15 @@ def vectors_sql(diff, src, threshold):
  from {errors_sql(diff, src, _OFFS)} e group by all) q)"""
 
 
+NUDGE = 3.3e-8   # block means are dyadic; this keeps exact decimal ties on one side
+
+
 def rounded(df, *cols):
-    return df.withColumns({c: F.round(F.col(c).cast("double"), 5) for c in cols}).withColumnRenamed("by", "by_")
+    return df.withColumns({c: F.round(F.col(c).cast("double") + NUDGE, 6) for c in cols}).withColumnRenamed("by", "by_")
 
 
 def rsql(cols):
-    return ", ".join(f"round({c}, 5) as {c}" for c in cols)
+    return ", ".join(f"round({c} + {NUDGE:.12f}, 6) as {c}" for c in cols)
 
 
 PARAMS = {"cellSize": 4, "searchRadius": 2, **SIZE}
@@ -68,7 +71,7 @@ def _estimate(spark, d):
                    "error", "magnitude", "strength", "confidence")
 
 
-@check("block_error", f"select clip_id, frame, {_G}, round(err, 5) as error from {errors_sql(_RGBD, RASTER, [(1, -1)])} z")
+@check("block_error", f"select clip_id, frame, {_G}, round(err + {NUDGE:.12f}, 6) as error from {errors_sql(_RGBD, RASTER, [(1, -1)])} z")
 def _block_error(spark, d):
     return rounded(M.block_error(V.raster_px(spark, d, by_frame=True), 1, -1, cellSize=4, **SIZE), "error")
 
@@ -90,12 +93,12 @@ _GB = f"""(select p.clip_id, p.frame, p.bx, p.by_, {_bl} from {_V} p join (selec
  and abs(h.hx - p.bx) <= 1 and abs(h.hy - p.by_) <= 1, lateral (select case when h.hx = p.bx and h.hy = p.by_ then 2 else 1 end as w) ww group by p.clip_id, p.frame, p.bx, p.by_, p.dx, p.dy, p.confidence, p.error)"""
 
 
-@check("vector_grid_blur", f"select clip_id, frame, {_G}, {rsql(['dx', 'dy', 'confidence', 'error'])}, round(least(1.0, sqrt(dx * dx + dy * dy) / 2.0), 5) as strength from {_GB} z")
+@check("vector_grid_blur", f"select clip_id, frame, {_G}, {rsql(['dx', 'dy', 'confidence', 'error'])}, round(least(1.0, sqrt(dx * dx + dy * dy) / 2.0) + {NUDGE:.12f}, 6) as strength from {_GB} z")
 def _grid_blur(spark, d):
     return rounded(M.blur_grid(_rgb_vectors(spark, d), cols=2, rows=2, searchRadius=2), "dx", "dy", "confidence", "error", "strength")
 
 
-_tb = ", ".join(f"round(coalesce({n} * 0.6 + lag({n}) over w * 0.4, {n}), 5) as {n}" for n in ("dx", "dy", "strength", "confidence", "error"))
+_tb = ", ".join(f"round(coalesce({n} * 0.6 + lag({n}) over w * 0.4, {n}) + {NUDGE:.12f}, 6) as {n}" for n in ("dx", "dy", "strength", "confidence", "error"))
 
 
 @check("vector_temporal_blend", f"select clip_id, frame, {_G}, {_tb} from (select * replace (cast(dx as double) as dx, cast(dy as double) as dy) from {_V} z0) z window w as (partition by clip_id, bx, by_ order by frame)")
