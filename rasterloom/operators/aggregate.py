@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
 from rasterloom.operators.lineage import cut_lineage
+from rasterloom.operators.ordered import shuffled_join
 
 
 def unique_colours(df: DataFrame, *, limit: int | None = None, order: str = "asc") -> DataFrame:
@@ -59,7 +60,7 @@ def histogram_equalization(df: DataFrame, *, keys=("clip_id", "frame")) -> DataF
     keys = list(keys)
     d = df.withColumn("bin", luma_bin())
     lut = _cdf_map(histogram(df, keys, luma_bin()), keys)
-    d = d.join(lut, [*keys, "bin"]).withColumn("_l", C.luma_unit())
+    d = shuffled_join(d, lut, [*keys, "bin"]).withColumn("_l", C.luma_unit())
     k = F.when(F.col("_l") > 1 / 255.0, F.col("mapped") / 255.0 / F.col("_l")).otherwise(F.lit(1.0))
     d = d.withColumn("_k", k)
     return d.withColumns({c: C.from_unit(C.unit(c) * F.col("_k")) for c in C.RGB}).drop(
@@ -78,7 +79,7 @@ def histogram_equalization_per_channel(df: DataFrame, *, keys=("clip_id", "frame
     lut = _cdf_map(long.groupBy(*keys, "ch", "bin").agg(F.count("*").alias("n")), [*keys, "ch"])
     packed = lut.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws(":", "ch", "bin").alias("k"), F.col("mapped").alias("v")))).alias("_lut"))
-    d = df.join(packed, keys)
+    d = shuffled_join(df, packed, keys)
     return d.withColumns({c: F.col("_lut")[F.concat_ws(":", F.lit(c), F.col(c))]
                           for c in C.RGB}).drop("_lut")
 
@@ -126,7 +127,7 @@ def clahe(df: DataFrame, *, width: int, height: int, tileSize=32, clipLimit=3.0,
          * (F.col("_wy") if j else F.lit(1.0) - F.col("_wy"))).alias("w"))
         for j in (0, 1) for i in (0, 1)])
     taps = d.select(*keys, "x", "y", "r", "g", "b", "a", "_l", F.inline(corners))
-    mapped = (taps.join(cdf, [*keys, "tx", "ty"])
+    mapped = (shuffled_join(taps, cdf, [*keys, "tx", "ty"])
               .groupBy(*keys, "x", "y", "r", "g", "b", "a", "_l")
               .agg(F.sum(F.col("w") * F.element_at("cdf", F.col("_l") + 1)).alias("_m")))
     k = F.when(F.col("_l") > 0, F.round(F.col("_m"), 9) / F.col("_l")).otherwise(F.lit(1.0))
@@ -256,7 +257,7 @@ def spread_from_cell(d: DataFrame, sx: Column, sy: Column, cell: list[str], keys
     d = d.withColumns({"_sx": sx, "_sy": sy})
     src = d.select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"),
                    *[F.col(c).alias(f"_{c}") for c in ("r", "g", "b", "a")])
-    j = d.join(src, [*keys, "_sx", "_sy"])
+    j = shuffled_join(d, src, [*keys, "_sx", "_sy"])
     return j.withColumns({c: F.col(f"_{c}") for c in ("r", "g", "b", "a")}).drop(
         "_sx", "_sy", "_r", "_g", "_b", "_a")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.operators.ordered import shuffled_join, spread
+
 MAX_CHAIN = 16
 
 STATE_V2 = T.StructType([
@@ -137,7 +139,7 @@ def similar_pairs(chains: DataFrame, *, threshold=0.85, limit: int | None = None
         raise ValueError("candidate keys need a threshold of at least 0.85")
     j_min = 2 * threshold - 1
     d = chains.groupBy("steps", "category").agg(F.min("chain_id").alias("id"), F.count("*").alias("copies"))
-    d = d.withColumns({"tokens": F.array_sort(F.array_distinct("steps")), "lead": F.element_at("steps", 1)})
+    d = spread(d, "id").withColumns({"tokens": F.array_sort(F.array_distinct("steps")), "lead": F.element_at("steps", 1)})
     drops = F.floor(F.size("tokens") * F.lit(1 - j_min) + F.lit(1e-9)).cast("int")
     keys = F.array("tokens")
     # subsets after dropping up to `drops` tokens, one token per round
@@ -148,7 +150,7 @@ def similar_pairs(chains: DataFrame, *, threshold=0.85, limit: int | None = None
     names = ["id", "steps", "category", "tokens", "copies"]
     a = e.select("lead", "key", *[F.col(n).alias(f"a_{n}") for n in names])
     b = e.select("lead", "key", *[F.col(n).alias(f"b_{n}") for n in names])
-    p = a.join(b, ["lead", "key"]).where("a_id < b_id")
+    p = shuffled_join(a, b, ["lead", "key"]).where("a_id < b_id")
     shared = F.array_intersect("a_tokens", "b_tokens")
     p = p.withColumn("shared", shared).where(F.size("shared") == F.size("key"))   # each pair once
     union = F.size("a_tokens") + F.size("b_tokens") - F.size("shared")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 
 
 def fold_sorted(df: DataFrame, keys: list[str], order: list[str], inputs: list[str],
@@ -103,7 +104,7 @@ def tile_stabiliser(df: DataFrame, *, tileSize=24, motionThreshold=72.0, holdFra
             age += 1
         return (shown, age), (int(shown),)
     ages = fold_sorted(motion, ["clip_id", "_bx", "_by"], ["frame"], ["frame", "_m"], {"_shown": "int"}, step)
-    j = df.withColumns(tile).join(ages.drop("_m"), ["clip_id", "_bx", "_by", "frame"])
+    j = shuffled_join(df.withColumns(tile), ages.drop("_m"), ["clip_id", "_bx", "_by", "frame"])
     return delayed(j, F.col("frame") - F.col("_shown")).select(*df.columns)
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 from rasterloom.operators.stencil import own, square, stencil
 
 BLOCK = ("clip_id", "frame", "bx", "by")
@@ -63,7 +64,7 @@ def paired_blocks(df: DataFrame, *, width: int, height: int, cellSize: int, sear
     halo = d.withColumn("frame", F.col("frame") + 1)
     halo = halo.withColumn("bx", F.explode(_blocks_with_halo("x", cellSize, searchRadius, width)))
     halo = halo.withColumn("by", F.explode(_blocks_with_halo("y", cellSize, searchRadius, height)))
-    return cur.join(_packed(halo, list(BLOCK), "ref"), list(BLOCK))
+    return shuffled_join(cur, _packed(halo, list(BLOCK), "ref"), list(BLOCK))
 
 
 def _window_errors(cur, ref, bx, by, size, r, w, h, wrap):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 
 MAX_PALETTE = 256
 MAX_CENTROIDS = 4096
@@ -29,15 +30,36 @@ def palette_rows(palette: DataFrame) -> list[tuple[int, int, int]]:
     return [(r["r"], r["g"], r["b"]) for r in sorted(rows, key=lambda r: r["idx"])]
 
 
+CODEGEN_CANDIDATES = 64
+
+
 def with_nearest(df: DataFrame, palette: Sequence, out: str, *, algorithm="RGB",
                  hsv_legacy=False) -> DataFrame:
-    """Add the index of the nearest palette colour."""
+    """Add the index of the nearest palette colour.
+
+    8-bit RGB packs distance and index into one int; other distances compare
+    (distance, index) structs.  Both stay inside codegen; long palettes, whose
+    generated code would grow too big, use an array fold instead.
+    """
+    whole = all(float(v).is_integer() and 0 <= v <= 255 for c in palette for v in c[:3])
+    if algorithm == "RGB" and whole and len(palette) <= CODEGEN_CANDIDATES:
+        keys = []
+        for i, p in enumerate(palette):
+            d = [F.col(c) - int(v) for c, v in zip(C.RGB, p)]
+            keys.append((d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) * 256 + i)
+        best = F.least(*keys) if len(keys) > 1 else keys[0]
+        return df.withColumn(out, best.bitwiseAND(F.lit(255)).cast("int"))
     d, here = C.with_features(df, algorithm)
-    cands = [F.struct(C.feature_distance(here, C.literal_features(p, algorithm), algorithm,
-                                         hsv_legacy=hsv_legacy).alias("d"), F.lit(i).alias("i"))
-             for i, p in enumerate(palette)]
-    best = F.least(*cands) if len(cands) > 1 else cands[0]
-    return d.withColumn(out, best["i"]).drop("_f0", "_f1", "_f2")
+    if len(palette) <= CODEGEN_CANDIDATES:
+        cands = [F.struct(C.feature_distance(here, C.literal_features(p, algorithm), algorithm,
+                                             hsv_legacy=hsv_legacy).alias("d"), F.lit(i).alias("i"))
+                 for i, p in enumerate(palette)]
+        best = F.least(*cands) if len(cands) > 1 else cands[0]
+        return d.withColumn(out, best["i"]).drop("_f0", "_f1", "_f2")
+    table = F.array(*[F.array(*C.literal_features(p, algorithm)) for p in palette])
+    near = F.array_min(F.transform(table, lambda p, i: F.struct(C.feature_distance(
+        here, [p[k] for k in range(3)], algorithm, hsv_legacy=hsv_legacy).alias("d"), i.alias("i"))))
+    return d.withColumn(out, near["i"]).drop("_f0", "_f1", "_f2")
 
 
 def pick(table: Sequence, idx: Column, k: int) -> Column:
@@ -181,5 +203,5 @@ def voronoi(df: DataFrame, seeds: Sequence, *, width: int, height: int) -> DataF
         "cx", "cy", "s", "_b", "_gap")
     means = d.groupBy("clip_id", "frame", "seed").agg(
         *[C.jr(F.avg(c)).alias(f"_{c}") for c in ("r", "g", "b", "a")])
-    j = d.join(means, ["clip_id", "frame", "seed"])
+    j = shuffled_join(d, means, ["clip_id", "frame", "seed"])
     return j.withColumns({c: F.col(f"_{c}") for c in ("r", "g", "b", "a")}).drop("_r", "_g", "_b", "_a")

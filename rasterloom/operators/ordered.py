@@ -14,6 +14,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition rows that are about to be multiplied.
+
+    The partition count is given, so AQE does not coalesce by the size of the
+    compact rows what becomes many times larger after the explode.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
+def shuffled_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join two sides that both grow with the data.
+
+    The hint keeps Catalyst from broadcasting a side whose size it
+    underestimates after an explode; AQE may still split skewed partitions.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def bucketed_rank(df: DataFrame, keys: list[str], bucket: str, order: list, out: str) -> DataFrame:
     """0-based dense position of each row in its key, in `(bucket, order)` order.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 
 FRAME = ("clip_id", "frame")
 RGBA = ("r", "g", "b", "a")
@@ -39,7 +40,7 @@ def gather(df: DataFrame, sx: Column, sy: Column, *, width: int, height: int, bo
     if inside is not None:
         ok = ok & inside
     d = df.select(*FRAME, "x", "y", F.when(ok, sx).alias("_sx"), F.when(ok, sy).alias("_sy"))
-    j = d.join(_source(df), [*FRAME, "_sx", "_sy"], "left")
+    j = shuffled_join(d, _source(df), [*FRAME, "_sx", "_sy"], "left")
     return j.select(*FRAME, "x", "y", *[F.coalesce(F.col(f"_{c}"), F.lit(int(v))).alias(c)
                                         for c, v in zip(RGBA, fill)])
 
@@ -61,7 +62,7 @@ def gather_bilinear(df: DataFrame, sx: Column, sy: Column, *, width: int, height
     # zero-weight corners are not needed; an outside pixel keeps one empty tap
     tap = F.when(F.col("_in"), F.filter(corners, lambda t: t["w"] > 0))
     t = d.select(*FRAME, "x", "y", F.inline_outer(tap))
-    j = t.join(_source(df), [*FRAME, "_sx", "_sy"], "left")
+    j = shuffled_join(t, _source(df), [*FRAME, "_sx", "_sy"], "left")
     s = j.groupBy(*FRAME, "x", "y").agg(*[F.sum(F.col(f"_{c}") * F.col("w")).alias(c) for c in RGBA])
     return s.withColumns({c: F.coalesce(C.jr(F.col(c) + 1e-9), F.lit(int(v))) for c, v in zip(RGBA, fill)})
 

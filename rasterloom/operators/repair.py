@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 
 FRAME = ("clip_id", "frame")
 
@@ -56,7 +57,7 @@ def crc_stripe_reject(df: DataFrame, expected: DataFrame, *, height: int, stripe
     good = mine.join(expected.withColumnRenamed("crc", "_want"), [*FRAME, "stripe"], "left").select(
         *FRAME, "stripe", (F.col("crc") == F.col("_want")).alias("_ok"))
     d = df.withColumn("stripe", F.floor(F.col("y") / stripeHeight).cast("int"))
-    d = d.join(good, [*FRAME, "stripe"]).withColumn("_ok", F.coalesce("_ok", F.lit(False)))
+    d = shuffled_join(d, good, [*FRAME, "stripe"]).withColumn("_ok", F.coalesce("_ok", F.lit(False)))
     rgb = F.struct(*C.RGB)
     if conceal == "BLACK":
         fill = F.struct(*[F.lit(0).alias(c) for c in C.RGB])

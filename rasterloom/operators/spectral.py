@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
+from rasterloom.operators.ordered import shuffled_join
 
 FRAME = ("clip_id", "frame")
 DFT_MAX = 4096
@@ -122,7 +123,7 @@ def radius(w: int, h: int) -> Column:
 
 def relight(df: DataFrame, out_luma: DataFrame) -> DataFrame:
     """Scale each colour so that its luma becomes `v` of the joined plane."""
-    d = df.join(out_luma.select(*FRAME, "x", "y", F.col("re").alias("_o")), [*FRAME, "x", "y"])
+    d = shuffled_join(df, out_luma.select(*FRAME, "x", "y", F.col("re").alias("_o")), [*FRAME, "x", "y"])
     d = d.withColumn("_l", C.luma_unit())
     k = F.when(F.col("_l") > 1e-4, F.col("_o") / F.col("_l")).otherwise(F.col("_o"))
     return d.withColumn("_k", k).select(*FRAME, "x", "y", *[
@@ -173,7 +174,7 @@ def fft_spectral_gate(df: DataFrame, *, width: int, height: int, threshold=0.02,
     """Keep bins that are strong relative to their frame's DC."""
     s = luma_spectrum(df, width=width, height=height)
     dc = s.where("kx = 0 and ky = 0").select(*FRAME, magnitude().alias("_dc"))
-    s = s.join(dc, list(FRAME))
+    s = shuffled_join(s, dc, list(FRAME))
     rel = magnitude() / F.greatest(F.col("_dc"), F.lit(1e-6))
     keep = C.smoothstep(threshold - softness * 0.5, threshold + softness * 0.5, rel)
     s = s.withColumn("_g", F.when((F.col("kx") == 0) & (F.col("ky") == 0), F.lit(1.0)).otherwise(keep))
@@ -251,7 +252,7 @@ def fft_homomorphic(df: DataFrame, *, width: int, height: int, lowGain=0.3, high
     s = s.withColumns({"re": F.col("re") * F.col("_g"), "im": F.col("im") * F.col("_g")})
     back = inverse(s, width=width, height=height).select(
         *FRAME, "x", "y", C.clamp(0, 1, F.exp("re") - 0.01).alias("_o"))
-    d = df.join(back, [*FRAME, "x", "y"]).withColumn("_l", C.luma_unit())
+    d = shuffled_join(df, back, [*FRAME, "x", "y"]).withColumn("_l", C.luma_unit())
     k = F.when(F.col("_l") > 1e-4, F.col("_o") / F.col("_l")).otherwise(F.col("_o"))
     d = d.withColumn("_k", k)
     return d.select(*FRAME, "x", "y", *[C.u8_soft(C.mix(F.col(c), C.clamp(0, 255, F.col(c) * F.col("_k")), float(amount))).alias(c)

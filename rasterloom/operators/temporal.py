@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
-from rasterloom.operators.ordered import chunk_length, chunked, own_rows
+from rasterloom.operators.ordered import chunk_length, chunked, own_rows, shuffled_join
 
 PIXEL = ("clip_id", "x", "y")
 CHUNK = 1024
@@ -95,7 +95,7 @@ def delayed(df: DataFrame, offset: Column, *, keys=PIXEL, cols=C.RGB) -> DataFra
     """
     d = df.withColumn("_src", (F.col("frame") - offset).cast("int"))
     past = df.select(*keys, F.col("frame").alias("_src"), *[F.col(c).alias(f"_{c}") for c in cols])
-    j = d.join(past, [*keys, "_src"])
+    j = shuffled_join(d, past, [*keys, "_src"])
     return j.withColumns({c: F.col(f"_{c}") for c in cols}).drop("_src", *[f"_{c}" for c in cols])
 
 
@@ -381,7 +381,7 @@ def motion_pixelate(df: DataFrame, *, blockSize=12, invert=False, threshold=5.0,
     stats = d.groupBy(*by).agg(F.avg("_diff").alias("_motion"),
                                *[C.jr(F.avg(c)).alias(f"_m{c}") for c in C.RGB])
     hit = F.col("_motion") < float(threshold) if invert else F.col("_motion") > float(threshold)
-    d = d.join(stats, by)
+    d = shuffled_join(d, stats, by)
     return d.withColumns({c: F.when(F.coalesce(hit, F.lit(False)), F.col(f"_m{c}")).otherwise(F.col(c))
                           for c in C.RGB}).select(*df.columns)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators.ordered import bucketed_rank
+from rasterloom.operators.ordered import bucketed_rank, spread
 
 SIDE = 8  # frames of the vector-backed raster are 8 x 8
 RANK_WIDTH = 4096
@@ -50,17 +50,14 @@ def explode_pixels(frames: DataFrame, side: int = SIDE) -> DataFrame:
         "r", "g", "b", F.lit(255).alias("a"))
 
 
-def raster_px(spark: SparkSession, sf_dir: str, *, by_frame: bool = False) -> DataFrame:
+def raster_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of the vector-backed raster.
 
-    `by_frame` hash-partitions the compact frame rows on `(clip_id, frame)`
-    before exploding, so every later per-frame grouping runs without an
-    exchange of pixel rows.
+    The compact frame rows are hash-partitioned on `(clip_id, frame)` before
+    they are exploded, so every later per-frame grouping runs without an
+    exchange of pixel rows and a long clip is spread evenly.
     """
-    frames = frame_vectors(spark, sf_dir)
-    if by_frame:
-        frames = frames.repartition("clip_id", "frame")
-    return explode_pixels(frames)
+    return explode_pixels(spread(frame_vectors(spark, sf_dir), "clip_id", "frame"))
 
 
 def channel_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ _VD = ", ".join(f"{{'d': ({sx!r} - x) * ({sx!r} - x) + ({sy!r} - y) * ({sy!r} -
  m as (select clip_id, frame, seed, {J('avg(r)')} as r, {J('avg(g)')} as g, {J('avg(b)')} as b, {J('avg(a)')} as a from s group by 1, 2, 3)
  select s.clip_id, s.frame, s.x, s.y, cast(seed as int) as seed, m.r, m.g, m.b, m.a from s join m using (clip_id, frame, seed)""")
 def _voronoi(spark, d):
-    return N.voronoi(V.raster_px(spark, d, by_frame=True), _SEEDS, width=8, height=8)
+    return N.voronoi(V.raster_px(spark, d), _SEEDS, width=8, height=8)
 
 
 @check("theme_match", """with mine as (select clip_id, [0, 0, 0, 85, 85, 85] as c from (select distinct user_id as clip_id from events) where clip_id % 3 = 0
@@ -144,7 +144,7 @@ def _commonest(spark, d):
  union all select clip_id, frame, 'luma', {J(L709)} from p)
  select clip_id, frame, channel, bin, count(*) as n from u group by all""")
 def _hist(spark, d):
-    return A.channel_histogram(V.raster_px(spark, d, by_frame=True), ["clip_id", "frame"])
+    return A.channel_histogram(V.raster_px(spark, d), ["clip_id", "frame"])
 
 
 def cdf_sql(keys, bin_expr, src):
@@ -167,7 +167,7 @@ _per = {c: cdf_sql("clip_id, frame", c, RASTER) for c in "rgb"}
  join {_per['g']} lg on lg.clip_id = p.clip_id and lg.frame = p.frame and lg.bin = p.g
  join {_per['b']} lb on lb.clip_id = p.clip_id and lb.frame = p.frame and lb.bin = p.b""")
 def _heq_channels(spark, d):
-    return A.histogram_equalization_per_channel(V.raster_px(spark, d, by_frame=True))
+    return A.histogram_equalization_per_channel(V.raster_px(spark, d))
 
 
 @check("clahe", f"""with p as (select *, {J(L709)} as l from {RASTER} q),
@@ -186,7 +186,7 @@ def _heq_channels(spark, d):
   join cdf c11 on c11.clip_id = w.clip_id and c11.frame = w.frame and c11.tx = tx1 and c11.ty = ty1 and c11.bin = l)
  select clip_id, frame, x, y, {', '.join(U8(f'{c} * (case when l > 0 then mm / l else 1.0 end)') + f' as {c}' for c in 'rgb')}, a from m""")
 def _clahe(spark, d):
-    return A.clahe(V.raster_px(spark, d, by_frame=True), width=8, height=8, tileSize=4)
+    return A.clahe(V.raster_px(spark, d), width=8, height=8, tileSize=4)
 
 
 @check("min_max_equalise", """select e.event_id, e.event_type, round((value - lo) * 256.0 / (hi - lo), 6) as v from events e
@@ -265,7 +265,7 @@ def gather_sql(sx, sy, extra="", src=RASTER):
 
 
 def on_frames(name, op, sql, **params):
-    check(name, sql)(lambda spark, d: op(V.raster_px(spark, d, by_frame=True), **params))
+    check(name, sql)(lambda spark, d: op(V.raster_px(spark, d), **params))
 
 
 _px = "cast(least(7, floor((least(2, floor({v} * 3 / 8.0)) + 0.5) * 8 / 3.0)) as int)"
@@ -274,7 +274,7 @@ on_frames("pixelate", A.pixelate, gather_sql(_px.format(v="x"), _px.format(v="y"
 
 @check("pixelate_mean", f"""select clip_id, frame, cast(x // 3 as int) as bx, cast(y // 3 as int) as by_, count(*) as n, {J('avg(r)')} as r, {J('avg(g)')} as g, {J('avg(b)')} as b from {RASTER} p group by clip_id, frame, x // 3, y // 3""")
 def _pixelate_mean(spark, d):
-    return A.cell_average(V.raster_px(spark, d, by_frame=True), {
+    return A.cell_average(V.raster_px(spark, d), {
         "bx": F.floor(F.col("x") / 3).cast("int"), "by_": F.floor(F.col("y") / 3).cast("int")})
 
 

@@ -65,7 +65,7 @@ on_frames("gaussian_blur", S.gaussian_blur,
 @check("gaussian_blur_helpers_rgba_plane", f"""select clip_id, frame, x, y, {', '.join(f'round({c}, 5) as {c}' for c in ('r', 'g', 'b', 'a', 'luma'))}
  from {sep_sql(S.gaussian_weights(0.8), ('r', 'g', 'b', 'a', 'luma'))} q""")
 def _planes(spark, d):
-    out = S.blur_planes(V.raster_px(spark, d, by_frame=True), sigma=0.8, **SIZE)
+    out = S.blur_planes(V.raster_px(spark, d), sigma=0.8, **SIZE)
     return out.select("clip_id", "frame", "x", "y", *[F.round(c, 5).alias(c) for c in ("r", "g", "b", "a", "luma")])
 
 
@@ -136,7 +136,7 @@ _in = "(x between 1 and 6 and y between 1 and 6)"
 @check("luminance_plane_sobel", f"""select clip_id, frame, x, y, round({L709}, 5) as luma, round(case when {_in} then sqrt(gx * gx + gy * gy) else 0.0 end, 5) as magnitude,
  round(case when {_in} then atan2(gy, gx) else 0.0 end, 5) as direction from {SOB} q""")
 def _sobel(spark, d):
-    out = S.luminance_sobel(V.raster_px(spark, d, by_frame=True), **SIZE)
+    out = S.luminance_sobel(V.raster_px(spark, d), **SIZE)
     return out.withColumns({c: F.round(c, 5) for c in ("luma", "magnitude", "direction")})
 
 
@@ -241,7 +241,7 @@ _vals = ", ".join(f"({k}, {', '.join(map(str, r))})" for k, r in enumerate(_regi
  select t.clip_id, t.frame, t.x, t.y, {', '.join(f'least(255, greatest(0, s.{c} + t.off)) as {c}' for c in 'rgb')}, s.a, t.region
  from t join p s on s.clip_id = t.clip_id and s.frame = t.frame and s.x = least(7, greatest(0, t.sx)) and s.y = least(7, greatest(0, t.sy))""")
 def _glitch(spark, d):
-    return R.region_join(V.raster_px(spark, d, by_frame=True), _regions, **SIZE)
+    return R.region_join(V.raster_px(spark, d), _regions, **SIZE)
 
 
 _mv = "(select clip_id, frame, (frame % 5 - 2) * 0.6 as ox, (frame % 3 - 1) * 0.7 as oy, (frame % 7 - 3) * 0.05 as rot, 1.0 + (frame % 4) * 0.1 as zoom from (select distinct clip_id, frame from " + RASTER + " m0) m1 where frame % 6 <> 5)"
@@ -255,11 +255,11 @@ def _shake(spark, d):
     moves = frames.select("clip_id", "frame", *[F.expr(e).cast("double").alias(n) for n, e in (
         ("ox", "(frame % 5 - 2) * 0.6D"), ("oy", "(frame % 3 - 1) * 0.7D"), ("rot", "(frame % 7 - 3) * 0.05D"),
         ("zoom", "1.0D + (frame % 4) * 0.1D"))])
-    return R.register_frames(V.raster_px(spark, d, by_frame=True), moves, **SIZE)
+    return R.register_frames(V.raster_px(spark, d), moves, **SIZE)
 
 
 _bs = f"(select *, least(7.0, greatest(0.0, x + 0.25 * y - 0.6)) as fx, least(7.0, greatest(0.0, y * 0.9 + 0.3)) as fy, true as ok from {RASTER} b0)"
 check("bilinear_nearest_sampling", bilinear(_bs))(lambda spark, d: R.sample(
-    V.raster_px(spark, d, by_frame=True), F.col("x") + F.col("y") * 0.25 - 0.6, F.col("y") * 0.9 + 0.3, **SIZE))
+    V.raster_px(spark, d), F.col("x") + F.col("y") * 0.25 - 0.6, F.col("y") * 0.9 + 0.3, **SIZE))
 check("nearest_sampling", look("floor(fx + 0.5)", "floor(fy + 0.5)", src=_bs))(lambda spark, d: R.sample(
-    V.raster_px(spark, d, by_frame=True), F.col("x") + F.col("y") * 0.25 - 0.6, F.col("y") * 0.9 + 0.3, mode="NEAREST", **SIZE))
+    V.raster_px(spark, d), F.col("x") + F.col("y") * 0.25 - 0.6, F.col("y") * 0.9 + 0.3, mode="NEAREST", **SIZE))

@@ -50,13 +50,13 @@ KX, KY = ("(case when {0} > 4 then {0} - 8 else {0} end)".format(k) for k in ("k
 
 @check("2_d_forward_transform", f"select clip_id, frame, cast(kx as int) as kx, cast(ky as int) as ky, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from {fwd()} q")
 def _forward(spark, d):
-    s = SP.luma_spectrum(V.raster_px(spark, d, by_frame=True), **SIZE)
+    s = SP.luma_spectrum(V.raster_px(spark, d), **SIZE)
     return s.select("clip_id", "frame", "kx", "ky", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("re", "im")])
 
 
 @check("inverse_transform", f"select clip_id, frame, x, y, round({L709U}, 6) + 0.0 as re, 0.0 as im from {RASTER} p")
 def _inverse(spark, d):
-    s = SP.luma_spectrum(V.raster_px(spark, d, by_frame=True), **SIZE)
+    s = SP.luma_spectrum(V.raster_px(spark, d), **SIZE)
     return SP.inverse(s, **SIZE).select("clip_id", "frame", "x", "y", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("re", "im")])
 
 
@@ -90,14 +90,14 @@ on_frames("fft_spectral_gate", SP.fft_spectral_gate, relit(
 @check("fft_radial_profile", f"""select clip_id, frame, {J(f'sqrt({KX} * {KX} + {KY} * {KY})')} as radius, count(*) as n, round(avg(re * re + im * im), 6) as power,
  round(least(1.0, greatest(0.0, ln(1 + avg(re * re + im * im)) / ln(100001.0))), 6) as level from {fwd()} q group by all""")
 def _profile(spark, d):
-    return SP.fft_radial_profile(V.raster_px(spark, d, by_frame=True), **SIZE).withColumns(
+    return SP.fft_radial_profile(V.raster_px(spark, d), **SIZE).withColumns(
         {c: F.round(c, 6) for c in ("power", "level")})
 
 
 def plot(name, op, sql_cols, cols, **kw):
     sel = ", ".join(f"round({e}, 6) + 0.0 as {c}" for c, e in zip(cols, sql_cols))
     check(name, f"select clip_id, frame, cast((kx + 4) % 8 as int) as kx, cast((ky + 4) % 8 as int) as ky, {sel} from {fwd()} q")(
-        lambda spark, d: op(V.raster_px(spark, d, by_frame=True), **kw, **SIZE).withColumns(
+        lambda spark, d: op(V.raster_px(spark, d), **kw, **SIZE).withColumns(
             {c: F.round(c, 6) + F.lit(0.0) for c in cols}))
 
 
@@ -127,7 +127,7 @@ _qd = "sqrt(pow(case when x > 4 then x - 8 else x end, 2) + pow(case when y > 4
 @check("fft_cepstrum", f"""with sp as materialized {fwd()} select clip_id, frame, cast(x as int) as x, cast(y as int) as y, round(abs(o) * {SMOOTH('2.0', '10.0', _qd)}, 6) as cepstrum
  from {inv(f'(select clip_id, frame, kx, ky, ln({MAG} + 1) as re, 0.0 as im from sp)')} q""")
 def _cepstrum(spark, d):
-    return SP.fft_cepstrum(V.raster_px(spark, d, by_frame=True), **SIZE).withColumn("cepstrum", F.round("cepstrum", 6))
+    return SP.fft_cepstrum(V.raster_px(spark, d), **SIZE).withColumn("cepstrum", F.round("cepstrum", 6))
 
 
 _gh = f"exp(-2 * 9.8696044 * 0.36 * (pow({KX} / 8.0, 2) + pow({KY} / 8.0, 2)))"
@@ -151,17 +151,17 @@ def sampled_sql(grid):
 
 _lr = "exp(ln(0.5) + (ln(6.0) - ln(0.5)) * (1 - v / 12.0))"
 check("fft_log_polar", sampled_sql(f"select u, v, {_lr} * cos(u / 12.0 * pi()) as fx, {_lr} * sin(u / 12.0 * pi()) as fy from (select unnest(range(12)) as u) a, (select unnest(range(12)) as v) b"))(
-    lambda spark, d: SP.fft_log_polar(V.raster_px(spark, d, by_frame=True), rMax=6.0, n_theta=12, n_radius=12, **SIZE).withColumn("level", F.round("level", 6)))
+    lambda spark, d: SP.fft_log_polar(V.raster_px(spark, d), rMax=6.0, n_theta=12, n_radius=12, **SIZE).withColumn("level", F.round("level", 6)))
 check("fft_polar_heatmap", sampled_sql("""select u, v, rn * 4 * cos(th) as fx, rn * 4 * sin(th) as fy from (select u, v, sqrt(pow(u - 8.0, 2) + pow(v - 8.0, 2)) / 8.0 as rn, atan2(v - 8.0, u - 8.0) as th
  from (select unnest(range(16)) as u) a, (select unnest(range(16)) as v) b) c where rn <= 1"""))(
-    lambda spark, d: SP.fft_polar_heatmap(V.raster_px(spark, d, by_frame=True), **SIZE).withColumn("level", F.round("level", 6)))
+    lambda spark, d: SP.fft_polar_heatmap(V.raster_px(spark, d), **SIZE).withColumn("level", F.round("level", 6)))
 
 
 @check("spectrogram", f"""with s as (select clip_id, frame, x, bin, log10(1 + 100 * sqrt(pow(sum(v * cos(2 * pi() * bin * y / 8)), 2) + pow(sum(v * sin(2 * pi() * bin * y / 8)), 2)) / 8) as mag
  from (select clip_id, frame, x, y, {L709U} as v from {RASTER} q) p, (select unnest(range(6)) as bin) b group by all)
  select clip_id, frame, x, cast(bin as int) as bin, round(mag / max(mag) over (partition by clip_id, frame, x), 6) as level from s""")
 def _spectrogram(spark, d):
-    return SP.spectrogram(V.raster_px(spark, d, by_frame=True), freqBins=6, **SIZE).withColumn("level", F.round("level", 6))
+    return SP.spectrogram(V.raster_px(spark, d), freqBins=6, **SIZE).withColumn("level", F.round("level", 6))
 
 
 # ---- repair -----------------------------------------------------------------------------
@@ -187,7 +187,7 @@ _bad = "((frame * 3 + clip_id + (y // 2) * 5) % 7 = 0)"
 
 def _damaged(spark, d, conceal):
     """Expected checksums come from the sound frames; the damaged copy fails them."""
-    px = V.raster_px(spark, d, by_frame=True)
+    px = V.raster_px(spark, d)
     expected = RP.stripe_checksums(px, 2)
     hit = F.expr("(frame * 3 + clip_id + floor(y / 2) * 5) % 7 = 0")
     broken = px.withColumns({c: F.when(hit, F.lit(255) - F.col(c)).otherwise(F.col(c)) for c in "rgb"})

@@ -61,26 +61,26 @@ _G = "cast(bx as int) as bx, cast(by_ as int) as by_"
 
 @check("motion_vectors", f"select clip_id, frame, {_G}, cast(dx as int) as dx, cast(dy as int) as dy, {rsql(['error', 'magnitude', 'strength', 'confidence'])} from {vectors_sql(_RGBD, RASTER, 40.0)} z")
 def _vectors(spark, d):
-    return rounded(M.motion_vectors(V.raster_px(spark, d, by_frame=True), mode="rgb", threshold=40.0, **PARAMS),
+    return rounded(M.motion_vectors(V.raster_px(spark, d), mode="rgb", threshold=40.0, **PARAMS),
                    "error", "magnitude", "strength", "confidence")
 
 
 @check("vector_estimate", f"select clip_id, frame, {_G}, cast(dx as int) as dx, cast(dy as int) as dy, {rsql(['error', 'magnitude', 'strength', 'confidence'])} from {vectors_sql(_HUED, PLANES, 90.0)} z")
 def _estimate(spark, d):
-    return rounded(M.motion_vectors(V.raster_px(spark, d, by_frame=True), mode="hue", threshold=90.0, **PARAMS),
+    return rounded(M.motion_vectors(V.raster_px(spark, d), mode="hue", threshold=90.0, **PARAMS),
                    "error", "magnitude", "strength", "confidence")
 
 
 @check("block_error", f"select clip_id, frame, {_G}, round(err + {NUDGE:.12f}, 6) as error from {errors_sql(_RGBD, RASTER, [(1, -1)])} z")
 def _block_error(spark, d):
-    return rounded(M.block_error(V.raster_px(spark, d, by_frame=True), 1, -1, cellSize=4, **SIZE), "error")
+    return rounded(M.block_error(V.raster_px(spark, d), 1, -1, cellSize=4, **SIZE), "error")
 
 
 _V = vectors_sql(_RGBD, RASTER, 40.0)
 
 
 def _rgb_vectors(spark, d):
-    return M.motion_vectors(V.raster_px(spark, d, by_frame=True), mode="rgb", threshold=40.0, **PARAMS)
+    return M.motion_vectors(V.raster_px(spark, d), mode="rgb", threshold=40.0, **PARAMS)
 
 
 @check("vector_state_encode_decode", f"select clip_id, frame, {_G}, {rsql(['dx', 'dy', 'confidence', 'strength'])} from (select * replace (cast(dx as double) as dx, cast(dy as double) as dy) from {_V} z0) z")
@@ -108,7 +108,7 @@ def _temporal_blend(spark, d):
 
 @check("flip_dot_display")
 def _flip_dots(spark, d):
-    return M.flip_dots(V.raster_px(spark, d, by_frame=True), cellSize=2, hysteresis=2.0, **SIZE)
+    return M.flip_dots(V.raster_px(spark, d), cellSize=2, hysteresis=2.0, **SIZE)
 
 
 # ---- frame timing -----------------------------------------------------------------------
