@@ -20,7 +20,10 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     The partition count is given, so AQE does not coalesce by the size of the
     compact rows what becomes many times larger after the explode.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):   # more tasks than cores gain nothing there
+        n = min(n, spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
 
 

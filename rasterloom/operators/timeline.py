@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color as C
@@ -80,22 +80,24 @@ def collapse_runs(frames: DataFrame, value: str, delay: str, *, width=24 * HOUR_
         F.sum(quantise_delay(F.col(delay))).cast("bigint").alias("delay_ms"))
 
 
-def value_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key with JS-style rounding, from value counts.
+def value_median(df: DataFrame, keys: list[str], value: str, *, width: int = 1_000_000) -> DataFrame:
+    """Exact median per key; an even count gives the rounded mean of the middle two.
 
-    Equal values are counted first and ranked by running count, so a hot key
-    is reduced before it meets a window.
+    Equal values are counted first.  The running count is split by value range
+    (`width`), so a hot key with many distinct values is still spread.
     """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    c = counts.withColumns({"_hi": F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                            "_t": F.sum("_n").over(Window.partitionBy(*keys))})
-    mid = F.floor(F.col("_t") / 2)
+    counts = counts.withColumn("_vb", F.floor(F.col(value) / F.lit(width)).cast("long"))
+    c = bucketed_running_sum(counts, keys, "_vb", [value], F.col("_n"), "_hi")
+    totals = df.groupBy(*keys).agg(F.count("*").alias("_t"))
+    c = c.join(totals, keys).withColumn("_mid", F.floor(F.col("_t") / 2))
 
     def holds(pos: Column) -> Column:
         return (F.col("_hi") - F.col("_n") <= pos) & (pos < F.col("_hi"))
-    picked = c.groupBy(*keys).agg(F.max("_t").alias("_t"), F.max(F.when(holds(mid), F.col(value))).alias("_b"),
-                                  F.max(F.when(holds(mid - 1), F.col(value))).alias("_a"))
+    upper, lower = holds(F.col("_mid")), holds(F.col("_mid") - 1)
+    picked = c.where(upper | lower).groupBy(*keys).agg(
+        F.max("_t").alias("_t"), F.max(F.when(upper, F.col(value))).alias("_b"),
+        F.max(F.when(lower, F.col(value))).alias("_a"))
     even = F.pmod("_t", F.lit(2)) == 0
     return picked.select(*keys, F.when(even, F.floor((F.col("_a") + F.col("_b")) / 2.0 + 0.5)).otherwise(
         F.col("_b")).cast("bigint").alias("median"))

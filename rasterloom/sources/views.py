@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators.ordered import bucketed_rank, spread
+from rasterloom.operators.ordered import bucketed_rank, shuffled_join, spread
 
 SIDE = 8  # frames of the vector-backed raster are 8 x 8
 RANK_WIDTH = 4096
@@ -117,11 +117,31 @@ def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey")
 
 
+MAX_STEPS = 4096   # far above the 16 steps a chain may hold
+
+
+def positioned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`(chain_id, pos, step)` without gathering a chain: a two-stage rank."""
+    s = chain_steps(spark, sf_dir).withColumn(
+        "_b", F.col("l_linenumber").cast("long") * F.lit(1 << 40) + F.floor(F.col("l_partkey") / 64))
+    ranked = bucketed_rank(s, ["chain_id"], "_b", ["l_partkey", "l_suppkey"], "pos")
+    return ranked.select("chain_id", F.col("pos").cast("int").alias("pos"), "step")
+
+
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per chain: ordered step names and a category."""
+    """One row per chain: ordered step names and a category.
+
+    A chain is a short list by definition.  An id with more than MAX_STEPS rows
+    is not one: it fails with its id before any of its rows are gathered.
+    """
+    rows = chain_steps(spark, sf_dir)
+    sizes = rows.groupBy("chain_id").agg(F.count("*").alias("_n"))
+    ok = F.when(F.col("_n") > MAX_STEPS, F.raise_error(F.concat(
+        F.lit("chain with too many steps: "), F.col("chain_id").cast("string"))).cast("string")).otherwise(F.col("step"))
+    rows = shuffled_join(rows, sizes, "chain_id").withColumn("step", ok)
     ordered = F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "step")))
-    steps = chain_steps(spark, sf_dir).groupBy("chain_id").agg(ordered.alias("s"))
+    steps = rows.groupBy("chain_id").agg(ordered.alias("s"))
     cats = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("chain_id"), F.col("o_orderpriority").alias("category"))
     return steps.join(cats, "chain_id").select(

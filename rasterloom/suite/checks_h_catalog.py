@@ -57,7 +57,8 @@ CHAINS = """(select l_orderkey as chain_id, o_orderpriority as category, list('S
 
 @check("preset_catalogue_scan", f"select chain_id, category, cast(unnest(range(len(steps))) as int) as pos, unnest(steps) as step from {CHAINS} c")
 def _presets(spark, d):
-    return V.chains(spark, d).select("chain_id", "category", F.posexplode("steps").alias("pos", "step"))
+    cats = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("chain_id"), F.col("o_orderpriority").alias("category"))
+    return V.positioned_steps(spark, d).join(cats, "chain_id").select("chain_id", "category", "pos", "step")
 
 
 @check("theme_palette_scan", f"select clip_id, frame, cast(y * 8 + x as int) as idx, r, g, b from {RASTER} p")
