@@ -386,15 +386,6 @@ def motion_pixelate(df: DataFrame, *, blockSize=12, invert=False, threshold=5.0,
                           for c in C.RGB}).select(*df.columns)
 
 
-def hold_runs(df: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
-    """Run ids of equal consecutive values (gaps and islands) per bounded key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    d = df.withColumn("_v", value)
-    flag = F.when(F.lag("_v").over(w) == F.col("_v"), 0).otherwise(1)
-    return d.withColumn("_flag", flag).withColumn(
-        "run", F.sum("_flag").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_v", "_flag")
-
-
 def reset_sessions(df: DataFrame, keys: list[str], bucket: str, order: list[str], index: str) -> DataFrame:
     """Session ids that advance whenever the frame index restarts (drops)."""
     from rasterloom.operators.ordered import bucketed_neighbour, bucketed_running_sum

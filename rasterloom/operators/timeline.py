@@ -40,7 +40,7 @@ def _bucketed(frames: DataFrame, width: int) -> DataFrame:
     return frames.withColumn("_bucket", F.floor(F.col("ts_us") / F.lit(width)).cast("long"))
 
 
-def next_frame(frames: DataFrame, *, width=24 * HOUR_US) -> DataFrame:
+def next_frame(frames: DataFrame, *, width=HOUR_US) -> DataFrame:
     """Add `next_ts`, the clip's following timestamp."""
     d = bucketed_neighbour(_bucketed(frames, width), ["clip_id"], "_bucket", ["ts_us", "event_id"],
                            ["ts_us"], forward=True, prefix="next_")
@@ -69,7 +69,7 @@ def quantise_delay(ms: Column) -> Column:
     return F.greatest(F.lit(10), C.jr(F.greatest(F.lit(10.0), ms.cast("double")) / 10.0) * 10)
 
 
-def collapse_runs(frames: DataFrame, value: str, delay: str, *, width=24 * HOUR_US) -> DataFrame:
+def collapse_runs(frames: DataFrame, value: str, delay: str, *, width=HOUR_US) -> DataFrame:
     """Merge consecutive frames with equal content and add up their quantised delays."""
     d = _bucketed(frames, width)
     d = bucketed_neighbour(d, ["clip_id"], "_bucket", ["ts_us", "event_id"], [value])
@@ -154,3 +154,17 @@ def contact_sheet(frames: DataFrame, *, columns: int, frameWidth: int, frameHeig
                     (F.col("row") * (frameHeight + gap) + padding).alias("top"),
                     (F.col("columns") * frameWidth + (F.col("columns") - 1) * gap + 2 * padding).alias("width"),
                     (F.col("rows") * frameHeight + (F.col("rows") - 1) * gap + 2 * padding).alias("height"))
+
+
+def idle_sessions(df: DataFrame, keys: list[str], gap_us: int, aggs: list[Column], *, width: int | None = None) -> DataFrame:
+    """Runs of rows without a gap longer than `gap_us`: `(keys, start_us, end_us, aggs...)`.
+
+    Same rows as `session_window`, but a hot key is split by time bucket.  `df`
+    needs `ts_us` and `event_id`.
+    """
+    d = _bucketed(df, width or gap_us)
+    d = bucketed_neighbour(d, keys, "_bucket", ["ts_us", "event_id"], ["ts_us"])
+    fresh = F.when(F.col("ts_us") - F.col("prev_ts_us") <= F.lit(gap_us), 0).otherwise(1)
+    d = bucketed_running_sum(d, keys, "_bucket", ["ts_us", "event_id"], fresh, "_session")
+    return d.groupBy(*keys, "_session").agg(
+        F.min("ts_us").alias("start_us"), (F.max("ts_us") + F.lit(gap_us)).alias("end_us"), *aggs).drop("_session")

@@ -89,10 +89,10 @@ def frame_stream(spark: SparkSession, folder: str, schema: StructType, *, glob:
 
 
 def frame_tokens(frames: DataFrame) -> DataFrame:
-    """Number frames per clip with a growing token, split by day (see `ordered`)."""
+    """Number frames per clip with a growing token, split by hour (see `ordered`)."""
     from rasterloom.operators.ordered import bucketed_rank
-    d = frames.withColumn("_day", F.floor(F.col("ts_us") / 86_400_000_000))
-    return bucketed_rank(d, ["clip_id"], "_day", ["ts_us", "event_id"], "frame_token").drop("_day")
+    d = frames.withColumn("_hour", F.floor(F.col("ts_us") / 3_600_000_000))
+    return bucketed_rank(d, ["clip_id"], "_hour", ["ts_us", "event_id"], "frame_token").drop("_hour")
 
 
 def write_frames(px: DataFrame, path: str, *, mode="overwrite", frames_per_file: int = 256) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import folds as FD
 from rasterloom.operators import ordered as O
 from rasterloom.operators import signals as S
+from rasterloom.operators import timeline as TL
 from rasterloom.sources import views as V
 from rasterloom.suite.registry import check
 
@@ -168,13 +169,12 @@ def _history_rows(spark, d):
     return O.own_rows(c, "pos", 1024).select("user_id", "event_id", "mean8")
 
 
-@check("idle_gap_reset_session", """with e as (select user_id, epoch_us(ts) as t, value from events), f as (select *, case when t - lag(t) over (partition by user_id order by t) < 21600000000 then 0 else 1 end as fl from e),
+@check("idle_gap_reset_session", """with e as (select user_id, epoch_us(ts) as t, value from events), f as (select *, case when t - lag(t) over (partition by user_id order by t) <= 21600000000 then 0 else 1 end as fl from e),
  s as (select *, sum(fl) over (partition by user_id order by t) as sid from f)
  select user_id, min(t) as start_us, max(t) + 21600000000 as end_us, count(*) as n, round(max(value), 6) as peak from s group by user_id, sid""")
 def _sessions(spark, d):
-    return V.events(spark, d).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(
-        F.count("*").alias("n"), F.round(F.max("value"), 6).alias("peak")).select(
-        "user_id", epoch("w.start").alias("start_us"), epoch("w.end").alias("end_us"), "n", "peak")
+    return TL.idle_sessions(V.events(spark, d), ["user_id"], 6 * TL.HOUR_US, [
+        F.count("*").alias("n"), F.round(F.max("value"), 6).alias("peak")])
 
 
 # ---- tempo and state --------------------------------------------------------------------

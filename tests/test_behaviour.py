@@ -267,6 +267,14 @@ def test_thinning_keeps_the_last_frame(spark):
     assert [r.ts_us for r in FD.cadence_thinning(fr, gap).orderBy("ts_us").collect()] == [0, 30, 70, 75]
 
 
+def test_sessions_agree_with_the_built_in_window(spark, series):
+    df = spark.createDataFrame([(k, t * 1_000_000, i) for k, t, i, _ in series], "k int, ts_us long, event_id int")
+    mine = TL.idle_sessions(df, ["k"], 9_000_000, [F.count("*").alias("n")], width=37_000_000)
+    ref = df.groupBy("k", F.session_window(F.timestamp_micros("ts_us"), "9 seconds").alias("w")).agg(F.count("*").alias("n"))
+    ref = ref.select("k", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
+    assert rows(mine, "k", "start_us", "end_us", "n") == rows(ref)
+
+
 # ---- signal --------------------------------------------------------------------------------
 
 def test_tempo_of_a_pulse_train(spark):
