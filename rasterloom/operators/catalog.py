@@ -180,12 +180,31 @@ def search(df: DataFrame, *, category: str | None = None, query: str | None = No
 
 # Keyword families of option names.
 KEYWORDS = {
+    "transient": ["amount", "mix", "intensity", "strength", "threshold", "glitch", "noise", "contrast", "edge",
+                  "detail", "sharpen", "poster", "posterize", "density", "count", "morph", "iterations", "spread",
+                  "dust", "grit"],
+    "heavy": ["size", "scale", "radius", "blur", "smear", "feedback", "decay", "persistence", "block", "pixel",
+              "distort", "warp", "offset", "displace", "line", "scan", "depth", "rows", "cols", "grid", "cell",
+              "tile", "chunk"],
+    "tone": ["hue", "color", "palette", "gamma", "brightness", "saturation", "tone", "warm", "cool", "channel",
+             "rgb", "contrast", "temperature", "lightness", "chroma", "tint", "shade", "value"],
     "flow": ["phase", "speed", "angle", "rotate", "offset", "scroll", "drift", "wave", "wobble", "frequency",
              "motion", "shift", "time", "step", "cycle", "sweep"],
     "noise": ["noise", "glitch", "detail", "edge", "grain", "jitter", "spark", "rough", "scratch", "hash",
               "fizz", "speckle"],
 }
 
+# Bonus per keyword family for each kind of metric.
+METRIC_BONUS = {
+    "beat": {"transient": 6, "heavy": 2},
+    "bass": {"heavy": 7, "transient": 2},
+    "treble": {"tone": 7, "transient": 1},
+    "tempo": {"flow": 7, "heavy": 1},
+    "roughness": {"noise": 7, "transient": 2},
+    "stereo": {"flow": 3, "tone": 2, "heavy": 2},
+    "mid": {"transient": 3, "heavy": 2, "tone": 2},
+}
+
 
 def keyword_hit(text: Column, words: list[str]) -> Column:
     return F.lower(text).rlike("|".join(words))
@@ -199,6 +218,11 @@ def keyword_score(text: Column, bonuses: dict[str, int], base: int = 2) -> Colum
     return score
 
 
+def metric_score(metric_kind: str, text: Column) -> Column:
+    """How well an option, named and labelled by `text`, suits a kind of metric."""
+    return keyword_score(text, METRIC_BONUS[metric_kind])
+
+
 def pick_fresh(metrics: DataFrame, group: list[str], name: str, n: int, *, seed: int = 0) -> DataFrame:
     """`n` members per group, unused ones first, then in hashed order (small dimension tables)."""
     from pyspark.sql import Window

@@ -322,20 +322,18 @@ def _slow_list(spark, d):
     return A.slow_steps(s).select("name").orderBy("name")
 
 
-@check("bench_compare", """with r as (select user_id, event_type, ts < timestamp '2024-01-16' as early, avg(value) as v from events where event_id % 7 <> user_id % 7 group by all),
- b as (select user_id, event_type, v from r where early and user_id % 11 <> 3), a as (select user_id, event_type, v from r where not early and user_id % 13 <> 5)
+@check("bench_compare", """with r as (select user_id, event_type, ts < timestamp '2024-01-03' as early, avg(value) as v from events group by all),
+ b as (select user_id, event_type, v from r where early), a as (select user_id, event_type, v from r where not early)
  select coalesce(b.user_id, a.user_id) as user_id, coalesce(b.event_type, a.event_type) as event_type, round(b.v, 6) as before, round(a.v, 6) as after,
  round((a.v - b.v) / b.v * 100, 6) as delta_pct, round(a.v / b.v, 6) as speedup,
  case when b.v is not null and a.v is not null then 'both' when b.v is null then 'new' else 'removed' end as status
  from b full join a on a.user_id = b.user_id and a.event_type = b.event_type""")
 def _bench(spark, d):
-    e = V.events(spark, d).where(F.pmod("event_id", F.lit(7)) != F.pmod("user_id", F.lit(7)))
-    early = F.col("ts_us") < 1_705_363_200_000_000   # 2024-01-16 UTC
+    """The first two days against the rest of the month."""
+    early = F.col("ts_us") < 1_704_240_000_000_000   # 2024-01-03 UTC
     keys = ["user_id", "event_type"]
-    rep = e.groupBy(*keys, early.alias("early")).agg(F.avg("value").alias("v"))
-    before = rep.where(F.col("early") & (F.col("user_id") % 11 != 3))
-    after = rep.where(~F.col("early") & (F.col("user_id") % 13 != 5))
-    return A.bench_compare(before, after, keys).withColumns(
+    rep = V.events(spark, d).groupBy(*keys, early.alias("early")).agg(F.avg("value").alias("v"))
+    return A.bench_compare(rep.where("early"), rep.where("not early"), keys).withColumns(
         {"before": F.round("before", 6), "after": F.round("after", 6)})
 
 

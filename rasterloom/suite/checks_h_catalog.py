@@ -134,8 +134,7 @@ on_frames("pixelsort_diagonal", SO.pixelsort, sorted_sql("x - y", "least(x, y)",
 _ck = {"RGBA": "r, g, b, a", "GBRA": "g, b, r, a", "HSVA": "h, s, v, a", "LABA": "ll, la, lb, a", "LUMINANCE": L709}
 
 
-@check("comparators", f"""select l_orderkey, l_linenumber, r, g, b, dense_rank() over (order by r, g, b) as rk_rgb, dense_rank() over (order by g, b, r) as rk_gbr, dense_rank() over (order by b, g, r) as rk_bgr from {CARRIER} p
- where l_orderkey % 50 = 0""".replace(" where l_orderkey % 50 = 0", ""))
+@check("comparators", f"""select l_orderkey, l_linenumber, r, g, b, dense_rank() over (order by r, g, b) as rk_rgb, dense_rank() over (order by g, b, r) as rk_gbr, dense_rank() over (order by b, g, r) as rk_bgr from {CARRIER} p""")
 def _comparators(spark, d):
     """Ranks by channel-order comparators, computed on distinct colours and joined back."""
     px = V.channel_carrier(spark, d)
@@ -158,10 +157,9 @@ def _comparator_order(spark, d):
     return SO.ordered_by(V.channel_carrier(spark, d), "HSVA", descending=True, ties=["l_orderkey", "l_linenumber", "r", "g", "b"])
 
 
-@check("comparator_lab_luminance", f"""select l_orderkey, l_linenumber, r, g, b, a from {LAB} q order by ll, la, lb, a, l_orderkey, l_linenumber, r, g, b limit 500""")
+@check("comparator_lab_luminance", f"""select l_orderkey, l_linenumber, r, g, b, a from {LAB} q order by ll, la, lb, a, l_orderkey, l_linenumber, r, g, b""")
 def _lab_order(spark, d):
-    """The first 500 rows in Lab order (a top-k)."""
-    return SO.ordered_by(V.channel_carrier(spark, d), "LABA", ties=["l_orderkey", "l_linenumber", "r", "g", "b"]).limit(500)
+    return SO.ordered_by(V.channel_carrier(spark, d), "LABA", ties=["l_orderkey", "l_linenumber", "r", "g", "b"])
 
 
 # ---- presets and chains -----------------------------------------------------------------
@@ -308,9 +306,14 @@ def _kw(col, fam):
     return f"regexp_matches(lower({col}), '{'|'.join(K.KEYWORDS[fam])}')"
 
 
-@check("parameter_keyword_score", f"select doc_id, cast(2 + case when {_kw('text', 'flow')} then 3 else 0 end + case when {_kw('text', 'noise')} then 7 else 0 end as int) as score from documents")
+def _kscore(kind, col="text"):
+    return "cast(2 + " + " + ".join(f"case when {_kw(col, fam)} then {n} else 0 end" for fam, n in K.METRIC_BONUS[kind].items()) + " as int)"
+
+
+@check("parameter_keyword_score", f"select doc_id, {', '.join(f'{_kscore(k)} as {k}' for k in K.METRIC_BONUS)} from documents")
 def _score(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", K.keyword_score(F.col("text"), {"flow": 3, "noise": 7}).alias("score"))
+    t = V.table(spark, d, "documents")
+    return t.select("doc_id", *[K.metric_score(k, F.col("text")).alias(k) for k in K.METRIC_BONUS])
 
 
 @check("share_string_zlib_base64url_json", "select doc_id, md5(text) as digest, length(text) as n from documents")
