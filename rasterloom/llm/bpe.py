@@ -162,13 +162,13 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokens.value, pattern)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                ids, ends = encoder.encode(part.column("_text").to_pylist())
-                columns = [*part.columns[:-1], binary_column(ids.astype("<u4"), ends * 4)]
+            for part in slices(batch, text):
+                ids, ends = encoder.encode(part.column(text).to_pylist())
+                columns = [*part.columns[:len(keep)], binary_column(ids.astype("<u4"), ends * 4)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(out, BinaryType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -121,17 +121,18 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", keep: list[str] | None = None,
-            dimensions: int = DIMENSIONS, gram: int = GRAM) -> DataFrame:
-    """`keep` columns (all by default) with lang_pred and score."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+            out: tuple[str, str] = ("lang_pred", "score"), dimensions: int = DIMENSIONS, gram: int = GRAM) -> DataFrame:
+    """`keep` columns (all by default) with the language and the score, named by `out`."""
+    keep = [c for c in docs.columns if c not in out] if keep is None else keep
+    read = keep if text in keep else [*keep, text]
     names = sorted(prototypes)
     shown = np.stack([prototypes[k] / np.linalg.norm(prototypes[k]) for k in names], axis=1) if names else np.zeros((dimensions, 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions, gram)
         for batch in batches:
-            for part in slices(batch, "_text", BLOCK):
-                texts = part.column("_text").to_pylist()
+            for part in slices(batch, text, BLOCK):
+                texts = part.column(text).to_pylist()
                 bundles = profiles.bundles(np.arange(len(texts)), len(texts), texts)
                 norms = np.linalg.norm(bundles, axis=1)
                 cosines = np.round(bundles @ shown / np.maximum(norms, 1e-9)[:, None], 9)
@@ -139,10 +140,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                 has = (norms > 0) & np.array([any(map(str.isalpha, t or "")) for t in texts], bool) & bool(names)
                 score = np.where(has, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0.0)
                 pred = pc.if_else(pa.array(has), pa.array([names[b] for b in best] if names else [UNKNOWN] * len(texts), pa.string()), UNKNOWN)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pred, pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pred, pa.array(score)], names=[*keep, *out])
 
-    schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    schema = StructType([*(docs.schema[c] for c in keep), StructField(out[0], StringType()), StructField(out[1], DoubleType())])
+    return docs.select(*read).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -109,10 +109,11 @@ def take(keyed: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with the columns of `docs`."""
-    keyed = with_keys(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_row"), "doc_id", "text", "source")
+    keyed = with_keys(rows)
     plan = staged(cuts(staged(keyed.select("source", *KEYS)), **options))
     return (take(keyed, plan).filter("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns))
+            .select("doc_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc_row.*"))
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

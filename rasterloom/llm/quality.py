@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import table, word_array
+from rasterloom.llm.common import staged, table, word_array
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
 ROUNDS, START, LEAST, KEEP = 60, 0.9, 0.002, 0.5
@@ -125,36 +125,27 @@ def estimate(counts: list[tuple[tuple[int, ...], int]], rules: int, rounds: int
     return prior, odds
 
 
-def judged(docs: DataFrame, *, text: str = "text", keep: float = KEEP, whole: DataFrame | None = None) -> DataFrame:
-    """Add the measures, vote_<rule>, base_failed, quality (posterior) and kept.
+def with_votes(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """Add the measures and vote_<rule> for each rule."""
+    return measured(docs, text=text).withColumns({f"vote_{k}": v for k, v in votes().items()})
 
-    `whole` may be a staged table with the votes of `docs`, else they are made twice.
-    """
-    rules = votes()
-    d = measured(docs, text=text) if whole is None else whole
-    if whole is None:
-        d = d.withColumns({f"vote_{k}": v for k, v in rules.items()})
-    names = [f"vote_{k}" for k in rules]
-    patterns = d.groupBy(*names).count().collect()  # at most 3 ** rules rows
-    prior, odds = estimate([(tuple(r[n] for n in names), r["count"]) for r in sorted(patterns, key=lambda r: tuple(r[n] for n in names))], len(names))
+
+def judged(voted: DataFrame, *, keep: float = KEEP) -> DataFrame:
+    """Add base_failed, quality (posterior) and kept; `voted` is from with_votes and staged, as it is read twice."""
+    names = [f"vote_{k}" for k in votes()]
+    patterns = voted.groupBy(*names).count().sort(*names).collect()  # at most 3 ** rules rows
+    prior, odds = estimate([(tuple(r[n] for n in names), r["count"]) for r in patterns], len(names))
     x = F.lit(prior)
     for name, o in zip(names, odds):
         x = x + F.when(F.col(name) == 1, o[1]).when(F.col(name) == -1, o[-1]).otherwise(0.0)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return (d.withColumn("base_failed", failed).withColumn("quality", F.round(1 / (1 + F.exp(-x)), 6))
+    return (voted.withColumn("base_failed", failed).withColumn("quality", F.round(1 / (1 + F.exp(-x)), 6))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep)))
 
 
-def with_votes(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    return measured(docs, text=text).withColumns({f"vote_{k}": v for k, v in votes().items()})
-
-
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
-    from rasterloom.llm.common import staged
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    voted = staged(with_votes(docs).drop("text"))
-    return judged(docs, whole=voted).select("doc_id", *BASE, "base_failed", "kept", "quality")
+    voted = staged(with_votes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return judged(voted).select("doc_id", *BASE, "base_failed", "kept", "quality")

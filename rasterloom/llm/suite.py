@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, langid, mixing, quality
+from rasterloom.llm import bpe, dartminhash, langid, mixing, quality
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_near_duplicates": dartminhash.op2_near_duplicates,
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_language": langid.op5_language,
