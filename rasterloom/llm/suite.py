@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, dartminhash, langid, mixing, quality
+from rasterloom.llm import bpe, dartminhash, langid, licenses, mixing, quality, sharding
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -10,6 +10,12 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_bpe": bpe.op4_bpe,
     "op5_language": langid.op5_language,
+    "op6_licenses": licenses.op6_licenses,
+    "op9_sharding": sharding.op9_sharding,
 }
 
-ORACLES = {"op1_mix": mixing.OP1_SQL}
+ORACLES = {
+    "op1_mix": mixing.OP1_SQL,
+    "op6_licenses": licenses.op6_sql(),
+    "op9_sharding": sharding.op9_sql(),
+}
