@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, dartminhash, langid, licenses, mixing, quality, sharding
+from rasterloom.llm import bpe, chunks, dartminhash, langid, licenses, mixing, quality, sharding
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language": langid.op5_language,
     "op6_licenses": licenses.op6_licenses,
     "op9_sharding": sharding.op9_sharding,
+    "op10_fingerprints": chunks.op10_fingerprints,
 }
 
 ORACLES = {
