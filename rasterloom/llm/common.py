@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.lineage import work_folder
@@ -70,3 +70,19 @@ def binary_column(data: bytes | np.ndarray, ends: np.ndarray) -> pa.Array:
     """Byte runs of one buffer as a binary column; `ends` are the runs' ends."""
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def write_raw(df: DataFrame, column: str, path: str, trailer: str, rows_per_file: int = 0) -> None:
+    """Write byte strings, each followed by the trailer, one file per task, in row order.
+
+    Spark's own line sink does it (any shared store, committed output, safe when executors are
+    lost): a "line" is a record, its separator the trailer that the format demands anyway.
+    """
+    (df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", trailer)
+     .option("maxRecordsPerFile", rows_per_file).text(path))
+
+
+def running_total(parts: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Sum of `value` before each row in `key` order; for one row per file or partition."""
+    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
