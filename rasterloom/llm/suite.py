@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, chunks, dartminhash, langid, licenses, mixing, quality, rans, sharding
+from rasterloom.llm import bpe, chunks, dartminhash, langid, licenses, mixing, quality, rans, sharding, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_language": langid.op5_language,
     "op6_licenses": licenses.op6_licenses,
+    "op7_warc": warc.op7_warc,
     "op8_token_files": rans.op8_token_files,
     "op9_sharding": sharding.op9_sharding,
     "op10_fingerprints": chunks.op10_fingerprints,
