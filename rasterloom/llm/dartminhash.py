@@ -8,10 +8,12 @@ so two documents agree in a coordinate with the probability of their weighted Ja
 similarity.  Only about k ln k + 2 k darts are looked at, whatever the length of the text.
 
 Signatures are cut into bands; documents that share a band meet in a bucket.  A bucket never
-gives all its pairs at once: a centre is compared with all members, then only members that
-are still in different classes are compared again, up to CENTRES centres a round, until each
+gives all its pairs at once: in a small one a centre is compared with all members, then only members that
+are still in different classes are compared again, a few centres a round and then CENTRES[-1], until each
 bucket is of one class or all its pairs of different classes are refuted.  Every link is
-verified on whole shingle sets.  With 40 bands of 6, a pair of similarity 0.8 is missed with
+verified on whole shingle sets.  A member whose elements are for too large a part met in no
+other open member cannot have a link and leaves its buckets uncompared; pairs that cannot
+share enough are not made.  With 40 bands of 6, a pair of similarity 0.8 is missed with
 probability 6e-6.
 
 Equal sets are one node from the start, so copies are never expanded.  Nodes, buckets, links
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from rasterloom.llm.common import WORD, dimension_join, slices, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-CENTRES = 64
-KEPT_WORDS = 500_000
+STAR = 8  # buckets up to this size begin with one star
+CENTRES = (1, 4, 16, 64)  # a bucket's centres in the first rounds; the last number holds for all later ones
+KEPT_WORDS = 150_000
 POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 18)])])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,6 +175,24 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary")
 
 
+def common_at_most(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, common): the weight of a node's elements that any other of the nodes has too.
+
+    No other node can share more, which bounds the similarity without looking at pairs.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, elements, weights in zip(*(batch.column(c).to_pylist() for c in ("node", "elements", "weights"))):
+                x = np.frombuffer(elements, np.int64)
+                w = np.frombuffer(weights, np.float64) if weights else np.ones(len(x))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(x), pa.binary()), pa.array(x), pa.array(w)], names=["node", "element", "weight"])
+
+    each = sets.join(nodes.hint("merge"), "node", "left_semi").select("node", "elements", "weights").mapInArrow(run, "node binary, element bigint, weight double")
+    alone = (each.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"))
+             .filter("n = 1").groupBy("node").agg(F.sum("weight").alias("alone")))
+    return nodes.join(alone.hint("merge"), "node", "left").select("node", F.coalesce("alone", F.lit(0.0)).alias("alone"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in (a, b): the least node of the connected part.
 
@@ -191,19 +213,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id",
-           weighted: bool = False, centres: int = CENTRES) -> tuple[DataFrame, DataFrame]:
+           weighted: bool = False, centres: tuple[int, ...] = CENTRES) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, first: least id) and the label of each node that has a link.  `signs` is staged."""
     nodes = staged(signs.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     met = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    buckets = staged(met.join(shared.select("key", "centre").hint("merge"), "key"))
+    buckets = staged(met.join(shared.hint("merge"), "key"))
 
     def close(size: str, other: str):
         return F.least(size, other) >= least * F.greatest(size, other)
 
     firsts = nodes.select(F.col("node").alias("centre"), F.col("size").alias("centre_size"))
-    pairs = buckets.filter("node != centre").select(F.col("centre"), "node", "size").distinct()
+    pairs = buckets.filter(F.col("n") <= STAR).filter("node != centre").select(F.col("centre"), "node", "size").distinct()
     pairs = staged(pairs.join(firsts.hint("merge"), "centre").filter(close("size", "centre_size")).select(F.col("centre").alias("a"), F.col("node").alias("b")))
     ids = staged(buckets.select("node").distinct().join(nodes.select("node", "first").hint("merge"), "node").select(F.col("first").alias("_first")).distinct())
     sets = staged(shingle_sets(
@@ -211,22 +233,30 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
         .groupBy("node").agg(F.first("elements").alias("elements"), F.first("weights").alias("weights")))
     links = staged(verified(pairs, sets, least))
     labels = components(links)
-    rest = buckets.filter("node != centre").select("key", "node", "size")
-    while True:
+    rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for turn in count():
+        most = centres[min(turn, len(centres) - 1)]
         seen = rest.join(labels.hint("merge"), "node", "left").select("key", "node", "size", "label", F.coalesce("label", "node").alias("part"))
         mixed_up = seen.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
-        order = Window.partitionBy("key").orderBy(F.col("label").isNull(), "node")  # linked members reach further
-        open_ = staged(seen.join(mixed_up.hint("merge"), "key").withColumn("at", F.row_number().over(order)))
-        if open_.isEmpty():
+        seen = staged(seen.join(mixed_up.hint("merge"), "key"))
+        if seen.isEmpty():
             return nodes.select("node", "first"), labels
-        centre = open_.filter(F.col("at") <= centres).select("key", F.col("at").alias("at0"), F.col("node").alias("a"), F.col("part").alias("part0"), F.col("size").alias("size0"))
-        again = (open_.join(centre.hint("merge"), "key").filter("at > at0 and part != part0").filter(close("size", "size0"))
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+        # what a node can share at all decides whether it can have a link to a node not yet compared
+        bound = staged(common_at_most(seen.select("node").distinct(), sets))
+        able = seen.join(bound.hint("merge"), "node").withColumn("common", F.col("size") - F.col("alone")).filter(F.col("common") >= least * F.col("size") - 1e-6)
+        order = Window.partitionBy("key").orderBy(F.col("label").isNull(), F.col("alone") / F.col("size"), "node")  # linked and plain members reach further
+        open_ = staged(able.withColumn("at", F.row_number().over(order)))
+        centre = open_.filter(F.col("at") <= most).select("key", *[F.col(c).alias(f"{c}0") for c in ("node", "at", "part", "size", "common")])
+        near = (1 + least) * F.least("common", "common0") >= least * (F.col("size") + F.col("size0")) - 1e-6
+        again = (open_.join(centre.hint("merge"), "key").filter("at > at0 and part != part0").filter(close("size", "size0") & near)
+                       .select(F.least("node0", "node").alias("a"), F.greatest("node0", "node").alias("b")).distinct())
+        again = staged(again.join(met_before.hint("merge"), ["a", "b"], "left_anti"))
+        met_before = met_before.union(again)
         more = staged(verified(again, sets, least))
         if not more.isEmpty():
             links = staged(links.union(more))
             labels = components(links)
-        rest = open_.filter(F.col("at") > centres).select("key", "node", "size")
+        rest = open_.filter(F.col("at") > most).select("key", "node", "size")
 
 
 def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
