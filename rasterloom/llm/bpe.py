@@ -29,7 +29,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from rasterloom.llm.common import binary_column, ragged, slices
 
-KEPT_PIECES = 400_000  # a task forgets its pieces beyond this many and encodes them anew
+KEPT_PIECES = 300_000  # a task forgets its pieces beyond this many and encodes them anew
+KEPT_PAIRS = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -52,6 +53,8 @@ class Replay:
         key = a << 32 | b
         rank = self.pairs.get(key)
         if rank is None:
+            if len(self.pairs) > KEPT_PAIRS:
+                self.pairs.clear()
             rank = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
         return rank
 
@@ -171,34 +174,60 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", out
     return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
 
 
+class Decoder:
+    """Bytes of ids."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lens = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of the ids, and where the bytes of each run of ids end."""
+        at = ids.astype(np.int64)
+        return self.flat[ragged(self.starts[at], self.lens[at])], np.concatenate([[0], np.cumsum(self.lens[at])])[ends]
+
+
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add `out`: the bytes that the ids stand for."""
     tokens = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks))
     columns = [c for c in encoded.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens.value
-        lens = np.array([len(t) for t in table], np.int64)
-        starts = np.cumsum(lens) - lens
-        flat = np.frombuffer(b"".join(table), np.uint8)
+        decoder = Decoder(tokens.value)
         for batch in batches:
             for part in slices(batch, ids):
                 runs = [x or b"" for x in part.column(ids).to_pylist()]
-                at = np.frombuffer(b"".join(runs), "<u4").astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(lens[at])])[np.cumsum([len(x) // 4 for x in runs])]
-                text = flat[ragged(starts[at], lens[at])]
+                text, ends = decoder.decode(np.frombuffer(b"".join(runs), "<u4"), np.cumsum([len(x) // 4 for x in runs]))
                 yield pa.RecordBatch.from_arrays([*part.columns, binary_column(text, ends)], names=[*columns, out])
 
     schema = StructType([*(encoded.schema[c] for c in columns), StructField(out, BinaryType())])
     return encoded.select(*columns).mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns with ids and decoded: encode and decode in one pass, with one Python worker a task."""
+    tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(tokens.value, pattern), Decoder(tokens.value)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                ids, ends = encoder.encode(part.column("_text").to_pylist())
+                packed = binary_column(ids.astype("<u4"), ends * 4)
+                back = binary_column(*decoder.decode(np.frombuffer(packed.buffers()[2], "<u4", len(ids)), ends))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed, back], names=[*keep, "ids", "decoded"])
+
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(decode(encode(docs, path, public_tokenizers.PATTERN), path)).select(
+    return digests(round_trip(docs, path, public_tokenizers.PATTERN)).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

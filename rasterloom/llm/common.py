@@ -57,6 +57,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a reused worker gives back what the batch needed
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

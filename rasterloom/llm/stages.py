@@ -50,5 +50,5 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(encoded, path)).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    trip = bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.digests(trip).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
