@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -35,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import binary_column, dimension_join, ragged, running_total, shared_folder, slices, staged, write_raw
+from rasterloom.llm.common import binary_column, dimension_join, running_total, shared_folder, slices, staged, write_raw
 
-LANES, STRIDE, BITS = 1024, 128, 20
+LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
-BLOCK_TOKENS, FILE_TOKENS = 1 << 18, 1 << 24
+BLOCK_TOKENS, FILE_TOKENS = 1 << 19, 1 << 24
 MAGIC, TRAILER, HEAD = b"RTB1", "RTB.", "<QQQIIIIIQ"
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 # How the tokenizer file splits a text into pieces, and the mark of a piece's last token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE_END = "</w>"
@@ -50,102 +49,78 @@ PLAIN = "[\x00-\x1b\x20-\u024f]*"
 JOINED = 500  # words in one call of the library
 
 
-class Runs:
-    """Named runs of ids in one buffer."""
-
-    def __init__(self):
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.lens = array("I"), array("q"), array("q")
-
-    def add(self, names: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
-        self.at.update(zip(names, range(len(self.starts), len(self.starts) + len(names))))
-        self.starts.frombytes((len(self.flat) + np.cumsum(lens) - lens).astype(np.int64).tobytes())
-        self.lens.frombytes(lens.astype(np.int64).tobytes())
-        self.flat.frombytes(ids.astype(np.uint32).tobytes())
-
-    def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lists of names, one after the other, and where each list's ids end."""
-        at: list[int] = []
-        for names in lists:
-            at += map(self.at.__getitem__, names)
-        at = np.array(at, np.int64)
-        lens = np.frombuffer(self.lens, np.int64)[at].copy() if len(at) else np.zeros(0, np.int64)
-        ids = np.frombuffer(self.flat, np.uint32)[ragged(np.array(self.starts, np.int64)[at], lens)] if len(at) else np.zeros(0, np.uint32)
-        return ids, np.concatenate([[0], np.cumsum(lens)])[np.cumsum([len(names) for names in lists])]
-
-
 class Tokens:
     """Ids of whole texts by the tokenizers library; it sees each different piece of plain texts once.
 
     Pieces never reach across white space, so a text's ids are those of its words in turn, and
-    a word's are those of its pieces.
+    a word's are those of its pieces.  Runs of ids are kept packed and are joined as bytes.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(PIECE_END)]] = True
+        self.kind = width(max(end, *vocabulary.values()))
+        self.end = np.array([end], self.kind).tobytes()
+        self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.stops[[i for t, i in vocabulary.items() if t.endswith(PIECE_END)]] = True
         self.plain, self.find = re.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
-        self.words, self.pieces = Runs(), Runs()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def split(self, word: str) -> list[str]:
+        return [word] if word.isalpha() else self.find(word)
 
     def add_words(self, words: list[str]) -> None:
         """Encode the pieces not met before, a space between them; a piece's last token shows its end."""
-        split = [self.find(w) for w in words]
-        new = list(set().union(*split) - self.pieces.at.keys())
+        split = list(map(self.split, words))
+        new = list(set().union(*split) - self.pieces.keys())
         if new:
             ids = np.concatenate(self.library([" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(new):
+            ends = (np.flatnonzero(self.stops[ids]) + 1) * ids.itemsize
+            if len(ends) != len(new):
                 raise ValueError("the tokenizer file splits words in another way")
-            self.pieces.add(new, ids, np.diff(stops, prepend=0))
-        ids, ends = self.pieces.of(split)
-        self.words.add(words, ids, np.diff(ends, prepend=0))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, `end` after each text, and where each text's ids end."""
-        if len(self.words.at) > KEPT_WORDS:
-            self.words, self.pieces = Runs(), Runs()
-        last = " end"  # names with a space are no words
-        if last not in self.words.at:
-            self.words.add([last], np.array([end]), np.array([1]))
-        found = []
-        for t in texts:
-            t = t or ""
-            if self.plain(t):
-                found.append(t.lower().split())
-            else:
-                if (name := f" {t}") not in self.words.at:
-                    ids = self.library([t])[0]
-                    self.words.add([name], ids, np.array([len(ids)]))
-                found.append([name])
-        if new := list(set().union(*found) - self.words.at.keys()):
+            data, ends = ids.tobytes(), ends.tolist()
+            self.pieces.update(zip(new, (data[i:j] for i, j in zip([0, *ends], ends))))
+        pieces = self.pieces
+        self.words.update(zip(words, (pieces[x[0]] if len(x) == 1 else b"".join([pieces[p] for p in x]) for x in split)))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text, the end id included."""
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.pieces = {}, {}
+        found = [t.lower().split() if self.plain(t) else None for t in (t or "" for t in texts)]
+        if new := list(set().union(*filter(None, found)) - self.words.keys()):
             self.add_words(new)
-        for words in found:
-            words.append(last)
-        return self.words.of(found)
+        of = self.words.__getitem__
+        return [(self.library([t])[0].tobytes() if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
+
+
+def width(most: int) -> str:
+    """The unsigned kind that ids are packed in."""
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def tokenized(docs: DataFrame, model: str, end: int, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, ids): unsigned 32-bit little-endian ids of the text and the end id."""
+    """(doc_id, n_tokens, bytes per id, ids): little-endian ids of the text and the end id, packed by the vocabulary's size."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_text(encoding="utf-8"))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
+        tokens = Tokens(shared.value, end)
+        size = np.dtype(tokens.kind).itemsize
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, ends = tokens.encode(part.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0)), binary_column(ids.astype("<u4"), ends * 4)],
-                                                 names=["doc_id", "n_tokens", "ids"])
+                ids = tokens.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()),
+                                                  pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "size", "ids"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return d.mapInArrow(run, "doc_id bigint, n_tokens bigint, size int, ids binary")
 
 
 def frequencies(tokens: DataFrame) -> dict[int, int]:
@@ -154,14 +129,14 @@ def frequencies(tokens: DataFrame) -> dict[int, int]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "ids"):
-                ids = np.frombuffer(b"".join(x for x in part.column("ids").to_pylist() if x), "<u4")
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{part.column('size')[0]}")
                 more = np.bincount(ids, minlength=len(counts))
                 more[:len(counts)] += counts
                 counts = more
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts[used].astype(np.int64))], names=["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("size", "ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r.token: r.n for r in rows}
 
 
@@ -185,11 +160,13 @@ class Coder:
     def __init__(self, tokens: np.ndarray, freq: np.ndarray, bits: int = BITS):
         self.tokens, self.bits = tokens, bits
         self.freq, self.low = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(tokens)), freq)
+        self.symbol = np.repeat(np.arange(len(tokens), dtype=np.int32), freq)
+        self.place = np.zeros(int(tokens.max(initial=0)) + 1, np.int32)
+        self.place[tokens] = np.arange(len(tokens))
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, stride: int = STRIDE) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
         """Checkpoints (first word, states) in order of the tokens, and the words."""
-        at = np.searchsorted(self.tokens, ids)
+        at = self.place[ids]
         freq, low = self.freq[at], self.low[at]
         steps, bits = -(-len(ids) // lanes), np.uint64(self.bits)
         x = np.full(lanes, 1 << LOW, np.uint64)
@@ -287,17 +264,17 @@ def write_tokens(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = Coder(*shared.value), TaskContext.get().partitionId(), 0
-        docs, counts, held, n_held = [], [], [], 0
+        docs, counts, held, n_held, size = [], [], [], 0, 0
 
         def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), f"<u{size}")
             return pa.RecordBatch.from_arrays([pa.array([pack(coder, part, number, docs, counts, ids)], pa.binary())], names=["block"])
 
         for batch in batches:
-            for doc_id, n, ids in zip(*(batch.column(c) for c in ("doc_id", "n_tokens", "ids"))):
-                docs.append(doc_id.as_py())
-                counts.append(n.as_py())
-                held.append(ids.as_py())
+            for doc_id, n, size, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "size", "ids"))):
+                docs.append(doc_id)
+                counts.append(n)
+                held.append(ids)
                 n_held += counts[-1]
                 if n_held >= block_tokens:
                     yield block()
@@ -305,8 +282,8 @@ def write_tokens(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
         if docs:
             yield block()
 
-    ordered = tokens.repartitionByRange(parts, F.asc_nulls_last("doc_id"), "ids").sortWithinPartitions(F.asc_nulls_last("doc_id"), "ids")
-    write_raw(ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "block binary"), "block", f"{folder}/blocks", TRAILER)
+    ordered = tokens.repartitionByRange(parts, F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "ids")
+    write_raw(ordered.select("doc_id", "n_tokens", "size", "ids").mapInArrow(run, "block binary"), "block", f"{folder}/blocks", TRAILER)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
