@@ -125,33 +125,21 @@ class Replay:
 
 
 class Encoder:
-    """Ids of whole texts; pieces met before in the task are looked up."""
+    """Packed ids of whole texts; pieces met before in the task are looked up and joined as bytes."""
 
     def __init__(self, tokens: list[bytes], pattern: str, kept: int = KEPT_PIECES):
         self.replay, self.find, self.kept = Replay(tokens), regex.compile(pattern).findall, kept
-        self.clear()
+        self.known: dict[str, bytes] = {}
 
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.lens = array("I"), array("q"), array("q")
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and where each text ends."""
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.kept:
-            self.clear()
+            self.known = {}
         found = [self.find(t) if t else [] for t in texts]
-        known = self.known
-        new = list({p: None for pieces in found for p in pieces if p not in known})
-        for piece, ids in zip(new, self.replay.encode([p.encode() for p in new])):
-            known[piece] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lens.append(len(ids))
-            self.flat.extend(ids)
-        at = np.fromiter((known[p] for pieces in found for p in pieces), np.int64)
-        lens = np.array(self.lens, np.int64)[at]
-        ids = np.array(self.flat, np.uint32)[ragged(np.array(self.starts, np.int64)[at], lens)]
-        per_text = np.cumsum([len(pieces) for pieces in found])
-        return ids, np.concatenate([[0], np.cumsum(lens)])[per_text]
+        new = list(set().union(*found) - self.known.keys())
+        self.known.update(zip(new, (array("I", ids).tobytes() for ids in self.replay.encode([p.encode() for p in new]))))
+        of = self.known.__getitem__
+        return [b"".join(map(of, pieces)) for pieces in found]
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -166,8 +154,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", out
         encoder = Encoder(tokens.value, pattern)
         for batch in batches:
             for part in slices(batch, text):
-                ids, ends = encoder.encode(part.column(text).to_pylist())
-                columns = [*part.columns[:len(keep)], binary_column(ids.astype("<u4"), ends * 4)]
+                columns = [*part.columns[:len(keep)], pa.array(encoder.encode(part.column(text).to_pylist()), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(out, BinaryType())])
@@ -182,10 +169,11 @@ class Decoder:
         self.starts = np.cumsum(self.lens) - self.lens
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All bytes of the ids, and where the bytes of each run of ids end."""
-        at = ids.astype(np.int64)
-        return self.flat[ragged(self.starts[at], self.lens[at])], np.concatenate([[0], np.cumsum(self.lens[at])])[ends]
+    def decode(self, runs: list[bytes]) -> pa.Array:
+        """The bytes that each run of packed ids stands for."""
+        at = np.frombuffer(b"".join(runs), "<u4").astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.lens[at])])[np.cumsum([len(x) // 4 for x in runs])]
+        return binary_column(self.flat[ragged(self.starts[at], self.lens[at])], ends)
 
 
 def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -197,9 +185,8 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "deco
         decoder = Decoder(tokens.value)
         for batch in batches:
             for part in slices(batch, ids):
-                runs = [x or b"" for x in part.column(ids).to_pylist()]
-                text, ends = decoder.decode(np.frombuffer(b"".join(runs), "<u4"), np.cumsum([len(x) // 4 for x in runs]))
-                yield pa.RecordBatch.from_arrays([*part.columns, binary_column(text, ends)], names=[*columns, out])
+                text = decoder.decode([x or b"" for x in part.column(ids).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*columns, out])
 
     schema = StructType([*(encoded.schema[c] for c in columns), StructField(out, BinaryType())])
     return encoded.select(*columns).mapInArrow(run, schema)
@@ -213,10 +200,8 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text",
         encoder, decoder = Encoder(tokens.value, pattern), Decoder(tokens.value)
         for batch in batches:
             for part in slices(batch, "_text"):
-                ids, ends = encoder.encode(part.column("_text").to_pylist())
-                packed = binary_column(ids.astype("<u4"), ends * 4)
-                back = binary_column(*decoder.decode(np.frombuffer(packed.buffers()[2], "<u4", len(ids)), ends))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed, back], names=[*keep, "ids", "decoded"])
+                ids = encoder.encode(part.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), decoder.decode(ids)], names=[*keep, "ids", "decoded"])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
