@@ -9,7 +9,7 @@ similarity.  Only about k ln k + 2 k darts are looked at, whatever the length of
 
 Signatures are cut into bands; documents that share a band meet in a bucket.  A bucket never
 gives all its pairs at once: in a small one a centre is compared with all members, then only members that
-are still in different classes are compared again, a few centres a round and then CENTRES[-1], until each
+are still in different classes are compared again, from one centre a round to ever more, until each
 bucket is of one class or all its pairs of different classes are refuted.  Every link is
 verified on whole shingle sets.  A member whose elements are for too large a part met in no
 other open member cannot have a link and leaves its buckets uncompared; pairs that cannot
@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WORD, dimension_join, slices, staged, table
+from rasterloom.llm.common import WORD, dimension_join, map_arrow, slices, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 STAR = 8  # buckets up to this size begin with one star
-CENTRES = (1, 4, 16, 64)  # a bucket's centres in the first rounds; the last number holds for all later ones
+GROWTH = 3  # a bucket has one centre in the first round and so many times more in each later one
 KEPT_WORDS = 150_000
 POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 18)])])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -128,7 +128,7 @@ def signed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", weigh
                     names=["doc_id", "text_md5", "node", "size", "keys"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_md5"), F.col(text).alias("text"))
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_md5 string, node binary, size double, keys array<bigint>")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_md5 string, node binary, size double, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, *, text: str = "text", weighted: bool = False) -> DataFrame:
@@ -145,7 +145,7 @@ def shingle_sets(docs: DataFrame, *, text: str = "text", weighted: bool = False)
                         made.append((xxhash.xxh3_128_digest(elements.tobytes() + weights.tobytes()), elements.tobytes(), weights.tobytes() if weighted else b""))
                 yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in range(3)], names=["node", "elements", "weights"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node binary, elements binary, weights binary")
+    return map_arrow(docs.select(F.col(text).alias("text")), run, "node binary, elements binary, weights binary")
 
 
 def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
@@ -170,9 +170,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             keep = [similarity(*(c[i].as_py() for c in cols)) >= least for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    needed = staged(pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct())
+    sets = dimension_join(sets, needed, F.col("node") == F.col("_n"), "left_semi")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb")).hint("merge"), "b")
-    return both.select("a", "b", "ea", "wa", "eb", "wb").mapInArrow(run, "a binary, b binary")
+    return map_arrow(both.select("a", "b", "ea", "wa", "eb", "wb"), run, "a binary, b binary")
 
 
 def common_at_most(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,7 +189,8 @@ def common_at_most(nodes: DataFrame, sets: DataFrame) -> DataFrame:
                 w = np.frombuffer(weights, np.float64) if weights else np.ones(len(x))
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(x), pa.binary()), pa.array(x), pa.array(w)], names=["node", "element", "weight"])
 
-    each = sets.join(nodes.hint("merge"), "node", "left_semi").select("node", "elements", "weights").mapInArrow(run, "node binary, element bigint, weight double")
+    wanted = nodes.select(F.col("node").alias("_n"))
+    each = map_arrow(dimension_join(sets, wanted, F.col("node") == F.col("_n"), "left_semi").select("node", "elements", "weights"), run, "node binary, element bigint, weight double")
     alone = (each.groupBy("element").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight"))
              .filter("n = 1").groupBy("node").agg(F.sum("weight").alias("alone")))
     return nodes.join(alone.hint("merge"), "node", "left").select("node", F.coalesce("alone", F.lit(0.0)).alias("alone"))
@@ -212,8 +215,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: only the labels that the links join are relabelled."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = staged(ends.join(labels.hint("merge"), "node", "full").select("node", F.coalesce("label", "node").alias("label")))
+    of = every.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    pairs = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("_la")).hint("merge"), "a").join(of.hint("merge"), "b")
+    pairs = staged(pairs.filter("_la != _lb").select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct())
+    if pairs.isEmpty():
+        return every
+    merged = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return staged(every.join(merged.hint("merge"), "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+
+
 def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id",
-           weighted: bool = False, centres: tuple[int, ...] = CENTRES) -> tuple[DataFrame, DataFrame]:
+           weighted: bool = False, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, first: least id) and the label of each node that has a link.  `signs` is staged."""
     nodes = staged(signs.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
@@ -235,14 +251,14 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
     labels = components(links)
     rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for turn in count():
-        most = centres[min(turn, len(centres) - 1)]
+        most = growth ** turn
         seen = rest.join(labels.hint("merge"), "node", "left").select("key", "node", "size", "label", F.coalesce("label", "node").alias("part"))
         mixed_up = seen.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
         seen = staged(seen.join(mixed_up.hint("merge"), "key"))
         if seen.isEmpty():
             return nodes.select("node", "first"), labels
         # what a node can share at all decides whether it can have a link to a node not yet compared
-        bound = staged(common_at_most(seen.select("node").distinct(), sets))
+        bound = staged(common_at_most(staged(seen.select("node").distinct()), sets))
         able = seen.join(bound.hint("merge"), "node").withColumn("common", F.col("size") - F.col("alone")).filter(F.col("common") >= least * F.col("size") - 1e-6)
         order = Window.partitionBy("key").orderBy(F.col("label").isNull(), F.col("alone") / F.col("size"), "node")  # linked and plain members reach further
         open_ = staged(able.withColumn("at", F.row_number().over(order)))
@@ -254,8 +270,7 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
         met_before = met_before.union(again)
         more = staged(verified(again, sets, least))
         if not more.isEmpty():
-            links = staged(links.union(more))
-            labels = components(links)
+            labels = joined_by(labels, more)
         rest = open_.filter(F.col("at") > most).select("key", "node", "size")
 
 

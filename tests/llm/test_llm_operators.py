@@ -132,8 +132,8 @@ def test_classes_match_brute_force(spark, documents):
     assert got == brute_classes([(i, t) for i, t, _, _ in documents])
 
 
-@pytest.mark.parametrize("centres", [(1,), (2, 64)])
-def test_classes_of_a_large_group_of_near_copies(spark, centres):
+@pytest.mark.parametrize("growth", [2, 64])
+def test_classes_of_a_large_group_of_near_copies(spark, growth):
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -144,7 +144,7 @@ def test_classes_of_a_large_group_of_near_copies(spark, centres):
         rows.append((i, " ".join(words)))
     rows += [(200 + i, rows[3][1]) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.class_id for r in dartminhash.classes(df, centres=centres).collect()}
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(df, growth=growth).collect()}
     assert got == brute_classes(rows)
 
 
