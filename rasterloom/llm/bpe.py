@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from rasterloom.llm.common import binary_column, ragged, slices
+from rasterloom.llm.common import binary_column, map_arrow, ragged, slices
 
-KEPT_PIECES = 300_000  # a task forgets its pieces beyond this many and encodes them anew
+KEPT_PIECES = 450_000  # a task forgets its pieces beyond this many and encodes them anew
 KEPT_PAIRS = 300_000
 
 
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", out
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, out])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(out, BinaryType())])
-    return docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, *([] if text in keep else [text])), run, schema)
 
 
 class Decoder:
@@ -189,7 +189,7 @@ def decode(encoded: DataFrame, ranks: str, *, ids: str = "ids", out: str = "deco
                 yield pa.RecordBatch.from_arrays([*part.columns, text], names=[*columns, out])
 
     schema = StructType([*(encoded.schema[c] for c in columns), StructField(out, BinaryType())])
-    return encoded.select(*columns).mapInArrow(run, schema)
+    return map_arrow(encoded.select(*columns), run, schema)
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -204,7 +204,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), decoder.decode(ids)], names=[*keep, "ids", "decoded"])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField("ids", BinaryType()), StructField("decoded", BinaryType())])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*keep, F.col(text).alias("_text")), run, schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import slices
+from rasterloom.llm.common import map_arrow, slices
 
 LEAST, NORMAL, MOST = 16, 48, 192
 STRICT_BITS, LOOSE_BITS = 8, 4  # about two bits more and two less than log2 of the normal size
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
 
     d = docs.select(*keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInArrow(run, f"{fields}, fingerprint string")
+    return map_arrow(d, run, f"{fields}, fingerprint string")
 
 
 def with_next(docs: DataFrame, *, rows: int = BUCKET_ROWS) -> DataFrame:
@@ -167,7 +167,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     sql = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).select("bucket", "ahead", "doc_id", "text").mapInArrow(run, sql)
+    return map_arrow(with_next(docs).select("bucket", "ahead", "doc_id", "text"), run, sql)
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:

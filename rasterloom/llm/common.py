@@ -15,6 +15,7 @@ from rasterloom.operators.lineage import work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 2 << 20
 BROADCAST_ROWS = 100_000
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,17 @@ def dimension_join(left: DataFrame, right: DataFrame, on: Column, how: str = "in
     return left.join(right.hint("broadcast" if small else "merge"), on, how)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of few rows: a row may hold a long text, and a batch lies in memory on both sides.
+
+    The session's batch size is lowered, never raised; it has no part in results.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose text is at most `limit` bytes, but one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

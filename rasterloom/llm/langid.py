@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rasterloom.llm.common import slices, table
+from rasterloom.llm.common import map_arrow, slices, table
 
 DIMENSIONS, GRAM = 1024, 3
 BLOCK = 1 << 20
@@ -114,7 +114,7 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
                                              schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
 
     known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    per_task = known.mapInArrow(run, "lang string, v array<double>")
+    per_task = map_arrow(known, run, "lang string, v array<double>")
     summed = (per_task.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
               .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")))
     return {r.lang: np.array([x.x for x in r.v]) for r in summed.sort("lang").collect() if any(x.x for x in r.v)}
@@ -143,7 +143,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pred, pa.array(score)], names=[*keep, *out])
 
     schema = StructType([*(docs.schema[c] for c in keep), StructField(out[0], StringType()), StructField(out[1], DoubleType())])
-    return docs.select(*read).mapInArrow(run, schema)
+    return map_arrow(docs.select(*read), run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import binary_column, dimension_join, running_total, shared_folder, slices, staged, write_raw
+from rasterloom.llm.common import binary_column, dimension_join, map_arrow, running_total, shared_folder, slices, staged, write_raw
 
 LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
@@ -120,7 +120,7 @@ def tokenized(docs: DataFrame, model: str, end: int, *, text: str = "text", doc_
                                                   pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "size", "ids"])
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return d.mapInArrow(run, "doc_id bigint, n_tokens bigint, size int, ids binary")
+    return map_arrow(d, run, "doc_id bigint, n_tokens bigint, size int, ids binary")
 
 
 def frequencies(tokens: DataFrame) -> dict[int, int]:
@@ -136,7 +136,7 @@ def frequencies(tokens: DataFrame) -> dict[int, int]:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts[used].astype(np.int64))], names=["token", "n"])
 
-    rows = tokens.select("size", "ids").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(tokens.select("size", "ids"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r.token: r.n for r in rows}
 
 
@@ -283,7 +283,7 @@ def write_tokens(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
             yield block()
 
     ordered = tokens.repartitionByRange(parts, F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "ids")
-    write_raw(ordered.select("doc_id", "n_tokens", "size", "ids").mapInArrow(run, "block binary"), "block", f"{folder}/blocks", TRAILER)
+    write_raw(map_arrow(ordered.select("doc_id", "n_tokens", "size", "ids"), run, "block binary"), "block", f"{folder}/blocks", TRAILER)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -310,9 +310,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         names=["part", "number", "doc_id", "at", "n_tokens", "ids"])
 
     blocks = staged(running_total(
-        files.select("content").mapInArrow(heads, "part bigint, number bigint, n bigint"), F.struct("part", "number"), "n", "before")
+        map_arrow(files.select("content"), heads, "part bigint, number bigint, n bigint"), F.struct("part", "number"), "n", "before")
         .select(F.col("part").alias("_part"), F.col("number").alias("_number"), "before"))
-    docs = files.select("content").mapInArrow(run, "part bigint, number bigint, doc_id bigint, at bigint, n_tokens bigint, ids binary")
+    docs = map_arrow(files.select("content"), run, "part bigint, number bigint, doc_id bigint, at bigint, n_tokens bigint, ids binary")
     return (dimension_join(docs, blocks, (F.col("part") == F.col("_part")) & (F.col("number") == F.col("_number")))
             .select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids"))
 

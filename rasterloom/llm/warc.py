@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from rasterloom.llm.common import dimension_join, running_total, shared_folder, staged, write_raw
+from rasterloom.llm.common import dimension_join, map_arrow, running_total, shared_folder, staged, write_raw
 
 LEAST_PAYLOAD = 1000
 FILE_BYTES = 48 << 20  # of payload, before compression
@@ -98,7 +98,7 @@ def write_archives(plan: DataFrame, folder: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([data + EMPTY_MEMBER[:-1]], pa.binary())], names=["record"])
 
     rows, size = plan.agg(F.count("*"), F.avg(F.length("payload"))).first()
-    write_raw(plan.select("page_id", "url", "payload", "digest", "response").mapInArrow(run, "record binary"),
+    write_raw(map_arrow(plan.select("page_id", "url", "payload", "digest", "response"), run, "record binary"),
               "record", folder, "\x00", max(1, int(FILE_BYTES / max(200.0, size or 0))))
 
 
@@ -152,7 +152,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     sql = "page_id bigint, url string, captured_at timestamp, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, record_at bigint, record_bytes bigint"
-    found = spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(run, sql)
+    found = map_arrow(spark.read.format("binaryFile").load(folder).select("path", "content"), run, sql)
     return found.select(url_key(F.col("url")).alias("url_key"), *names)
 
 
@@ -212,7 +212,7 @@ def merged(index: DataFrame, rows: int = INDEX_ROWS) -> DataFrame:
 
     parts = max(1, -(-index.count() // rows))
     ranged = index.repartitionByRange(parts, *order).sortWithinPartitions("archive", *order)  # run by run
-    out = staged(ranged.mapInArrow(run, StructType([*index.schema.fields, StructField("_part", LongType()), StructField("_at", LongType())])))
+    out = staged(map_arrow(ranged, run, StructType([*index.schema.fields, StructField("_part", LongType()), StructField("_at", LongType())])))
     parts_before = staged(running_total(out.groupBy("_part").count(), "_part", "count", "_before").select(F.col("_part").alias("_p"), "_before"))
     return (dimension_join(out, parts_before, F.col("_part") == F.col("_p"))
             .select(*index.columns, (F.col("_before") + F.col("_at")).alias("index_pos")))
