@@ -203,27 +203,30 @@ def _bucket_colours(t: DataFrame, adaptMode: str, colorMode: str) -> DataFrame:
 
 
 def octree_palette(df: DataFrame, *, levels: int = 12) -> DataFrame:
-    """Palette of at most `levels` colours from 8-level colour-cube prefixes.
+    """Palette of at most `levels` colours from 8-level colour-cube prefixes; every pixel counts in one.
 
-    Takes the deepest prefix length whose cubes all fit, goes one level deeper
-    and keeps the `levels` most populated cubes there (a top-k, not a cap on
-    the pixels a cube averages).
+    Takes the deepest prefix length whose cubes all fit.  One level deeper, the most
+    populated cubes take the places that are left, and what remains of each parent
+    is folded into one entry for the parent.
     """
     counts = colour_counts(df)
 
     def key(d: int) -> Column:
         s = 8 - d
         return (F.shiftleft(F.shiftright("r", s), 16) + F.shiftleft(F.shiftright("g", s), 8)
-                + F.shiftright("b", s))
+                + F.shiftright("b", s)) if d else F.lit(0)
     sizes = counts.agg(*[F.countDistinct(key(d)).alias(f"d{d}") for d in range(1, 9)]).first()
     depth = max([0] + [d for d in range(1, 9) if sizes[f"d{d}"] <= levels])
-
-    def cubes(d: int) -> DataFrame:
-        return counts.groupBy(key(d).alias("cube") if d else F.lit(0).alias("cube")).agg(
-            F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(f"s{c}") for c in C.RGB])
-    chosen = (cubes(8) if depth == 8
-              else cubes(depth + 1).orderBy(F.col("n").desc(), "cube").limit(levels))
-    return chosen.select("cube", "n", *[C.jr(F.col(f"s{c}") / F.col("n")).alias(c) for c in C.RGB])
+    free = levels - (sizes[f"d{depth}"] if depth else 1)
+    inner = min(8, depth + 1)
+    cubes = counts.groupBy(key(depth).alias("parent"), key(inner).alias("cube")).agg(
+        F.sum("n").alias("n"), *[F.sum(F.col(c) * F.col("n")).alias(f"s{c}") for c in C.RGB])
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "cube"))   # at most 8 cubes a parent
+    own = F.lit(True) if depth == 8 else rank <= free
+    entries = cubes.withColumn("own", own).groupBy(
+        "own", F.when(F.col("own"), F.col("cube")).otherwise(F.col("parent")).alias("cube")).agg(
+        *[F.sum(c).alias(c) for c in ("n", "sr", "sg", "sb")])
+    return entries.select("own", "cube", "n", *[C.jr(F.col(f"s{c}") / F.col("n")).alias(c) for c in C.RGB])
 
 
 # ---- cells ------------------------------------------------------------------------------

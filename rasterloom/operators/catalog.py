@@ -82,7 +82,7 @@ def chain_add(steps: Column, step: Column) -> Column:
 
 def chain_duplicate(steps: Column, at: int) -> Column:
     """Copy the entry at a 0-based position right after itself."""
-    dup = F.concat(F.slice(steps, 1, at + 1), F.slice(steps, at + 1, MAX_CHAIN))
+    dup = F.concat(F.slice(steps, 1, at + 1), F.slice(steps, F.lit(at + 1), F.size(steps)))
     return F.when((F.size(steps) > at) & (F.size(steps) < MAX_CHAIN), dup).otherwise(steps)
 
 
@@ -100,7 +100,7 @@ def chain_move(steps: Column, src: int, dst: int) -> Column:
     """Take an entry out and put it back at another position."""
     rest = F.filter(steps, lambda _, i: i != src)
     moved = F.concat(F.slice(rest, 1, dst) if dst else F.array().cast("array<string>"),
-                     F.slice(steps, src + 1, 1), F.slice(rest, dst + 1, MAX_CHAIN))
+                     F.slice(steps, src + 1, 1), F.slice(rest, F.lit(dst + 1), F.size(rest)))
     return F.when(F.size(steps) > max(src, dst), moved).otherwise(steps)
 
 

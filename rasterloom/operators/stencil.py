@@ -82,7 +82,7 @@ KERNELS = {
     "GAUSSIAN_3X3": [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]],
     "EMBOSS_3X3": [[-2, -1, 0], [-1, 1, 1], [0, 1, 2]],
     "LAPLACIAN_3X3": [[1, 1, 1], [1, -8, 1], [1, 1, 1]],
-    "LAPLACIAN_5X5": [[1] * 5, [1] * 5, [1, 1, -24, 1, 1], [1] * 5, [1] * 5],
+    "LAPLACIAN_5X5": [[1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, -24, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1]],
     "SOBEL_HORIZONTAL": [[-1, -2, -1], [0, 0, 0], [1, 2, 1]],
     "SOBEL_VERTICAL": [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]],
     "OUTLINE_3X3": [[-1, -1, -1], [-1, 8, -1], [-1, -1, -1]],

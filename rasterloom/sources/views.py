@@ -7,7 +7,7 @@ the data is still spread over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.ordered import bucketed_rank, shuffled_join, spread
@@ -83,15 +83,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event samples as a two-channel signal; `bin` is the event type's rank."""
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    bin_of = F.when(F.col("event_type") == kinds[0], 0)
-    for i, k in enumerate(kinds[1:], 1):
-        bin_of = bin_of.when(F.col("event_type") == k, i)
-    return events(spark, sf_dir).select(
-        "event_id", "ts", "ts_us",
-        F.pmod("user_id", F.lit(2)).cast("int").alias("channel"),
-        bin_of.cast("int").alias("bin"),
+    """Event samples as a two-channel signal; `bin` is the event type's rank among all types there are."""
+    e = events(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct().withColumn(
+        "bin", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))   # one row a type
+    return e.join(kinds, "event_type").select(
+        "event_id", "ts", "ts_us", F.pmod("user_id", F.lit(2)).cast("int").alias("channel"), "bin",
         F.col("value").alias("sample"))
 
 
@@ -117,9 +114,6 @@ def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey")
 
 
-MAX_STEPS = 4096   # far above the 16 steps a chain may hold
-
-
 def positioned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(chain_id, pos, step)` without gathering a chain: a two-stage rank."""
     s = chain_steps(spark, sf_dir).withColumn(
@@ -131,14 +125,10 @@ def positioned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chain: ordered step names and a category.
 
-    A chain is a short list by definition.  An id with more than MAX_STEPS rows
-    is not one: it fails with its id before any of its rows are gathered.
+    A chain is a short list by definition; work on chains of any length takes the
+    rows of `positioned_steps`.
     """
     rows = chain_steps(spark, sf_dir)
-    sizes = rows.groupBy("chain_id").agg(F.count("*").alias("_n"))
-    ok = F.when(F.col("_n") > MAX_STEPS, F.raise_error(F.concat(
-        F.lit("chain with too many steps: "), F.col("chain_id").cast("string"))).cast("string")).otherwise(F.col("step"))
-    rows = shuffled_join(rows, sizes, "chain_id").withColumn("step", ok)
     ordered = F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "step")))
     steps = rows.groupBy("chain_id").agg(ordered.alias("s"))

@@ -108,24 +108,35 @@ def live_frame_state(frames: DataFrame, *, alpha=0.1) -> DataFrame:
 
 
 def live_beats(hops: DataFrame, *, hop_ms: float) -> DataFrame:
-    """Beat state per channel from a stream of `(channel, hop, energy, floor)` rows."""
+    """Beat state per channel from a stream of `(channel, hop, energy, floor)` rows.
+
+    The state is the latest beat and the confidence with its hop; pulses and decays follow from
+    their age in hops, as in the batch form.
+    """
+    gap, idle = -(-S.MIN_BEAT // hop_ms), S.IDLE // hop_ms + 1
+
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = None
-        if state.exists:
-            last, ema, conf, pulse, has_last, has_ema = state.get
-            s = (last if has_last else None, ema if has_ema else None, conf, pulse)
+        last, mean, sure, at = state.get if state.exists else (-1, 0.0, 0.0, -1)
         rows = pd.concat(list(batches)).sort_values("hop")   # hops of one micro-batch
         out = []
-        for hop, energy, floor in zip(rows["hop"], rows["energy"], rows["floor"]):
-            s, (hit, pulse, conf, _) = S.beat_step(s, hop * hop_ms, energy, floor)
-            out.append((key[0], hop, bool(hit), pulse, conf))
-        last, ema, conf, pulse = s
-        state.update((float(last or 0), float(ema or 0), float(conf), float(pulse), last is not None, ema is not None))
+        for hop, fires in zip(rows["hop"].tolist(), (rows["energy"] > rows["floor"]).tolist()):
+            age = hop - last if last >= 0 else None
+            if hit := fires and (age is None or age >= gap):
+                if age is not None and age * hop_ms < S.MAX_BEAT:
+                    mean = mean * S.INTERVAL_KEEP + age * hop_ms * (1 - S.INTERVAL_KEEP) if mean else age * hop_ms
+                    sure = min(1.0, max(0.0, 1 - abs(age * hop_ms - mean) / max(180.0, mean)))
+                last = hop
+            else:
+                sure *= S.CONFIDENCE_DECAY ** (hop - at if at >= 0 else 1)
+                if age is not None and age >= idle:
+                    last, sure = -1, sure * S.IDLE_LOSS
+            at = hop
+            out.append((key[0], hop, bool(hit), S.PULSE_DECAY ** (hop - last) if last >= 0 else 0.0, sure))
+        state.update((int(last), float(mean), float(sure), int(at)))
         yield pd.DataFrame(out, columns=["channel", "hop", "beat", "pulse", "confidence"])
     return hops.groupBy("channel").applyInPandasWithState(
         update, "channel int, hop long, beat boolean, pulse double, confidence double",
-        "last double, ema double, conf double, pulse double, has_last boolean, has_ema boolean", "append",
-        GroupStateTimeout.NoTimeout)
+        "last long, mean double, sure double, at long", "append", GroupStateTimeout.NoTimeout)
 
 
 def latest_frame_wins(frames: DataFrame, folder: str, *, lateness="10 minutes") -> None:

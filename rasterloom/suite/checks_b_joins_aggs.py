@@ -232,10 +232,22 @@ def _median_cut(spark, d):
     return N.nearest_palette(px, A.median_cut_palette(px, limit=3))
 
 
-@check("octree_quantize")
+def _cube(d):
+    return f"(((r >> (8 - {d})) << 16) + ((g >> (8 - {d})) << 8) + (b >> (8 - {d})))"
+
+
+@check("octree_quantize", f"""with c as materialized (select r, g, b, count(*) as n from {CARRIER} c0 group by all),
+ z as (select d, (select count(distinct case when d = 0 then 0 else {_cube('d')} end) from c) as k from (select unnest(range(0, 9)) as d)),
+ p as (select max(d) as d, 12 - max_by(k, d) as free from z where d = 0 or k <= 12),
+ q as (select case when p.d = 0 then 0 else {_cube('p.d')} end as parent, {_cube('least(8, p.d + 1)')} as cube, p.d, p.free, sum(n) as n, sum(r * n) as sr, sum(g * n) as sg, sum(b * n) as sb from c, p group by all),
+ o as (select *, d = 8 or row_number() over (order by n desc, cube) <= free as own from q),
+ e as (select own, case when own then cube else parent end as cube, {J('sum(sr) / sum(n)')} as pr, {J('sum(sg) / sum(n)')} as pg, {J('sum(sb) / sum(n)')} as pb from o group by all),
+ pal as materialized (select row_number() over (order by own, cube) as i, pr, pg, pb from e),
+ near as materialized (select r, g, b, arg_min({{'pr': pr, 'pg': pg, 'pb': pb}}, ((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb)) * 256 + i) as s from c, pal group by all)
+ select l_orderkey, l_linenumber, s.pr as r, s.pg as g, s.pb as b, a from {CARRIER} c0 join near using (r, g, b)""")
 def _octree(spark, d):
     px = V.channel_carrier(spark, d)
-    pal = [(r["r"], r["g"], r["b"]) for r in A.octree_palette(px, levels=12).orderBy("cube").collect()]
+    pal = [(r["r"], r["g"], r["b"]) for r in A.octree_palette(px, levels=12).orderBy("own", "cube").collect()]
     return N.nearest_palette(px, pal)
 
 

@@ -182,14 +182,17 @@ def _timeline(spark, d):
         (F.col("clip_id") % 9) * 0.37 + 1).alias("end_sec")), fps=12)
 
 
-@check("as_of_frame_selection", f"""with t as (select clip_id, i as tick, {T0} + i * 21600000000 + clip_id * 1000000 as tick_us from (select distinct clip_id from {FR} f) c, (select unnest(range(-2, 124)) as i) r)
+@check("as_of_frame_selection", f"""with t as (select clip_id, i as tick, {T0} + i * 21600000000 + clip_id * 1000000 as tick_us from (select clip_id, unnest(range((min(ts_us) - {T0}) // 21600000000 - 1, (max(ts_us) - {T0}) // 21600000000 + 2)) as i from {FR} f group by 1) c)
  select clip_id, cast(tick as int) as tick, tick_us, coalesce(a.ts_us, z.ts_us) as ts_us, coalesce(a.event_id, z.event_id) as event_id from t
  asof left join (select * from {FR} f) a using (clip_id) join (select clip_id as zc, min(ts_us) as ts_us, arg_min(event_id, ts_us) as event_id from {FR} f group by 1) z on z.zc = clip_id
 """.replace("asof left join (select * from", "left join lateral (select ts_us, event_id from (select * from").replace(" a using (clip_id) join", " s where s.clip_id = t.clip_id and s.ts_us <= t.tick_us order by ts_us desc, event_id desc limit 1) a on true join"))
 def _asof(spark, d):
     fr = V.decoded_frames(spark, d)
-    clips = fr.select("clip_id").distinct()
-    ticks = clips.select("clip_id", F.explode(F.sequence(F.lit(-2), F.lit(123))).alias("tick")).withColumn(
+    def tick(ts):
+        return F.floor((ts - T0) / 21_600_000_000).cast("int")
+    # from one tick before a clip's first frame to one after its last
+    ends = fr.groupBy("clip_id").agg(tick(F.min("ts_us")).alias("a"), tick(F.max("ts_us")).alias("z"))
+    ticks = ends.select("clip_id", F.explode(F.sequence(F.col("a") - 1, F.col("z") + 1)).alias("tick")).withColumn(
         "tick_us", F.lit(T0) + F.col("tick").cast("bigint") * 21_600_000_000 + F.col("clip_id") * 1_000_000)
     return O.asof_join(ticks, fr, ["clip_id"], left_ts="tick_us", right_ts="ts_us", payload=["event_id"],
                        width=TL.HOUR_US * 24, tie=["event_id"])

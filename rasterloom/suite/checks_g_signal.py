@@ -216,15 +216,37 @@ def _normaliser(spark, d):
     return FD.adaptive_range(m, ["channel", "metric"], ["hop"], "v")
 
 
-def beats(spark, d, hop_ms=100.0):
-    m = mixed(spark, d)
-    energy = F.greatest(F.col("sub") * 1.35 + F.col("pulse") * 0.85, F.col("bass") * 0.95 + F.col("onset") * 1.15,
-                        F.col("percussive") * 1.2 + F.col("level") * 0.45)
-    floor = F.greatest(F.lit(0.3), F.col("level_ema") * 1.7 + F.col("onset_ema") * 4.5)
-    return S.detect_beats(m.select("channel", "hop", energy.alias("energy"), floor.alias("floor")), hop_ms=hop_ms)
+def triggers(spark, d):
+    return S.ema_of(mixed(spark, d), "bass", 0.8, "bass_envelope").select("channel", "hop", S.beat_trigger().alias("trigger"))
 
 
-check("beat_detection")(beats)
+def beats(spark, d, hop_ms=100.0):
+    return S.detect_beats(triggers(spark, d), hop_ms=hop_ms)
+
+
+_MIX = f"""(select b.channel, b.hop, b.sub, b.bass, b.level, o.onset, o.onset_ema, e.e as level_ema, v.e as bass_envelope,
+ least(1.0, greatest(0.0, (b.level - e.e) * 5)) as pulse, least(1.0, greatest(0.0, o.onset * 0.7 + least(1.0, greatest(0.0, (b.level - e.e) * 5)) * 0.3)) as percussive
+ from {BL} b join {ONSET} o using (channel, hop) join {ema_sql(BL, 'level', 0.82)} e using (channel, hop) join {ema_sql(BL, 'bass', 0.8)} v using (channel, hop))"""
+_TRIGGER = f"""(select channel, hop, row_number() over (partition by channel order by hop) as i,
+ (sub > 0.07 and pulse > 0.06) or (onset > 0.12 and bass > bass_envelope * 1.3 + 0.04)
+ or greatest(sub * 1.35 + pulse * 0.85, bass * 0.95 + onset * 1.15, percussive * 1.2 + level * 0.45) > greatest(0.3, level_ema * 1.7 + onset_ema * 4.5) as fires from {_MIX} m)"""
+BEATS = f"""with recursive t as materialized (select * from {_TRIGGER} q),
+ s as (select channel, hop, i, fires as beat, case when fires then hop end as last, null::double as ema, 0.0 as conf, case when fires then 1.0 else 0.0 end as pulse, case when fires then 1.0 else 0.0 end as hold
+  from t where i = 1
+ union all select t.channel, t.hop, t.i, n.hit,
+  case when n.hit then t.hop when (t.hop - s.last) * 100.0 > 9000.0 then null else s.last end,
+  case when n.hit and n.gap >= 260.0 and n.gap < 1600.0 then n.mean else s.ema end,
+  case when n.hit then case when n.gap >= 260.0 and n.gap < 1600.0 then greatest(0.0, least(1.0, 1 - abs(n.gap - n.mean) / greatest(180.0, n.mean))) else s.conf end
+   else s.conf * 0.992 * case when (t.hop - s.last) * 100.0 > 9000.0 then 0.5 else 1.0 end end,
+  case when n.hit then 1.0 when (t.hop - s.last) * 100.0 > 9000.0 then 0.0 else s.pulse * 0.72 end,
+  case when n.hit then 1.0 when (t.hop - s.last) * 100.0 > 9000.0 then 0.0 else s.hold * 0.9 end
+  from s join t on t.channel = s.channel and t.i = s.i + 1
+  join lateral (select t.fires and coalesce((t.hop - s.last) * 100.0 >= 260.0, true) as hit, (t.hop - s.last) * 100.0 as gap, coalesce(s.ema * 0.8 + (t.hop - s.last) * 100.0 * 0.2, (t.hop - s.last) * 100.0) as mean) n on true)"""
+
+
+@check("beat_detection", f"{BEATS} select channel, hop, beat, round(pulse, 6) as pulse, round(hold, 6) as hold, round(conf, 6) as confidence, round(ema, 6) as interval_ms from s")
+def _beat_detection(spark, d):
+    return rnd(beats(spark, d), "pulse", "hold", "confidence", "interval_ms")
 
 
 @check("tempo_smoothing")
@@ -245,7 +267,7 @@ def _phase(spark, d):
 
 @check("tap_downbeat_bpm_override")
 def _taps(spark, d):
-    hops = beats(spark, d).select("channel", "hop", "beat")
+    hops = S.grid_beats(triggers(spark, d).select("channel", "hop"), 120.0, hop_ms=100.0).select("channel", "hop", "beat")
     taps = V.signal(spark, d).where("sample > 300").select(
         "channel", F.floor(F.col("ts_us") / F.lit(HOP)).cast("long").alias("hop")).distinct()
     return S.tap_controls(hops, taps)

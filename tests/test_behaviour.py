@@ -283,22 +283,42 @@ def test_tempo_of_a_pulse_train(spark):
     assert abs(best.bpm - 120) < 1e-6 and best.confidence > 0.3
 
 
-def test_beats_respect_refractory_time_and_idle_reset():
-    state, hits = None, []
-    for i in range(200):
-        state, (hit, *_) = S.beat_step(state, i * 100.0, 1.0 if i < 60 else 0.0, 0.5)
-        hits.append(hit)
-    at = [i for i, h in enumerate(hits) if h]
-    assert all(b - a >= 3 for a, b in zip(at, at[1:])) and state[0] is None
-
-
-def test_beat_override_is_regular():
-    state, at = None, []
-    for i in range(100):
-        state, (hit, *_) = S.beat_step(state, i * 100.0, 0.0, 1.0, 120.0)
+def walked_beats(rows, hop_ms=100.0):
+    """The rules one hop after the other."""
+    out, last, mean, sure, pulse, hold = {}, None, None, 0.0, 0.0, 0.0
+    for hop, fires in rows:
+        since = float("inf") if last is None else (hop - last) * hop_ms
+        hit = fires and since >= S.MIN_BEAT
         if hit:
-            at.append(i)
-    assert at[:4] == [0, 5, 10, 15]
+            if since < S.MAX_BEAT:
+                mean = since if mean is None else mean * 0.8 + since * 0.2
+                sure = min(1.0, max(0.0, 1 - abs(since - mean) / max(180.0, mean)))
+            last, pulse, hold = hop, 1.0, 1.0
+        else:
+            pulse, hold, sure = pulse * 0.72, hold * 0.9, sure * 0.992
+            if since > S.IDLE and last is not None:
+                last, pulse, hold, sure = None, 0.0, 0.0, sure * 0.5
+        out[hop] = (hit, pulse, hold, sure, mean)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_beats_equal_the_rules_walked_hop_by_hop(spark, chunk):
+    rng = np.random.default_rng(4)
+    series = [(h, bool(rng.random() < 0.3 if h < 1500 else h < 1700 and h % 7 == 0)) for h in range(100, 1900)]
+    df = spark.createDataFrame([(0, *r) for r in series], "channel int, hop long, trigger boolean")
+    want = walked_beats(series)
+    got = S.detect_beats(df, hop_ms=100.0, chunk=chunk).collect()
+    assert len(got) == len(want)
+    for r in got:
+        hit, *values = want[r.hop]
+        assert r.beat == hit and [r.pulse, r.hold, r.confidence, r.interval_ms or 0.0] == pytest.approx([*values[:3], values[3] or 0.0])
+
+
+def test_beat_override_is_regular(spark):
+    hops = spark.createDataFrame([(0, h) for h in range(40, 140)], "channel int, hop long")
+    out = S.grid_beats(hops, 120.0, hop_ms=100.0).orderBy("hop").collect()
+    assert [r.hop - 40 for r in out if r.beat][:4] == [0, 5, 10, 15] and out[2].pulse == pytest.approx(0.72 ** 2)
 
 
 # ---- chains and sources --------------------------------------------------------------------
@@ -339,7 +359,9 @@ def test_share_strings(spark):
 
 
 def test_curve_points_keep_bad_input_out():
-    from rasterloom.operators.pixel import curve_table, parse_points
-    assert parse_points("nonsense") == [(0, 0), (255, 255)] and parse_points("[[3,4]]") == [(0, 0), (255, 255)]
-    assert parse_points("[[0.5,1],[0,0]]") == [(0, 0), (128, 255), (255, 255)]
-    assert curve_table([(0, 0), (255, 255)]) == list(range(256))
+    from rasterloom.operators.pixel import tone_curve
+    line = list(range(256))
+    assert tone_curve("nonsense") == line == tone_curve("[[3,4]]") == tone_curve("[[0,0],[255,255]]") == tone_curve('{"a":1}')
+    bent = tone_curve("[[0.5,1],[0,0]]")
+    assert (bent[0], bent[64], bent[128], bent[200]) == (0, 128, 255, 255)
+    assert tone_curve("[[0,10],[100,50],[100,200],[255,255]]")[99:102] == [50, 50, 200]
