@@ -63,10 +63,12 @@ CONTOUR_RAMPS = {
                 (255, 160, 0), (255, 220, 50), (255, 255, 150), (255, 255, 255)],
 }
 
-# The white-hot false-colour ramp; black-hot is its reverse.
+# False-colour ramps; black-hot is the reverse of white-hot.
+IRONBOW = [(0, 0, 0), (20, 0, 80), (80, 0, 120), (160, 0, 100), (220, 60, 20), (255, 180, 0), (255, 255, 100), (255, 255, 255)]
+RAINBOW = [(0, 0, 40), (0, 0, 200), (0, 180, 255), (0, 220, 80), (200, 220, 0), (255, 120, 0), (255, 0, 0), (255, 255, 255)]
 WHITE_HOT = [(0, 0, 0), (30, 30, 30), (80, 80, 80), (130, 130, 130),
              (180, 180, 180), (220, 220, 220), (255, 255, 255)]
-THERMAL_RAMPS = {"WHITE_HOT": WHITE_HOT, "BLACK_HOT": WHITE_HOT[::-1]}
+THERMAL_RAMPS = {"IRONBOW": IRONBOW, "RAINBOW": RAINBOW, "WHITE_HOT": WHITE_HOT, "BLACK_HOT": WHITE_HOT[::-1]}
 
 
 def bayer(n: int) -> list[list[float]]:
@@ -85,8 +87,8 @@ _SMALL = {
     "BAYER_3X3": ([[0, 7, 3], [6, 5, 2], [4, 1, 8]], 9),
     "DISPERSED_DOT_3X3": ([[0, 6, 3], [4, 7, 2], [5, 1, 8]], 9),
     "CORNER_4X4": ([[0, 2, 5, 9], [1, 4, 8, 12], [3, 7, 11, 14], [6, 10, 13, 15]], 16),
-    "BLOCK_VERTICAL_4X4": ([[0, 1, 2, 3]] * 4, 4),
-    "BLOCK_HORIZONTAL_4X4": ([[k] * 4 for k in range(4)], 4),
+    "BLOCK_VERTICAL_4X4": ([[0, 1, 2, 3], [0, 1, 2, 3], [0, 1, 2, 3], [0, 1, 2, 3]], 4),
+    "BLOCK_HORIZONTAL_4X4": ([[0, 0, 0, 0], [1, 1, 1, 1], [2, 2, 2, 2], [3, 3, 3, 3]], 4),
     "HATCH_2X2": ([[0, 1], [1, 0]], 2),
     "HATCH_3X3": ([[0, 1, 2], [1, 2, 1], [2, 1, 0]], 3),
     "HATCH_4X4": ([[0, 1, 2, 3], [1, 2, 3, 2], [2, 3, 2, 1], [3, 2, 1, 0]], 4),

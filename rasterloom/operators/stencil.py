@@ -80,6 +80,13 @@ def _order(df: DataFrame, *cols: str) -> DataFrame:
 KERNELS = {
     "SHARPEN_3X3": [[0, -1, 0], [-1, 5, -1], [0, -1, 0]],
     "GAUSSIAN_3X3": [[1 / 16, 2 / 16, 1 / 16], [2 / 16, 4 / 16, 2 / 16], [1 / 16, 2 / 16, 1 / 16]],
+    "GAUSSIAN_3X3_WEAK": [[0.5 / 16, 1 / 16, 0.5 / 16], [1 / 16, 10 / 16, 1 / 16], [0.5 / 16, 1 / 16, 0.5 / 16]],
+    "GAUSSIAN_5X5": [[1 / 256, 4 / 256, 6 / 256, 4 / 256, 1 / 256], [4 / 256, 16 / 256, 24 / 256, 16 / 256, 4 / 256],
+                     [6 / 256, 24 / 256, 36 / 256, 24 / 256, 6 / 256], [4 / 256, 16 / 256, 24 / 256, 16 / 256, 4 / 256],
+                     [1 / 256, 4 / 256, 6 / 256, 4 / 256, 1 / 256]],
+    "UNSHARP_5X5": [[-1 / 256, -4 / 256, -6 / 256, -4 / 256, -1 / 256], [-4 / 256, -16 / 256, -24 / 256, -16 / 256, -4 / 256],
+                    [-6 / 256, -24 / 256, 476 / 256, -24 / 256, -6 / 256], [-4 / 256, -16 / 256, -24 / 256, -16 / 256, -4 / 256],
+                    [-1 / 256, -4 / 256, -6 / 256, -4 / 256, -1 / 256]],
     "EMBOSS_3X3": [[-2, -1, 0], [-1, 1, 1], [0, 1, 2]],
     "LAPLACIAN_3X3": [[1, 1, 1], [1, -8, 1], [1, 1, 1]],
     "LAPLACIAN_5X5": [[1, 1, 1, 1, 1], [1, 1, 1, 1, 1], [1, 1, -24, 1, 1], [1, 1, 1, 1, 1], [1, 1, 1, 1, 1]],

@@ -116,22 +116,31 @@ def _mean_diff(a: str, b: str) -> Column:
                F.abs(F.col(f"{a}r") - F.col(f"{b}r"))) / 3.0
 
 
-def heat_ramp(t: Column) -> tuple[Column, Column, Column]:
-    """The inferno-like four-piece ramp."""
-    t = C.clamp(0, 1, t)
-    s = (t * 4.0, (t - 0.25) * 4.0, (t - 0.5) * 4.0, (t - 0.75) * 4.0)
+# Per piece of a heat ramp its end, and offset and slope of red, green and blue; t counts from the piece's start.
+HEAT_RAMPS = {
+    "INFERNO": (4.0, [(0.25, (0, 100), (0, 0), (0, 150)), (0.5, (100, 155), (0, 50), (150, -100)),
+                      (0.75, (255, 0), (50, 150), (50, -50)), (1.0, (255, 0), (200, 55), (0, 200))]),
+    "VIRIDIS": (3.0, [(0.33, (68, -40), (1, 120), (84, 80)), (0.66, (28, 60), (121, 70), (164, -80)), (1.0, (88, 165), (191, 40), (84, -40))]),
+    "HOT": (3.0, [(0.33, (0, 255), (0, 0), (0, 0)), (0.66, (255, 0), (0, 255), (0, 0)), (1.0, (255, 0), (255, 0), (0, 255))]),
+}
 
-    def piece(*four: Column) -> Column:
-        return (F.when(t < 0.25, four[0]).when(t < 0.5, four[1]).when(t < 0.75, four[2])
-                .otherwise(four[3]))
-    zero = F.lit(0.0)
-    return (piece(s[0] * 100.0, s[1] * 155.0 + 100.0, zero + 255.0, zero + 255.0),
-            piece(zero, s[1] * 50.0, s[2] * 150.0 + 50.0, s[3] * 55.0 + 200.0),
-            piece(s[0] * 150.0, F.lit(150.0) - s[1] * 100.0, F.lit(50.0) - s[2] * 50.0, s[3] * 200.0))
+
+def heat_ramp(t: Column, name: str = "INFERNO") -> tuple[Column, Column, Column]:
+    """Piecewise-linear heat colours of a value in 0..1."""
+    t, (rate, pieces) = F.round(C.clamp(0, 1, t), 9), HEAT_RAMPS[name]   # the pieces do not meet: a last bit must not choose one
+    starts = [0.0, *(end for end, *_ in pieces)]
+
+    def channel(k: int) -> Column:
+        values = [F.lit(float(at[k][0])) + (t - start) * rate * float(at[k][1]) for start, (_, *at) in zip(starts, pieces)]
+        out = values[-1]
+        for (end, *_), v in reversed(list(zip(pieces[:-1], values))):
+            out = F.when(t < end, v).otherwise(out)
+        return out
+    return channel(0), channel(1), channel(2)
 
 
 def motion_analysis(df: DataFrame, *, source="EMA", renderMode="MASK", threshold=10.0, sensitivity=3.0,
-                    backgroundColor=(0, 0, 0), accumRate=0.05, coolRate=0.01, chunk=CHUNK) -> DataFrame:
+                    backgroundColor=(0, 0, 0), accumRate=0.05, coolRate=0.01, colorMap="INFERNO", chunk=CHUNK) -> DataFrame:
     """Motion against the EMA or the previous frame: mask, heat, source, difference, accumulated heat."""
     d = (with_ema(df, chunk=chunk, prefix="_ref_") if source == "EMA"
          else previous(df, chunk=chunk, prefix="_ref_"))
@@ -144,7 +153,7 @@ def motion_analysis(df: DataFrame, *, source="EMA", renderMode="MASK", threshold
     if renderMode == "MASK":
         shown = [F.col("_m") * 255.0] * 3
     elif renderMode == "HEATMAP":
-        shown = heat_ramp(F.col("_m"))
+        shown = heat_ramp(F.col("_m"), colorMap)
     elif renderMode == "SOURCE":
         shown = [F.col(c).cast("double") for c in C.RGB]
     else:

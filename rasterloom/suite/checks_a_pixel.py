@@ -183,6 +183,11 @@ on_carrier("contour_map", P.contour_map, carrier_sql(*[
 on_carrier("thermal_camera", P.thermal_camera, carrier_sql(*[
     U8(gradient_sql(CL(f"({L709U} - 0.5) * 1.2 + 0.5"), T.WHITE_HOT[::-1], k)) for k in range(3)]),
     colormap="BLACK_HOT")
+for _name, _stops in (
+        ("IRONBOW", [(0, 0, 0), (20, 0, 80), (80, 0, 120), (160, 0, 100), (220, 60, 20), (255, 180, 0), (255, 255, 100), (255, 255, 255)]),
+        ("RAINBOW", [(0, 0, 40), (0, 0, 200), (0, 180, 255), (0, 220, 80), (200, 220, 0), (255, 120, 0), (255, 0, 0), (255, 255, 255)])):
+    on_carrier(f"thermal_camera_{_name.lower()}", P.thermal_camera, carrier_sql(*[
+        U8(gradient_sql(CL(f"({L709U} - 0.5) * 1.2 + 0.5"), _stops, k)) for k in range(3)]), colormap=_name)
 
 
 def hable(x):

@@ -59,6 +59,20 @@ def heat_sql(t, k):
 on_raster("motion_analysis_heat", TP.motion_analysis, raster_sql(*[
     motion_case(c, U8S(heat_sql(_m, k)), 0) for k, c in enumerate("rgb")], pre=ema_pre()),
     threshold=4, sensitivity=6, renderMode="HEATMAP")
+
+
+def ramp_sql(m, pieces, k):
+    """Pieces as (end, start, colour at the start, slope per unit) in plain numbers."""
+    arms = " ".join(f"when t < {end} then {at[k]}.0 + (t - {start}) * 3.0 * ({slope[k]}.0)" for end, start, at, slope in pieces)
+    return f"(select case {arms} end from (select round(least(1.0, greatest(0.0, {m})), 9) as t) tt)"
+
+
+for _map, _pieces in (
+        ("VIRIDIS", [(0.33, 0.0, (68, 1, 84), (-40, 120, 80)), (0.66, 0.33, (28, 121, 164), (60, 70, -80)), (1.5, 0.66, (88, 191, 84), (165, 40, -40))]),
+        ("HOT", [(0.33, 0.0, (0, 0, 0), (255, 0, 0)), (0.66, 0.33, (255, 0, 0), (0, 255, 0)), (1.5, 0.66, (255, 255, 0), (0, 0, 255))])):
+    on_raster(f"motion_analysis_heat_{_map.lower()}", TP.motion_analysis, raster_sql(*[
+        motion_case(c, U8S(ramp_sql(_m, _pieces, k)), 0) for k, c in enumerate("rgb")], pre=ema_pre()),
+        threshold=4, sensitivity=6, renderMode="HEATMAP", colorMap=_map)
 on_raster("motion_analysis_previous", TP.motion_analysis, raster_sql(*[
     f"case when pr is null then {U8S(f'{c} * 0.3')} when {PDIFF} < 4 then 0 else {U8S(f'64 + {PDIFF} * 3.0')} end" for c in "rgb"], pre=PREV),
     threshold=4, renderMode="DIFFERENCE", source="PREVIOUS")

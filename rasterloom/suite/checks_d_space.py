@@ -42,6 +42,8 @@ on_frames("convolve", S.convolve, conv_sql("GAUSSIAN_3X3"), **SIZE)
 on_frames("convolve_edge_detection", S.convolve, conv_sql("LAPLACIAN_3X3", 2.0), kernel="LAPLACIAN_3X3", strength=2.0, **SIZE)
 on_frames("convolve_sharpen", S.convolve, conv_sql("SHARPEN_3X3"), kernel="SHARPEN_3X3", **SIZE)
 on_frames("convolve_sobel", S.convolve, conv_sql("SOBEL_VERTICAL"), kernel="SOBEL_VERTICAL", **SIZE)
+for _kernel in ("GAUSSIAN_3X3_WEAK", "GAUSSIAN_5X5", "UNSHARP_5X5"):
+    on_frames(f"convolve_{_kernel.lower()}", S.convolve, conv_sql(_kernel), kernel=_kernel, **SIZE)
 _ls = f"(select *, {lin('r')} as lr, {lin('g')} as lg, {lin('b')} as lb from {RASTER} z)"
 _gk = S.kernel_offsets(S.KERNELS["GAUSSIAN_3X3"])
 on_frames("convolve_linear", S.convolve, f"""select clip_id, frame, x, y, {chans(U8S(unlin('l{c}') + ' * 255.0'))}, a from

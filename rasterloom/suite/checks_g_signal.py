@@ -265,7 +265,9 @@ def _phase(spark, d):
                             F.lit(50.0).alias("bar_anchor_ms"), "interval_ms"))
 
 
-@check("tap_downbeat_bpm_override")
+@check("tap_downbeat_bpm_override", f"""with h as (select channel, hop, hop - min(hop) over (partition by channel) as n from (select distinct channel, hop from {SPEC} q)),
+ taps as (select distinct channel, hop from {SIG} t0 where sample > 300)
+ select channel, hop, n = 0 or floor(n * 100.0 / 500.0) > floor((n - 1) * 100.0 / 500.0) as beat, (select max(t.hop) from taps t where t.channel = h.channel and t.hop <= h.hop) as bar_anchor from h""")
 def _taps(spark, d):
     hops = S.grid_beats(triggers(spark, d).select("channel", "hop"), 120.0, hop_ms=100.0).select("channel", "hop", "beat")
     taps = V.signal(spark, d).where("sample > 300").select(

@@ -31,7 +31,7 @@ def _live_state(spark, d):
     return ST.drain(ST.live_frame_state(e)).withColumn("ema", F.round(F.col("ema") + 3.3e-8, 6))
 
 
-@check("latest_frame_wins")
+@check("latest_frame_wins", "select user_id as clip_id, max(event_id) as frame_token, arg_max(value, event_id) as v from events group by 1")
 def _latest(spark, d):
     e = ST.read_events(spark, d).select(F.col("user_id").alias("clip_id"), F.col("event_id").alias("frame_token"), "ts", F.col("value").alias("v"))
     folder = work_folder(spark)
