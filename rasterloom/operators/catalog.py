@@ -130,38 +130,53 @@ def similar_pairs(chains: DataFrame, *, threshold=0.85, limit: int | None = None
 
     score = 0.5 Jaccard + 0.25 position match + 0.15 same lead + 0.1 same category.
     Equal chains (same steps and category) are one entry, named by their least
-    id, with `copies`.  For a threshold of 0.85 or more a pair must share its
-    lead and have Jaccard >= 2 * threshold - 1, so both chains contain the same
-    intersection after dropping few steps: chains meet in an equi-join on
-    (lead, that subset) instead of all against all.
+    id, with `copies`.
+
+    A score of `threshold` needs a Jaccard similarity of 2 * threshold - 1, and above 0.1
+    at least one shared step.  Two such sets share one of their rarest steps, so chains meet
+    in an equi-join on a short prefix of their steps in order of rarity; the pair counts
+    where the step is the first one that both prefixes have.  The length filter stands in
+    the join, and a step that very many chains have in their prefix is split by the
+    partner's length.
     """
-    if threshold < 0.85:
-        raise ValueError("candidate keys need a threshold of at least 0.85")
-    j_min = 2 * threshold - 1
+    if threshold <= 0.1:
+        raise ValueError("pairs without a common step reach 0.1: every pair is one")
+    j_min = max(2 * threshold - 1, 0.0)
     d = chains.groupBy("steps", "category").agg(F.min("chain_id").alias("id"), F.count("*").alias("copies"))
-    d = spread(d, "id").withColumns({"tokens": F.array_sort(F.array_distinct("steps")), "lead": F.element_at("steps", 1)})
-    drops = F.floor(F.size("tokens") * F.lit(1 - j_min) + F.lit(1e-9)).cast("int")
-    keys = F.array("tokens")
-    # subsets after dropping up to `drops` tokens, one token per round
-    grown = F.aggregate(F.sequence(F.lit(1), F.greatest(drops, F.lit(1))), keys,
-                        lambda acc, k: F.when(k > drops, acc).otherwise(F.array_distinct(F.concat(acc, F.flatten(F.transform(
-                            acc, lambda s: F.transform(s, lambda t: F.filter(s, lambda u: u != t))))))))
-    e = d.withColumn("key", F.explode(grown)).where(F.size("key") > 0)
-    names = ["id", "steps", "category", "tokens", "copies"]
-    a = e.select("lead", "key", *[F.col(n).alias(f"a_{n}") for n in names])
-    b = e.select("lead", "key", *[F.col(n).alias(f"b_{n}") for n in names])
-    p = shuffled_join(a, b, ["lead", "key"]).where("a_id < b_id")
-    shared = F.array_intersect("a_tokens", "b_tokens")
-    p = p.withColumn("shared", shared).where(F.size("shared") == F.size("key"))   # each pair once
-    union = F.size("a_tokens") + F.size("b_tokens") - F.size("shared")
+    d = spread(d, "id").withColumn("tokens", F.array_sort(F.array_distinct("steps")))
+    each = d.select("id", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = shuffled_join(each, counts, "token").groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("rare"))   # one chain's steps
+    size = F.size("tokens")
+    prefix = F.slice("rare", F.lit(1), size - F.ceil(size * F.lit(j_min) - F.lit(1e-9)).cast("int") + 1) if j_min else F.col("rare")
+    d = shuffled_join(d, ranked, "id").withColumn("prefix", prefix)
+    # partners are as long as the similarity asks: own size at most, j_min times it at least
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size * F.lit(j_min) - F.lit(1e-9)).cast("int")), size)
+    names = ["id", "steps", "category", "tokens", "copies", "prefix"]
+    a = d.select(*[F.col(n).alias(f"a_{n}") for n in names], F.explode("prefix").alias("token")).withColumn(
+        "length", F.size("a_tokens"))
+    b = d.withColumn("length", F.explode(lengths)).select(
+        "length", *[F.col(n).alias(f"b_{n}") for n in names], F.explode("prefix").alias("token"))
+    # a is the shorter one; of equal length the one with the smaller id
+    p = shuffled_join(a, b, ["token", "length"]).where(
+        (F.col("length") < F.size("b_tokens")) | ((F.col("length") == F.size("b_tokens")) & (F.col("a_id") < F.col("b_id"))))
+    p = p.where(F.col("token") == F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1))   # each pair once
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    p = p.withColumn("jaccard", shared / (F.size("a_tokens") + F.size("b_tokens") - shared)).where(F.col("jaccard") >= j_min - 1e-9)
     match = F.size(F.filter(F.arrays_zip("a_steps", "b_steps"), lambda z: z["a_steps"] == z["b_steps"]))
-    longest = F.greatest(F.size("a_steps"), F.size("b_steps"))
-    p = p.withColumns({"jaccard": F.size("shared") / union, "ordered": match / longest})
-    score = F.col("jaccard") * 0.5 + F.col("ordered") * 0.25 + 0.15 + F.when(
-        F.col("a_category") == F.col("b_category"), 0.1).otherwise(0.0)
+    p = p.withColumn("ordered", match / F.greatest(F.size("a_steps"), F.size("b_steps")))
+    score = (F.col("jaccard") * 0.5 + F.col("ordered") * 0.25
+             + F.when(F.element_at("a_steps", 1) == F.element_at("b_steps", 1), 0.15).otherwise(0.0)
+             + F.when(F.col("a_category") == F.col("b_category"), 0.1).otherwise(0.0))
+    swap = F.col("a_id") > F.col("b_id")
+
+    def side(name: str, first: bool) -> Column:
+        x, y = (F.col(f"a_{name}"), F.col(f"b_{name}")) if first else (F.col(f"b_{name}"), F.col(f"a_{name}"))
+        return F.when(swap, y).otherwise(x)
     out = p.withColumn("score", F.round(score, 9)).where(F.col("score") >= threshold).select(
-        F.col("a_id").alias("a"), F.col("b_id").alias("b"), "score", F.round("jaccard", 9).alias("jaccard"),
-        F.round("ordered", 9).alias("ordered"), F.col("a_copies").alias("copies_a"), F.col("b_copies").alias("copies_b"))
+        side("id", True).alias("a"), side("id", False).alias("b"), "score", F.round("jaccard", 9).alias("jaccard"),
+        F.round("ordered", 9).alias("ordered"), side("copies", True).alias("copies_a"), side("copies", False).alias("copies_b"))
     return out.orderBy(F.col("score").desc(), "a", "b").limit(limit) if limit else out
 
 

@@ -53,7 +53,8 @@ def _pass(df: DataFrame, src: str, out: str, n: int, keep: list[str], sign: int)
 
 def _numpy_transform(df: DataFrame, src: tuple[str, str], out: tuple[str, str], w: int, h: int,
                      inverse: bool) -> DataFrame:
-    schema = f"clip_id int, frame int, {out[0]} int, {out[1]} int, re double, im double"
+    ids = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in FRAME)
+    schema = f"{ids}, {out[0]} int, {out[1]} int, re double, im double"
 
     def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.zeros((h, w), dtype=complex)
@@ -62,7 +63,7 @@ def _numpy_transform(df: DataFrame, src: tuple[str, str], out: tuple[str, str],
         yy, xx = np.mgrid[0:h, 0:w]
         return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame": pdf["frame"].iloc[0],
                              out[0]: xx.ravel(), out[1]: yy.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
-    cols = df.select(F.col("clip_id").cast("int"), F.col("frame").cast("int"), *src, "re", "im")
+    cols = df.select(*FRAME, *src, "re", "im")
     return cols.groupBy(*FRAME).applyInPandas(one_frame, schema)
 
 

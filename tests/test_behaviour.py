@@ -365,3 +365,39 @@ def test_curve_points_keep_bad_input_out():
     bent = tone_curve("[[0.5,1],[0,0]]")
     assert (bent[0], bent[64], bent[128], bent[200]) == (0, 128, 255, 255)
     assert tone_curve("[[0,10],[100,50],[100,200],[255,255]]")[99:102] == [50, 50, 200]
+
+
+def test_chains_of_any_length_move_without_loss(spark):
+    from rasterloom.operators import catalog as K
+    names = [f"s{i}" for i in range(40)]
+    row = spark.createDataFrame([(names,)], "steps array<string>").select(
+        K.chain_move(F.col("steps"), 30, 2).alias("m"), K.chain_move(F.col("steps"), 0, 39).alias("e")).first()
+    assert row.m == [*names[:2], "s30", *(n for n in names[2:] if n != "s30")] and row.e == [*names[1:], "s0"]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.45, 0.7, 0.85])
+def test_similar_pairs_at_any_threshold(spark, threshold):
+    from rasterloom.operators import catalog as K
+    rng = np.random.default_rng(8)
+    chains = [(i, "ab"[int(rng.integers(2))], [f"s{int(v)}" for v in rng.integers(0, 12, int(rng.integers(1, 9)))]) for i in range(120)]
+    got = {(r.a, r.b): r.score for r in K.similar_pairs(
+        spark.createDataFrame(chains, "chain_id int, category string, steps array<string>"), threshold=threshold).collect()}
+    one = {}
+    for i, c, s in chains:
+        one.setdefault((c, tuple(s)), i)
+    want = {}
+    entries = sorted((i, c, s) for (c, s), i in one.items())
+    for n, (j, cj, y) in enumerate(entries):
+        for i, ci, x in entries[:n]:
+            jac = len({*x} & {*y}) / len({*x} | {*y})
+            score = 0.5 * jac + 0.25 * sum(p == q for p, q in zip(x, y)) / max(len(x), len(y)) + 0.15 * (x[0] == y[0]) + 0.1 * (ci == cj)
+            if round(score, 9) >= threshold:
+                want[i, j] = round(score, 9)
+    assert got == pytest.approx(want)
+
+
+def test_long_ids_pass_the_large_transform(spark):
+    from rasterloom.operators import spectral as SP
+    df = spark.createDataFrame([(1 << 40, 0, x, y, float(x == y)) for x in range(65) for y in range(3)], "clip_id long, frame int, x int, y int, v double")
+    out = SP.forward(df, width=65, height=65)
+    assert out.where("kx = 0 and ky = 0").first().re == pytest.approx(3.0) and out.first().clip_id == 1 << 40
