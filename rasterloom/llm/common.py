@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,14 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Let a reused Python worker return what a batch needed; where the C library cannot, nothing happens."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch whose text is at most `limit` bytes, but one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -69,7 +78,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterat
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
-    pa.default_memory_pool().release_unused()  # a reused worker gives back what the batch needed
+    give_back()
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
