@@ -25,13 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder in the session's shared folder; it goes when the session ends."""
-    path = work_folder(spark)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
+    return work_folder(spark)
 
 
 def staged(df: DataFrame) -> DataFrame:
