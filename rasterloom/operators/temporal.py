@@ -186,7 +186,7 @@ def scene_separation(df: DataFrame, *, mode="FOREGROUND", threshold=20.0, feathe
     mv, st = F.col("_mv"), F.lit(1.0) - F.col("_mv")
     if mode == "FREEZE" and frozenFrame == "FIRST":
         first = df.where("frame = 0").select(*PIXEL, *[F.col(c).alias(f"_z_{c}") for c in C.RGB])
-        d = d.join(first, list(PIXEL))
+        d = shuffled_join(d, first, list(PIXEL))   # one row a pixel of every clip
     cols = {}
     for c, bg in zip(C.RGB, bgColor):
         e, x = F.col(f"_e_{c}"), F.col(c)

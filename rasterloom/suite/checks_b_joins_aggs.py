@@ -272,7 +272,7 @@ def _kmeans(spark, d):
 # ---- cells ------------------------------------------------------------------------------
 
 def gather_sql(sx, sy, extra="", src=RASTER):
-    return f"""with p as (select * from {src} q0), t as (select *, {sx} as sx, {sy} as sy {extra} from p)
+    return f"""with p as materialized (select * from {src} q0), t as materialized (select *, {sx} as sx, {sy} as sy {extra} from p)
  select t.clip_id, t.frame, t.x, t.y, s.r, s.g, s.b, s.a from t join p s on s.clip_id = t.clip_id and s.frame = t.frame and s.x = t.sx and s.y = t.sy"""
 
 

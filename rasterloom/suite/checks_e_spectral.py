@@ -203,7 +203,7 @@ _cases = {
 for _mode, (_fmt, _name) in _cases.items():
     check(_name, f"select clip_id, frame, x, y, {chans(_fmt)}, a from {_psrc} z")(
         lambda spark, d, m=_mode: _damaged(spark, d, m))
-check("crc_stripe_nearest", f"""with z as materialized {_psrc}, n as (select p.clip_id, p.frame, p.x, p.y, arg_min({{'r': h.r1, 'g': h.g1, 'b': h.b1}}, {{'d': abs(h.y - p.y), 'y': h.y}}) as v
+check("crc_stripe_nearest", f"""with z as materialized {_psrc}, n as materialized (select p.clip_id, p.frame, p.x, p.y, arg_min({{'r': h.r1, 'g': h.g1, 'b': h.b1}}, {{'d': abs(h.y - p.y), 'y': h.y}}) as v
  from z p join z h on h.clip_id = p.clip_id and h.frame = p.frame and h.x = p.x and not h.bad group by all)
  select z.clip_id, z.frame, z.x, z.y, coalesce(v.r, 0) as r, coalesce(v.g, 0) as g, coalesce(v.b, 0) as b, a from z left join n using (clip_id, frame, x, y)""")(
     lambda spark, d: _damaged(spark, d, "NEAREST"))

@@ -104,7 +104,7 @@ def _export(spark, d):
     return K.export_states(K.load_states(_state_docs(spark, d), cat), cat)
 
 
-@check("frame_sequence_sink")
+@check("frame_sequence_sink", raster_sql("r", "g", "b"))
 def _sink(spark, d):
     """Write the frames and read them back."""
     path = lineage.work_folder(spark) + "/frames"
