@@ -40,7 +40,7 @@ LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
 BLOCK_TOKENS, FILE_TOKENS = 1 << 19, 1 << 24
 MAGIC, TRAILER, HEAD = b"RTB1", "RTB.", "<QQQIIIIIQ"
-KEPT_WORDS = 150_000
+KEPT_WORDS = 400_000
 # How the tokenizer file splits a text into pieces, and the mark of a piece's last token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE_END = "</w>"
@@ -57,48 +57,55 @@ class Tokens:
     """
 
     def __init__(self, model: str, end: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
-        vocabulary = self.tokenizer.get_vocab()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, self.full = model, None
+        self.light = Tokenizer.from_str(model)  # for pieces: lower case and parted already
+        self.light.encode_special_tokens = True
+        self.light.normalizer = None
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.light.get_vocab()
         self.kind = width(max(end, *vocabulary.values()))
         self.end = np.array([end], self.kind).tobytes()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith(PIECE_END)]] = True
         self.plain, self.find = re.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words and pieces; a word of letters is one piece
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        """Packed ids of any text, by the tokenizer as it is."""
+        if self.full is None:
+            from tokenizers import Tokenizer
 
-    def split(self, word: str) -> list[str]:
-        return [word] if word.isalpha() else self.find(word)
+            self.full = Tokenizer.from_str(self.model)
+            self.full.encode_special_tokens = True  # their strings in a text are text
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def add_words(self, words: list[str]) -> None:
+    def add_words(self, words: set[str]) -> None:
         """Encode the pieces not met before, a space between them; a piece's last token shows its end."""
-        split = list(map(self.split, words))
-        new = list(set().union(*split) - self.pieces.keys())
+        split = {w: self.find(w) for w in words if not w.isalpha()}
+        new = list((words - split.keys()).union(*split.values()) - self.known.keys())
         if new:
-            ids = np.concatenate(self.library([" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]))
+            joined = [" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.light.encode_batch_fast(joined, add_special_tokens=False)])
             ends = (np.flatnonzero(self.stops[ids]) + 1) * ids.itemsize
             if len(ends) != len(new):
                 raise ValueError("the tokenizer file splits words in another way")
             data, ends = ids.tobytes(), ends.tolist()
-            self.pieces.update(zip(new, (data[i:j] for i, j in zip([0, *ends], ends))))
-        pieces = self.pieces
-        self.words.update(zip(words, (pieces[x[0]] if len(x) == 1 else b"".join([pieces[p] for p in x]) for x in split)))
+            self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
+        of = self.known.__getitem__
+        self.known.update((w, b"".join(map(of, pieces))) for w, pieces in split.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.pieces = {}, {}
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
         found = [t.lower().split() if self.plain(t) else None for t in (t or "" for t in texts)]
-        if new := list(set().union(*filter(None, found)) - self.words.keys()):
+        if new := set().union(*filter(None, found)) - self.known.keys():
             self.add_words(new)
-        of = self.words.__getitem__
-        return [(self.library([t])[0].tobytes() if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
+        of = self.known.__getitem__
+        return [(self.whole(t) if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
 
 
 def width(most: int) -> str:
