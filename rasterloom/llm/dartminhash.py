@@ -41,7 +41,7 @@ from rasterloom.llm.common import WORD, dimension_join, map_arrow, slices, stage
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 STAR = 8  # buckets up to this size begin with one star
-GROWTH = 3  # a bucket has one centre in the first round and so many times more in each later one
+GROWTH = 4  # a bucket has one centre in the first round and so many times more in each later one
 KEPT_WORDS = 150_000
 POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 18)])])
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
