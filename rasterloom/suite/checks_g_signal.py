@@ -209,11 +209,24 @@ def _adaptive(spark, d):
         "user_id", "event_id", "low", "high", "normalized")
 
 
-@check("metric_normaliser")
+METRICS = ("level", "bass", "mid", "treble", "sub", "pulse", "onset", "flux", "percussive", "band_ratio", "roughness", "harmonic", "zero_cross")
+_RAW = f"""(select b.channel, b.hop, b.level, b.bass, b.mid, b.treble, b.sub, o.onset, o.flux, coalesce(z.zero_cross, 0.0) as zero_cross, least(1.0, greatest(0.0, (b.level - e.e) * 5)) as pulse
+ from {BL} b join {ONSET} o using (channel, hop) join {ema_sql(BL, 'level', 0.82)} e using (channel, hop) left join {ZC} z using (channel, hop))"""
+_ALL = f"""(select *, least(1.0, greatest(0.0, onset * 0.7 + pulse * 0.3)) as percussive, least(1.0, greatest(0.0, bass / greatest(0.05, treble + 0.05))) as band_ratio,
+ least(1.0, greatest(0.0, (zero_cross * 1.5 + treble * 0.7) / 2.2)) as roughness, least(1.0, greatest(0.0, (1 - flux) * (0.35 + mid * 0.65))) as harmonic from {_RAW} r)"""
+
+
+@check("metric_normaliser", f"""with recursive w as materialized (select * from {_ALL} q), m as ({' union all '.join(f"select channel, hop, '{n}' as metric, {n} as v from w" for n in METRICS)}),
+ e as materialized (select *, row_number() over (partition by channel, metric order by hop) as rn from m),
+ f as (select channel, hop, metric, rn, v, v as lo, v as hi from e where rn = 1 union all select e.channel, e.hop, e.metric, e.rn, e.v,
+  case when e.v < f.lo then e.v else f.lo + (e.v - f.lo) * 0.004 end, case when e.v > f.hi then e.v else f.hi + (e.v - f.hi) * 0.004 end
+  from f join e on e.channel = f.channel and e.metric = f.metric and e.rn = f.rn + 1)
+ select channel, hop, metric, round(v, 6) as v, round(lo, 6) as low, round(hi, 6) as high, round(least(1.0, greatest(0.0, (v - (hi - greatest(0.08, hi - lo))) / greatest(0.08, hi - lo))), 6) as normalized from f""")
 def _normaliser(spark, d):
+    """Every metric of a hop follows its own range; keys are (channel, metric)."""
     m = mixed(spark, d).select("channel", "hop", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in ("bass", "treble", "flux", "percussive")])))
-    return FD.adaptive_range(m, ["channel", "metric"], ["hop"], "v")
+        F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in METRICS])))
+    return rnd(FD.adaptive_range(m, ["channel", "metric"], ["hop"], "v"), "v", "low", "high", "normalized")
 
 
 def triggers(spark, d):
