@@ -262,13 +262,26 @@ def _beat_detection(spark, d):
     return rnd(beats(spark, d), "pulse", "hold", "confidence", "interval_ms")
 
 
-@check("tempo_smoothing")
+_DAILY = f"""(with s as (select channel, hop // 48 as win, hop, novelty - avg(novelty) over (partition by channel, hop // 48) as v, count(*) over (partition by channel, hop // 48) as n from {ONSET} q),
+ a as (select p.channel, p.win, p.n, h.hop - p.hop as lag, sum(p.v * h.v) as s from s p join s h on h.channel = p.channel and h.win = p.win and h.hop - p.hop between 3 and 10 group by all),
+ w as (select channel, win, lag, s / (n - lag) * greatest(0.35, 1 - abs(120 - 60000 / (lag * 100.0)) / 600) as score from a where n - lag > 8),
+ b as (select channel, win, max(score) as best, avg(score) as m, sqrt(greatest(0.0, avg(score * score) - avg(score) * avg(score))) as sd, arg_max(60000 / (lag * 100.0), score) as bpm from w group by all)
+ select channel, win, bpm, case when sd > 0.00000001 then least(1.0, greatest(0.0, (best - m) / (sd * 4))) else 0.0 end as conf, row_number() over (partition by channel order by win) as i from b where best > 0)"""
+_HALF, _TWICE = "case when c.bpm / 2 between 60 and 180 then c.bpm / 2 else c.bpm end", "case when c.bpm * 2 between 60 and 180 then c.bpm * 2 else c.bpm end"
+
+
+@check("tempo_smoothing", f"""with recursive c as materialized (select * from {_DAILY} q),
+ f as (select channel, win, i, bpm, conf, bpm as tempo, greatest(0.1, conf) as trust from c where i = 1
+ union all select c.channel, c.win, c.i, c.bpm, c.conf, f.tempo * (1 - (0.2 + c.conf * 0.45)) + (0.2 + c.conf * 0.45) * case
+   when abs(c.bpm - f.tempo) <= least(abs({_HALF} - f.tempo), abs({_TWICE} - f.tempo)) then c.bpm when abs({_HALF} - f.tempo) <= abs({_TWICE} - f.tempo) then {_HALF} else {_TWICE} end,
+  f.trust * 0.7 + c.conf * 0.3 from f join c on c.channel = f.channel and c.i = f.i + 1)
+ select channel, win as window, round(bpm, 6) as bpm, round(conf, 6) as confidence, round(tempo, 6) as tempo, round(trust, 6) as tempo_confidence from f""")
 def _tempo_smoothing(spark, d):
     """Tempo per day of history, followed over the days."""
     nov = S.onsets(S.flux(spec(spark, d))).withColumn("window", F.floor(F.col("hop") / 48))
     daily = nov.select(F.struct("channel", "window").alias("channel"), "hop", "novelty")
     c = S.dominant_period(daily, hop_ms=100.0).select("channel.channel", "channel.window", "bpm", "confidence")
-    return S.smooth_tempo(c)
+    return rnd(S.smooth_tempo(c), "bpm", "confidence", "tempo", "tempo_confidence")
 
 
 @check("phase_bar_position")
