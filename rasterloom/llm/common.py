@@ -32,7 +32,16 @@ def staged(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it: later jobs neither recompute nor depend on executors."""
     path = f"{shared_folder(df.sparkSession)}/t"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete staged tables of which nothing is read any more; what was made of them is staged itself."""
+    for df in tables:
+        where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def word_array(text: Column) -> Column:

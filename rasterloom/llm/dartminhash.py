@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WORD, dimension_join, map_arrow, slices, staged, table
+from rasterloom.llm.common import WORD, dimension_join, forget, map_arrow, slices, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -163,7 +163,7 @@ def similarity(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are at least so similar."""
+    """The pairs (a, b) that are at least so similar, staged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(c) for c in ("ea", "wa", "eb", "wb")]
@@ -174,7 +174,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     sets = dimension_join(sets, needed, F.col("node") == F.col("_n"), "left_semi")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb")).hint("merge"), "b")
-    return map_arrow(both.select("a", "b", "ea", "wa", "eb", "wb"), run, "a binary, b binary")
+    out = staged(map_arrow(both.select("a", "b", "ea", "wa", "eb", "wb"), run, "a binary, b binary"))
+    forget(needed)
+    return out
 
 
 def common_at_most(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,15 +205,17 @@ def components(links: DataFrame) -> DataFrame:
     a round; a node with very many links is met by an equi-join and a pre-aggregated minimum.
     """
     both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = old = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
         jumped = (spread.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
                   .select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("old")).alias("moved")))
         jumped = staged(jumped)
-        labels = jumped.select("node", "label")
+        forget(old)
+        old, labels = jumped, jumped.select("node", "label")
         if jumped.filter("moved").isEmpty():
+            forget(both)
             return labels
 
 
@@ -247,9 +251,10 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
     sets = staged(shingle_sets(
         dimension_join(docs.select(doc_id, text), ids, F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi"), text=text, weighted=weighted)
         .groupBy("node").agg(F.first("elements").alias("elements"), F.first("weights").alias("weights")))
-    links = staged(verified(pairs, sets, least))
+    links = verified(pairs, sets, least)
     labels = components(links)
     rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = None
     for turn in count():
         most = growth ** turn
         seen = rest.join(labels.hint("merge"), "node", "left").select("key", "node", "size", "label", F.coalesce("label", "node").alias("part"))
@@ -258,19 +263,23 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
         if seen.isEmpty():
             return nodes.select("node", "first"), labels
         # what a node can share at all decides whether it can have a link to a node not yet compared
-        bound = staged(common_at_most(staged(seen.select("node").distinct()), sets))
+        members = staged(seen.select("node").distinct())
+        bound = staged(common_at_most(members, sets))
         able = seen.join(bound.hint("merge"), "node").withColumn("common", F.col("size") - F.col("alone")).filter(F.col("common") >= least * F.col("size") - 1e-6)
         order = Window.partitionBy("key").orderBy(F.col("label").isNull(), F.col("alone") / F.col("size"), "node")  # linked and plain members reach further
+        before = open_
         open_ = staged(able.withColumn("at", F.row_number().over(order)))
+        forget(seen, members, bound, *([before] if before is not None else []))
         centre = open_.filter(F.col("at") <= most).select("key", *[F.col(c).alias(f"{c}0") for c in ("node", "at", "part", "size", "common")])
         near = (1 + least) * F.least("common", "common0") >= least * (F.col("size") + F.col("size0")) - 1e-6
         again = (open_.join(centre.hint("merge"), "key").filter("at > at0 and part != part0").filter(close("size", "size0") & near)
                        .select(F.least("node0", "node").alias("a"), F.greatest("node0", "node").alias("b")).distinct())
         again = staged(again.join(met_before.hint("merge"), ["a", "b"], "left_anti"))
         met_before = met_before.union(again)
-        more = staged(verified(again, sets, least))
+        more = verified(again, sets, least)
         if not more.isEmpty():
             labels = joined_by(labels, more)
+        forget(more)
         rest = open_.filter(F.col("at") > most).select("key", "node", "size")
 
 
