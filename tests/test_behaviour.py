@@ -401,3 +401,23 @@ def test_long_ids_pass_the_large_transform(spark):
     df = spark.createDataFrame([(1 << 40, 0, x, y, float(x == y)) for x in range(65) for y in range(3)], "clip_id long, frame int, x int, y int, v double")
     out = SP.forward(df, width=65, height=65)
     assert out.where("kx = 0 and ky = 0").first().re == pytest.approx(3.0) and out.first().clip_id == 1 << 40
+
+
+def test_a_sixth_event_type_is_in_every_spectrum_metric(spark, tmp_path):
+    from rasterloom.sources import views as V
+    kinds = ["add_to_cart", "click", "error", "purchase", "signup", "view"]
+    seen = [(0, 0, "view"), (0, 0, "view"), (0, 1, "add_to_cart"), (0, 2, "signup"), (0, 2, "view"), (1, 1, "view"), (1, 1, "click"), (1, 1, "error"), (1, 1, "purchase")]
+    spark.createDataFrame([(i, 3_600_000_000 * h + i, u, k, 10.0) for i, (u, h, k) in enumerate(seen)], "event_id long, us long, user_id long, event_type string, value double").select(
+        "event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    spec = S.spectrum(V.signal(spark, str(tmp_path)), 3_600_000_000, full_scale=4.0)
+    mag = {(c, h, b): sum((u, g, k) == (c, h, kinds[b]) for u, g, k in seen) / 4 for c, h in [(0, 0), (0, 1), (0, 2), (1, 1)] for b in range(6)}
+    assert {(r.channel, r.hop, r.bin): r.mag for r in spec.collect()} == mag
+    got = {}
+    for df in (S.band_averages(spec), S.spectral_centroid(spec), S.flux(spec)):
+        for r in df.collect():
+            got.setdefault((r.channel, r.hop), {}).update(r.asDict())
+    for (c, h), row in got.items():
+        m = [mag[c, h, b] for b in range(6)]
+        rise = sum(max(0.0, x - mag.get((c, h - 1, b), x)) for b, x in enumerate(m))
+        assert [row[k] for k in ("sub", "bass", "mid", "treble", "centroid", "flux")] == pytest.approx(
+            [m[0], sum(m[:2]) / 2, sum(m[:3]) / 3, sum(m[2:]) / 4, sum(b * x for b, x in enumerate(m)) / sum(m) / 5, min(1.0, rise / 6 * 4)])
