@@ -3,15 +3,17 @@
 A text and a known licence are brought to one form: lower case, no copyright lines, one of
 each group of equivalent spellings, words only.  The form's digest is looked up in the table
 of known digests by a hash join.  Entire texts are looked up; the units are the whole
-document, its paragraphs (if a blank line parts it) and its lines (if more than one), so that a licence or notice
-which makes up a part of a document is found too, each as an entire text of its own.
+document, its paragraphs (if a blank line parts it), its passages and its lines (if more than one), so that a licence or
+notice which makes up a part of a document is found too, each as an entire text of its own.  A passage is a run of
+paragraphs, not all of the document, which are those of a known text of several paragraphs in order; its digest is that of the
+paragraphs' digests, made only where a paragraph is the first one of such a text.
 
 The known table is a setting
 (NOTICES, some dozens of rows) and is broadcast, so no text is shuffled and a very common
 notice is no hot key; what is grouped are the matches.
 
 Defined cases: a null or empty text has no unit with words, so no match and no row; a
-unit of punctuation or copyright lines only is no unit; rows
+unit of punctuation or copyright lines only is no unit and parts no passage; rows
 equal in the kept columns count together; an empty table gives no rows.
 """
 
@@ -85,27 +87,62 @@ def spelled(form: Column) -> Column:
     return F.trim(t)
 
 
+def digests(forms: Column, reach: int | None = None) -> Column:
+    """Digest of each form; '' for no words or more than `reach` characters."""
+    def digest(form: Column) -> Column:
+        fits = form != "" if reach is None else F.length(form).between(1, reach)
+        return F.when(fits, F.md5(spelled(form))).otherwise("")
+    return F.transform(forms, digest)
+
+
+def paragraphs(text: Column) -> Column:
+    """Forms of the paragraphs that have words."""
+    return F.filter(F.transform(F.split(text, BLANK, -1), plain), lambda form: form != "")
+
+
+def joined(parts: Column) -> Column:
+    """Digest of a passage from those of its paragraphs."""
+    return F.md5(F.concat_ws(" ", parts))
+
+
+def passages(parts: Column, texts: list[list[str]]) -> Column:
+    """Digests of the runs of paragraphs that begin like one of the texts, as long as it and shorter than the document."""
+    if not texts:
+        return F.array().cast("array<string>")
+    firsts, lengths = sorted({t[0] for t in texts}), sorted({len(t) for t in texts})
+    n = F.size(parts)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(parts, i).isin(firsts))
+    runs = F.transform(starts, lambda i: F.array(*[
+        F.when((i + k <= n) & (n > k), joined(F.slice(parts, i + 1, k))) for k in lengths]))
+    return F.when(n > 1, F.array_compact(F.flatten(runs)))
+
+
 def known(spark, notices=NOTICES) -> DataFrame:
-    """(digest, license) of the known texts; one row per different digest."""
+    """(digest, license, parts) of the known texts; parts are the digests of a passage's paragraphs, else null."""
     rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in notices])
-    d = spark.range(1).select(F.inline(rows))
-    return d.select(F.md5(spelled(plain(F.col("text")))).alias("digest"), "license").filter(plain(F.col("text")) != "").groupBy("digest").agg(F.min("license").alias("license"))
+    d = spark.range(1).select(F.inline(rows)).filter(plain(F.col("text")) != "")
+    d = d.select("license", F.element_at(digests(F.array(plain(F.col("text")))), 1).alias("whole"), digests(paragraphs(F.col("text"))).alias("parts"))
+    texts = d.select(F.col("whole").alias("digest"), "license", F.lit(None).cast("array<string>").alias("parts"))
+    runs = d.filter(F.size("parts") > 1).select(joined(F.col("parts")).alias("digest"), "license", "parts")
+    return texts.union(runs).groupBy("digest").agg(F.min("license").alias("license"), F.first("parts").alias("parts"))
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices=NOTICES) -> DataFrame:
     """One row per document, kind of unit and licence found: the kept columns, unit, license, n (units that match)."""
-    t = F.col("_text")
-    units = F.array(
-        F.struct(F.lit("text").alias("unit"), F.array(t).alias("parts")),
-        F.struct(F.lit("paragraph").alias("unit"), F.when(t.rlike(BLANK), F.split(t, BLANK, -1)).alias("parts")),
-        F.struct(F.lit("line").alias("unit"), F.when(t.contains("\n"), F.split(t, "\n", -1)).alias("parts")))
-    parts = (docs.select(*keep, F.col(text).alias("_text")).filter("_text is not null")
-             .select(*keep, F.inline(units)).select(*keep, "unit", F.explode("parts").alias("_part")))
-    forms = parts.select(*keep, "unit", plain(F.col("_part")).alias("_form"))
+    t, p = F.col("_text"), F.col("_paragraphs")
+    table = known(docs.sparkSession, notices)
+    texts = [r.parts for r in table.filter("parts is not null").collect()]  # some dozens of digests
     # a spelling shortens a form by half at most, so a longer form is no known text
     reach = 2 * max((len(spelling) for _, spelling in notices), default=0)
-    digest = F.coalesce(F.when(F.length("_form") <= reach, F.md5(spelled(F.col("_form")))), F.lit(""))
-    hits = forms.select(*keep, "unit", digest.alias("digest")).join(F.broadcast(known(docs.sparkSession, notices)), "digest")
+    units = F.array(
+        F.struct(F.lit("text").alias("unit"), digests(F.array(plain(t)), reach).alias("digests")),
+        F.struct(F.lit("paragraph").alias("unit"), p.alias("digests")),
+        F.struct(F.lit("passage").alias("unit"), passages(p, texts).alias("digests")),
+        F.struct(F.lit("line").alias("unit"), F.when(t.contains("\n"), digests(F.transform(F.split(t, "\n", -1), plain), reach)).alias("digests")))
+    found = (docs.select(*keep, F.col(text).alias("_text")).filter("_text is not null")
+             .select(*keep, "_text", F.when(t.rlike(BLANK), digests(paragraphs(t), reach)).alias("_paragraphs"))
+             .select(*keep, F.inline(units)).select(*keep, "unit", F.explode("digests").alias("_digest")))
+    hits = found.join(F.broadcast(table), F.col("_digest") == F.col("digest"))
     return hits.groupBy(*keep, "unit", "license").agg(F.count("*").alias("n"))
 
 

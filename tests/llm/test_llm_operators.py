@@ -322,6 +322,17 @@ def test_licence_forms(spark, odd):
     assert licenses.scan(odd.withColumn("digest", F.lit(1))).count() == 0 == licenses.scan(empty(odd)).count()
 
 
+def test_licences_inside_documents_with_their_blank_lines(spark):
+    mit, isc = licenses.MIT, licenses.ISC
+    first, rest = mit.split("\n\n", 1)
+    texts = [(1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, f"before\n\n{mit}\n\nafter"), (3, f"a\n\n{isc}\n \n\n{mit}\n\n{isc}\n\nb"),
+             (4, f"{first}\n\nCopyright 2020 Someone\n\n----\n\n{rest}\n\nafter"), (5, mit), (6, f"{first}\n\nother\n\n{rest}"), (7, f"{rest}\n\n{first}"),
+             (8, f"a\n\n{first}"), (8, f"{rest}\n\nb"), (9, f"{first}\n\n{mit}")]
+    got = {(r.doc_id, r.unit, r.license, r.n) for r in licenses.scan(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    assert got == {(1, "passage", "MIT", 1), (2, "passage", "MIT", 1), (3, "passage", "MIT", 1), (3, "passage", "ISC", 2), (4, "passage", "MIT", 1),
+                   (5, "text", "MIT", 1), (9, "passage", "MIT", 1)}
+
+
 def test_shards_hold_even_parts_and_move_little(spark, odd):
     names = [f"n{i}" for i in range(11)]
     table = sharding.fill(tuple(names), 10_007)
