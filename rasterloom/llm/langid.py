@@ -9,6 +9,10 @@ Vectors come from the letter's code point, so they need no table and agree every
 Bundles are sums of whole numbers: prototypes do not depend on partitions or order.  Only
 one vector per task and language is shuffled; prototypes are languages x dimensions.
 
+A cosine below NOISE deviations of chance (1 / sqrt(dimensions)) says nothing about the language.  Where predict is given
+the scripts of the learning texts, such a text is `und` if fewer than half of its letters are of these scripts; a short
+text of a known script keeps its answer.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties of the
 cosine go to the first language in code point order; texts with a null language teach
 nothing; without any learning text every answer is `und`; other columns pass through.
@@ -16,6 +20,7 @@ nothing; without any learning text every answer is `und`; other columns pass thr
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +35,8 @@ from rasterloom.llm.common import map_arrow, slices, table
 DIMENSIONS, GRAM = 1024, 3
 BLOCK = 1 << 20
 UNKNOWN = "und"
+NOISE = 5
+OWN = 0.01  # part of a language's letters from which on their script is the language's own
 GAP = 32  # what is no letter, as one space
 
 
@@ -97,6 +104,45 @@ class Profiles:
         return counts.astype(np.float64) @ vectors.astype(np.float64)
 
 
+def script(letter: str) -> str:
+    """First word of a letter's Unicode name: LATIN, GREEK, CJK; none for what is no letter."""
+    return unicodedata.name(letter, "").split(" ")[0] if letter.isalpha() else ""
+
+
+def script_counts(text: str) -> dict[str, int]:
+    """Letters of a text by script."""
+    codes, times = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_counts=True)
+    counts: dict[str, int] = {}
+    for c, n in zip(codes.tolist(), times.tolist()):
+        name = script(chr(c))
+        if name:
+            counts[name] = counts.get(name, 0) + n
+    return counts
+
+
+def scripts(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> frozenset[str]:
+    """Scripts that make up a part of OWN of the letters of a language; one row per task, language and script is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK):
+                texts: dict[str, list[str]] = {}
+                for t, name in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                    texts.setdefault(name, []).append(t)
+                for name, own in texts.items():
+                    for kind, n in script_counts("".join(own)).items():
+                        sums[name, kind] = sums.get((name, kind), 0) + n
+        yield pa.RecordBatch.from_pylist([{"lang": k, "script": v, "n": n} for (k, v), n in sums.items()],
+                                         schema=pa.schema([("lang", pa.string()), ("script", pa.string()), ("n", pa.int64())]))
+
+    known = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
+    found = map_arrow(known, run, "lang string, script string, n long").groupBy("lang", "script").agg(F.sum("n").alias("n")).collect()
+    total: dict[str, int] = {}
+    for r in found:
+        total[r.lang] = total.get(r.lang, 0) + r.n
+    return frozenset(r.script for r in found if r.n >= OWN * total[r.lang])
+
+
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS, gram: int = GRAM) -> dict[str, np.ndarray]:
     """Prototype per language of all rows with a language: languages x dimensions on the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +167,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "text", keep: list[str] | None = None,
-            out: tuple[str, str] = ("lang_pred", "score"), dimensions: int = DIMENSIONS, gram: int = GRAM) -> DataFrame:
+            out: tuple[str, str] = ("lang_pred", "score"), dimensions: int = DIMENSIONS, gram: int = GRAM,
+            own_scripts: frozenset[str] | None = None) -> DataFrame:
     """`keep` columns (all by default) with the language and the score, named by `out`."""
     keep = [c for c in docs.columns if c not in out] if keep is None else keep
     read = keep if text in keep else [*keep, text]
@@ -138,6 +185,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], *, text: str = "
                 cosines = np.round(bundles @ shown / np.maximum(norms, 1e-9)[:, None], 9)
                 best = cosines.argmax(axis=1) if names else np.zeros(len(texts), int)
                 has = (norms > 0) & np.array([any(map(str.isalpha, t or "")) for t in texts], bool) & bool(names)
+                if own_scripts is not None:
+                    for i in np.flatnonzero(has & (cosines.max(axis=1, initial=0) < NOISE / np.sqrt(dimensions))):
+                        counts = script_counts(texts[i])
+                        has[i] = 2 * sum(counts.get(k, 0) for k in own_scripts) >= sum(counts.values())
                 score = np.where(has, np.clip(cosines.max(axis=1, initial=0), 0, 1), 0.0)
                 pred = pc.if_else(pa.array(has), pa.array([names[b] for b in best] if names else [UNKNOWN] * len(texts), pa.string()), UNKNOWN)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pred, pa.array(score)], names=[*keep, *out])

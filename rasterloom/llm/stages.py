@@ -12,8 +12,6 @@ from rasterloom.llm import bpe, dartminhash, langid, mixing
 from rasterloom.llm.common import staged
 from rasterloom.llm.quality import judged, with_votes
 
-LEAST_SCORE = 0.02  # a cosine below this says nothing about the language
-
 
 def fresh(name: str, columns: list[str]) -> str:
     """A name that no column has."""
@@ -23,10 +21,10 @@ def fresh(name: str, columns: list[str]) -> str:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out documents without a letter or like no language that docs know."""
+    """Leave out documents without a letter, or of chance score and mostly in scripts that no language of docs has."""
     out = (fresh("lang_pred", docs.columns), fresh("score", docs.columns))
-    found = langid.predict(docs, langid.learn(docs), out=out)
-    return found.filter((F.col(out[0]) != langid.UNKNOWN) & (F.col(out[1]) >= LEAST_SCORE)).drop(*out)
+    found = langid.predict(docs, langid.learn(docs), out=out, own_scripts=langid.scripts(docs))
+    return found.filter(F.col(out[0]) != langid.UNKNOWN).drop(*out)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline stage by stage, and what happens without its subpackage."""
 
 import hashlib
+import random
 import sys
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from rasterloom.llm import bpe, dartminhash, mixing
+from rasterloom.llm import bpe, dartminhash, mixing, stages
 from rasterloom.llm.common import staged
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +47,19 @@ def test_stages_decide_on_their_own_input(spark):
     assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in docs.collect()) == want
 
 
+def test_language_drops_unlearned_scripts_and_keeps_short_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rnd, planted = random.Random(4), []
+    for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0x627, 0x64B), (0x4E00, 0x5E00)):
+        planted += [" ".join("".join(chr(rnd.randrange(a, b)) for _ in range(rnd.randrange(1, 8))) for _ in range(n)) for n in (1, 3, 30, 300) for _ in range(15)]
+    short = ["Von.", "Yes", "no", "the", "und", "Où ?", "año", "a", "Zz", "Quiz x", "jazz 3"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(planted)] + [(-1001 - i, t, None) for i, t in enumerate(short)], docs.schema)
+    left = {r.doc_id for r in stages.language(spark, docs.union(more), SF).select("doc_id").collect()}
+    assert not [i for i in left if -1000 <= i < 0]
+    assert {i for i in left if i < -1000} == {-1001 - i for i in range(len(short))}
+    assert {i for i in left if i >= 0} == {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
