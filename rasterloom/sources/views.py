@@ -83,11 +83,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event samples as a two-channel signal; `bin` is the event type's rank among all types there are."""
+    """Event samples as a two-channel signal; `bin` is the event type's rank among all types there are, null the last."""
     e = events(spark, sf_dir)
-    kinds = table(spark, sf_dir, "events").select("event_type").distinct().withColumn(
-        "bin", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))   # one row a type
-    return e.join(kinds, "event_type").select(
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")).distinct().withColumn(
+        "bin", (F.row_number().over(Window.orderBy(F.asc_nulls_last("kind"))) - 1).cast("int"))   # one row a type
+    return e.join(kinds, F.col("event_type").eqNullSafe(F.col("kind"))).select(
         "event_id", "ts", "ts_us", F.pmod("user_id", F.lit(2)).cast("int").alias("channel"), "bin",
         F.col("value").alias("sample"))
 

@@ -421,3 +421,10 @@ def test_a_sixth_event_type_is_in_every_spectrum_metric(spark, tmp_path):
         rise = sum(max(0.0, x - mag.get((c, h - 1, b), x)) for b, x in enumerate(m))
         assert [row[k] for k in ("sub", "bass", "mid", "treble", "centroid", "flux")] == pytest.approx(
             [m[0], sum(m[:2]) / 2, sum(m[:3]) / 3, sum(m[2:]) / 4, sum(b * x for b, x in enumerate(m)) / sum(m) / 5, min(1.0, rise / 6 * 4)])
+
+
+def test_samples_without_an_event_type_stay_in_the_signal(spark, tmp_path):
+    from rasterloom.sources import views as V
+    spark.createDataFrame([(1, 0, "view"), (2, 0, None), (3, 1, "click"), (4, 1, None)], "event_id long, user_id long, event_type string").select(
+        "*", F.timestamp_micros("event_id").alias("ts"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(V.signal(spark, str(tmp_path)), "event_id", "bin") == [(1, 1), (2, 2), (3, 0), (4, 2)]
