@@ -118,31 +118,32 @@ def passages(parts: Column, texts: list[list[str]]) -> Column:
 
 
 def known(spark, notices=NOTICES) -> DataFrame:
-    """(digest, license, parts) of the known texts; parts are the digests of a passage's paragraphs, else null."""
+    """(digest, license, parts, size) of the known texts; parts are the digests of a passage's paragraphs, else null."""
     rows = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in notices])
     d = spark.range(1).select(F.inline(rows)).filter(plain(F.col("text")) != "")
-    d = d.select("license", F.element_at(digests(F.array(plain(F.col("text")))), 1).alias("whole"), digests(paragraphs(F.col("text"))).alias("parts"))
-    texts = d.select(F.col("whole").alias("digest"), "license", F.lit(None).cast("array<string>").alias("parts"))
-    runs = d.filter(F.size("parts") > 1).select(joined(F.col("parts")).alias("digest"), "license", "parts")
-    return texts.union(runs).groupBy("digest").agg(F.min("license").alias("license"), F.first("parts").alias("parts"))
+    d = d.select("license", F.length(spelled(plain(F.col("text")))).alias("size"), F.element_at(digests(F.array(plain(F.col("text")))), 1).alias("whole"), digests(paragraphs(F.col("text"))).alias("parts"))
+    texts = d.select(F.col("whole").alias("digest"), "license", "size", F.lit(None).cast("array<string>").alias("parts"))
+    runs = d.filter(F.size("parts") > 1).select(joined(F.col("parts")).alias("digest"), "license", "size", "parts")
+    return texts.union(runs).groupBy("digest").agg(F.min("license").alias("license"), F.first("parts").alias("parts"), F.max("size").alias("size"))
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices=NOTICES) -> DataFrame:
     """One row per document, kind of unit and licence found: the kept columns, unit, license, n (units that match)."""
     t, p = F.col("_text"), F.col("_paragraphs")
     table = known(docs.sparkSession, notices)
-    texts = [r.parts for r in table.filter("parts is not null").collect()]  # some dozens of digests
+    found = table.collect()  # some dozens of digests
+    texts = [r.parts for r in found if r.parts]
     # a spelling shortens a form by half at most, so a longer form is no known text
-    reach = 2 * max((len(spelling) for _, spelling in notices), default=0)
+    reach = 2 * max((r.size for r in found), default=0)
     units = F.array(
         F.struct(F.lit("text").alias("unit"), digests(F.array(plain(t)), reach).alias("digests")),
         F.struct(F.lit("paragraph").alias("unit"), p.alias("digests")),
         F.struct(F.lit("passage").alias("unit"), passages(p, texts).alias("digests")),
         F.struct(F.lit("line").alias("unit"), F.when(t.contains("\n"), digests(F.transform(F.split(t, "\n", -1), plain), reach)).alias("digests")))
-    found = (docs.select(*keep, F.col(text).alias("_text")).filter("_text is not null")
-             .select(*keep, "_text", F.when(t.rlike(BLANK), digests(paragraphs(t), reach)).alias("_paragraphs"))
-             .select(*keep, F.inline(units)).select(*keep, "unit", F.explode("digests").alias("_digest")))
-    hits = found.join(F.broadcast(table), F.col("_digest") == F.col("digest"))
+    looked = (docs.select(*keep, F.col(text).alias("_text")).filter("_text is not null")
+              .select(*keep, "_text", F.when(t.rlike(BLANK), digests(paragraphs(t), reach)).alias("_paragraphs"))
+              .select(*keep, F.inline(units)).select(*keep, "unit", F.explode("digests").alias("_digest")))
+    hits = looked.join(F.broadcast(table.select("digest", "license")), F.col("_digest") == F.col("digest"))
     return hits.groupBy(*keep, "unit", "license").agg(F.count("*").alias("n"))
 
 

@@ -333,6 +333,11 @@ def test_licences_inside_documents_with_their_blank_lines(spark):
                    (5, "text", "MIT", 1), (9, "passage", "MIT", 1)}
 
 
+def test_spellings_longer_than_the_notice(spark):
+    docs = spark.createDataFrame([(1, "GPL version 3"), (2, "GPLv3")], "doc_id int, text string")
+    assert {r.doc_id for r in licenses.scan(docs, notices=(("GPL-3.0", "GPLv3"),)).collect()} == {1, 2}
+
+
 def test_shards_hold_even_parts_and_move_little(spark, odd):
     names = [f"n{i}" for i in range(11)]
     table = sharding.fill(tuple(names), 10_007)
