@@ -28,10 +28,10 @@ def shared_folder(spark: SparkSession) -> str:
     return work_folder(spark)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it: later jobs neither recompute nor depend on executors."""
     path = f"{shared_folder(df.sparkSession)}/t"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
