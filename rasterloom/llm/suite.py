@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rasterloom.llm import bpe, chunks, dartminhash, langid, licenses, mixing, quality, rans, sharding, warc
+from rasterloom.llm import anchors, bpe, chunks, dartminhash, gracededup, langid, licenses, mixing, quality, rans, sharding, skiplist, warc
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_token_files": rans.op8_token_files,
     "op9_sharding": sharding.op9_sharding,
     "op10_fingerprints": chunks.op10_fingerprints,
+    "op11_fill_in_middle": skiplist.op11_fill_in_middle,
+    "op12_exact_dedup": gracededup.op12_exact_dedup,
+    "op13_vector_codes": anchors.op13_vector_codes,
 }
 
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
     "op6_licenses": licenses.op6_sql(),
     "op9_sharding": sharding.op9_sql(),
+    "op11_fill_in_middle": skiplist.OP11_SQL,
+    "op12_exact_dedup": gracededup.OP12_SQL,
 }
