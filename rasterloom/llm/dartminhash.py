@@ -8,13 +8,17 @@ so two documents agree in a coordinate with the probability of their weighted Ja
 similarity.  Only about k ln k + 2 k darts are looked at, whatever the length of the text.
 
 Signatures are cut into bands; documents that share a band meet in a bucket.  A bucket never
-gives all its pairs at once: in a small one a centre is compared with all members, then only members that
-are still in different classes are compared again, from one centre a round to ever more, until each
-bucket is of one class or all its pairs of different classes are refuted.  Every link is
-verified on whole shingle sets.  A member whose elements are for too large a part met in no
-other open member cannot have a link and leaves its buckets uncompared; pairs that cannot
-share enough are not made.  With 40 bands of 6, a pair of similarity 0.8 is missed with
-probability 6e-6.
+gives all its pairs: in a small one a centre is compared with all members.  Then, where a bucket
+still has members of different classes, their sketches (one byte of each coordinate) are compared
+inside the bucket's task, and a member asks for a few verifications a round, of its nearest
+members in other classes, so rows are proportional to members; a bucket of more than MOST members
+is compared block by block.  Classes merge after each round; the last round asks for all that is
+left.  Every link is verified on whole shingle sets.
+
+With 40 bands of 6, a pair of similarity 0.8 shares no band with probability 6e-6; its sketches
+agree in less than NEAR of the coordinates (three deviations below) with probability 1e-3, and
+less the more similar it is.  exact=True leaves the sketches out and refutes all pairs of a bucket in
+different classes, but those that cannot share enough elements; its rows grow with their number.
 
 Equal sets are one node from the start, so copies are never expanded.  Nodes, buckets, links
 and classes stay in tables; nothing of them goes through the driver but counts.
@@ -41,6 +45,9 @@ from rasterloom.llm.common import WORD, dimension_join, forget, map_arrow, slice
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 STAR = 8  # buckets up to this size begin with one star
+DEVIATIONS = 3  # how far below the wanted similarity sketches may fall
+ASKED = (2, 8, 0)  # partners a member of an open bucket asks for in each round, 0 for all
+MOST = 8192  # members of a bucket that are compared in one piece
 GROWTH = 4  # a bucket has one centre in the first round and so many times more in each later one
 KEPT_WORDS = 150_000
 POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 18)])])
@@ -111,24 +118,26 @@ def band_keys(kept: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", weighted: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, text_md5, node (digest of its shingles, null without words), size (total weight) and band keys."""
+    """Per row: doc_id, text_md5, node (digest of its shingles, null without words), size (total weight), band keys and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, find = Words(), re.compile(WORD).findall
         for batch in batches:
             for part in slices(batch, "text"):
-                nodes, sizes, keys = [], [], []
+                nodes, sizes, keys, sketches = [], [], [], []
                 for t in part.column("text").to_pylist():
                     elements, counts = shingles(find(t or ""), known)
                     weights = counts.astype(np.float64) if weighted else np.ones(len(elements))
                     nodes.append(xxhash.xxh3_128_digest(elements.tobytes() + weights.tobytes()) if len(elements) else None)
                     sizes.append(float(weights.sum()))
-                    keys.append(band_keys(signature(elements, weights, bands * rows), bands, rows) if len(elements) else None)
+                    found = signature(elements, weights, bands * rows) if len(elements) else None
+                    keys.append(None if found is None else band_keys(found, bands, rows))
+                    sketches.append(None if found is None else (found & np.uint64(255)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_md5"), pa.array(nodes, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "text_md5", "node", "size", "keys"])
+                    [part.column("doc_id"), part.column("text_md5"), pa.array(nodes, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    names=["doc_id", "text_md5", "node", "size", "keys", "sketch"])
 
     d = docs.select(F.col(doc_id).alias("doc_id"), F.md5(F.col(text)).alias("text_md5"), F.col(text).alias("text"))
-    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_md5 string, node binary, size double, keys array<bigint>")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text_md5 string, node binary, size double, keys array<bigint>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, *, text: str = "text", weighted: bool = False) -> DataFrame:
@@ -198,6 +207,81 @@ def common_at_most(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     return nodes.join(alone.hint("merge"), "node", "left").select("node", F.coalesce("alone", F.lit(0.0)).alias("alone"))
 
 
+def agreement(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """Share of equal coordinates of each of my sketches with each of theirs."""
+    if len(mine) * len(theirs) <= 4096:
+        return (mine[:, None] == theirs[None]).mean(2, dtype=np.float32)
+    same = np.zeros((len(mine), len(theirs)), np.uint16)
+    for a, b in zip(np.ascontiguousarray(mine.T), np.ascontiguousarray(theirs.T)):
+        same += a[:, None] == b
+    return same / np.float32(mine.shape[1])
+
+
+def nearest(part: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, near: float, least: float, asked: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that may be links: for each member outside the largest class its `asked` (or all) nearest in other classes.
+
+    Members of side 1 and 2 are met across the sides only.
+    """
+    classes, own = np.unique(part, return_inverse=True)
+    open_ = np.flatnonzero(own != np.bincount(own).argmax()) if len(classes) > 1 else np.zeros(0, np.int64)
+    left, right = [], []
+    step = max(1, (4 << 20) // len(part))
+    for at in range(0, len(open_), step):
+        mine = open_[at:at + step]
+        alike = agreement(sketch[mine], sketch)
+        able = (alike >= near) & (own[mine][:, None] != own) & (np.minimum(size[mine][:, None], size) >= least * np.maximum(size[mine][:, None], size))
+        able &= (side[mine][:, None] != side) | (side[mine][:, None] == 0)
+        alike[~able] = -1
+        if asked and asked < len(part):
+            best = np.argpartition(-alike, asked - 1, axis=1)[:, :asked]
+            row, col = np.nonzero(np.take_along_axis(alike, best, 1) > 0)
+            col = best[row, col]
+        else:
+            row, col = np.nonzero(able)
+        left.append(mine[row])
+        right.append(col)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(none + left), np.concatenate(none + right)
+
+
+def likely(seen: DataFrame, *, least: float, asked: int, coordinates: int, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) that may be links, of open buckets: rows (key, node, size, part, sketch)."""
+    near = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / coordinates))
+    counts = staged(seen.groupBy("key").count().filter(F.col("count") > most).select(F.col("key").alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("blocks")))
+    sides = seen.withColumn("side", F.lit(0)).withColumn("cell", F.lit(0))
+    if not counts.isEmpty():  # cells of two blocks each, in which every two members of a bucket meet
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
+            (F.least(mine, k) * F.col("blocks") + F.greatest(mine, k)).alias("cell"),
+            F.when(mine == k, 0).when(mine < k, 1).otherwise(2).alias("side")))
+        split = dimension_join(seen, counts, F.col("key") == F.col("_key")).select("key", "node", "size", "part", "sketch", F.inline(cells)).select(
+            "key", "node", "size", "part", "sketch", "side", "cell")
+        sides = dimension_join(sides, counts, F.col("key") == F.col("_key"), "left_anti").unionByName(split)
+    # the blocks of a diagonal cell are compared inside, as side 0; others across
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: list[tuple]) -> pa.RecordBatch:
+            nodes = [r[2] for r in rows]
+            i, j = nearest(np.array([r[4] for r in rows]), np.array([r[3] for r in rows]), np.array([np.frombuffer(r[5], np.uint8) for r in rows]),
+                           np.array([r[6] for r in rows]), near, least, asked)
+            found = {(nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x]) for x, y in zip(i.tolist(), j.tolist())}
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "size", "part", "sketch", "side"))):
+                if held and held[-1][:2] != row[:2]:
+                    yield pairs(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield pairs(held)
+
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sides.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", "size", "part", "sketch", "side")
+    return map_arrow(dealt, run, "a binary, b binary").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in (a, b): the least node of the connected part.
 
@@ -233,10 +317,10 @@ def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id",
-           weighted: bool = False, growth: int = GROWTH) -> tuple[DataFrame, DataFrame]:
+           weighted: bool = False, exact: bool = False, growth: int = GROWTH, coordinates: int = BANDS * ROWS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, first: least id) and the label of each node that has a link.  `signs` is staged."""
     nodes = staged(signs.filter("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+        F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     met = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     buckets = staged(met.join(shared.hint("merge"), "key"))
@@ -254,6 +338,21 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
     links = verified(pairs, sets, least)
     labels = components(links)
     rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for asked in () if exact else ASKED:
+        seen = rest.join(labels.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
+        mixed_up = seen.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
+        seen = staged(seen.join(mixed_up.hint("merge"), "key").join(nodes.select("node", "sketch").hint("merge"), "node"))
+        again = staged(likely(seen, least=least, asked=asked, coordinates=coordinates, most=most).join(met_before.hint("merge"), ["a", "b"], "left_anti"))
+        forget(seen)
+        if again.isEmpty():
+            break
+        met_before = met_before.union(again)
+        more = verified(again, sets, least)
+        if not more.isEmpty():
+            labels = joined_by(labels, more)
+        forget(more)
+    if not exact:
+        return nodes.select("node", "first"), labels
     open_ = None
     for turn in count():
         most = growth ** turn
@@ -287,11 +386,13 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **op
     """One row per row of docs: doc_id, text_md5, class_id (least id in its class), class_texts (different
     shingle sets in it), node and class_node (null without words)."""
     keys = {k: options.pop(k) for k in ("bands", "rows") if k in options}
+    options["coordinates"] = keys.get("bands", BANDS) * keys.get("rows", ROWS)
     signs = staged(signed(docs, text=text, doc_id=doc_id, weighted=options.get("weighted", False), **keys))
     nodes, labels = linked(signs, docs, text=text, doc_id=doc_id, **options)
-    named = staged(nodes.join(labels.hint("merge"), "node", "left").select("node", "first", F.coalesce("label", "node").alias("class_node")))
-    least = named.groupBy("class_node").agg(F.min("first").alias("class_id"), F.count("*").alias("class_texts"))
-    named = staged(named.join(least.hint("merge"), "class_node").select("node", "class_id", "class_texts", "class_node"))
+    named = staged(nodes.join(labels.hint("merge"), "node", "left").select("node", "first", "label"))
+    of = staged(named.filter("label is not null").groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("class_id"), F.count("*").alias("class_texts")))
+    named = staged(dimension_join(named, of, F.col("label") == F.col("_label"), "left").select(
+        "node", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"), "class_texts", F.coalesce("label", "node").alias("class_node")))
     return (signs.select("doc_id", "text_md5", "node").join(named.hint("merge"), "node", "left")
             .select("doc_id", "text_md5", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("class_texts", F.lit(1)).alias("class_texts"), "node", "class_node"))
@@ -305,8 +406,9 @@ def one_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = staged(classes(docs.select("doc_id", "text"), **options))
     rows = found.groupBy("doc_id", "text_md5", "class_node").count()
-    best = rows.filter("class_node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_md5")).alias("best"))
-    rows = staged(rows.join(best.hint("merge"), "class_node", "left").select(
+    best = staged(rows.filter("class_node is not null").groupBy(F.col("class_node").alias("_class")).agg(F.min(F.struct("doc_id", "text_md5")).alias("best"), F.count("*").alias("_rows"))
+                  .filter("_rows > 1").select("_class", "best"))
+    rows = staged(dimension_join(rows, best, F.col("class_node") == F.col("_class"), "left").select(
         F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("count").alias("_n"),
         (F.col("best").isNull() | F.struct("doc_id", "text_md5").eqNullSafe(F.col("best"))).alias("_stays")))
     d = docs.withColumn("_text_md5", F.md5("text"))

@@ -132,22 +132,46 @@ def test_classes_match_brute_force(spark, documents):
     assert got == brute_classes([(i, t) for i, t, _, _ in documents])
 
 
-@pytest.mark.parametrize("growth", [2, 64])
-def test_classes_of_a_large_group_of_near_copies(spark, growth):
+def near_copies(n, most, words=150):
+    """Texts of one base with up to `most` words changed, so their similarities spread over the wanted one."""
     rng = np.random.default_rng(1)
-    base = [f"w{i}" for i in range(150)]
-    rows = []
-    for i in range(120):
-        words = list(base)
-        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
-            words[at] = f"x{i}_{at}"
-        rows.append((i, " ".join(words)))
-    rows += [(200 + i, rows[3][1]) for i in range(50)]
+    base, rows = [f"w{i}" for i in range(words)], []
+    for i in range(n):
+        mine = list(base)
+        for at in rng.choice(words, int(rng.integers(0, most)), replace=False):
+            mine[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(mine)))
+    return rows + [(n + i, rows[3][1]) for i in range(50)]
+
+
+@pytest.mark.parametrize("options", [{"exact": True, "growth": 2}, {"exact": True, "growth": 64}, {}, {"most": 20}])
+def test_classes_of_a_large_group_of_near_copies(spark, options):
+    rows = near_copies(120, 6)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.class_id for r in dartminhash.classes(df, growth=growth).collect()}
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(df, **options).collect()}
     assert got == brute_classes(rows)
 
 
+def test_sketches_lose_hardly_a_link_of_a_group_around_the_threshold(spark):
+    rows = near_copies(500, 12)  # most pairs are between 0.5 and 0.9 similar
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(df).collect()}
+    want = brute_classes(rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
+    assert len(set(want.values())) > 3 and all(want[i] == want[got[i]] for i in got)
+
+
+def test_cells_of_two_blocks_meet_all_members(spark):
+    rng = np.random.default_rng(5)
+    sketch = rng.integers(0, 4, (60, 240)).astype(np.uint8)
+    sketch[1::2] = sketch[::2]
+    seen = spark.createDataFrame([(7, bytes([i]), 100.0, bytes([i]), sketch[i].tobytes()) for i in range(60)],
+                                 "key bigint, node binary, size double, part binary, sketch binary")
+    for most in (7, 60):
+        got = {(r.a[0], r.b[0]) for r in dartminhash.likely(seen, least=0.8, asked=0, coordinates=240, most=most).collect()}
+        assert got == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 def test_signature_agrees_as_weighted_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
@@ -274,6 +298,17 @@ def test_token_files_round_trip(spark, odd):
     assert rans.read_tokens(spark, nothing).count() == 0
 
 
+def test_one_range_of_long_documents_is_cut_into_files(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "if(id between 100 and 120, repeat(concat('word ', id, ' '), 3000), 'short') as text")
+    folder = shared_folder(spark)
+    made = staged(rans.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), 2))
+    rans.write_tokens(made, folder, block_tokens=4096, file_tokens=8192)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(f"{folder}/blocks").select("length").collect()]
+    assert max(sizes) < 200_000 and len(sizes) > 10  # a block has its states besides its words
+    got = {r.doc_id: r.ids for r in rans.read_tokens(spark, folder).collect()}
+    assert got == {r.doc_id: np.frombuffer(r.ids, "<u2").astype("<u4").tobytes() for r in made.filter("ids is not null").collect()}
+
+
 def test_token_file_query(spark, documents):
     want, start = {}, 0
     for (i, _, _, _), x in zip(documents, brute_files([d[:2] for d in documents])):
