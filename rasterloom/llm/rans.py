@@ -16,7 +16,7 @@ The folder holds `blocks` (these files) and `table` (token, freq as Parquet).
 
 Defined cases: a null or empty text has the end id only; null ids come last; rows equal in id
 follow in the order of their ids' bytes; a document longer than a block makes one of its own
-size; an empty table writes no block; other columns are left out.
+size; strings of special tokens are ordinary text; an empty table writes no block; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import binary_column, dimension_join, map_arrow, running_total, shared_folder, slices, staged, write_raw
@@ -40,7 +40,8 @@ LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
 BLOCK_TOKENS, FILE_TOKENS = 1 << 19, 1 << 24
 MAGIC, TRAILER, HEAD = b"RTB1", "RTB.", "<QQQIIIIIQ"
-KEPT_WORDS = 400_000
+KEPT_BYTES = 96 << 20  # memory of the words and pieces that a task remembers
+ENTRY_BYTES = 240  # of one of them, besides its characters and ids
 # How the tokenizer file splits a text into pieces, and the mark of a piece's last token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECE_END = "</w>"
@@ -54,58 +55,61 @@ class Tokens:
 
     Pieces never reach across white space, so a text's ids are those of its words in turn, and
     a word's are those of its pieces.  Runs of ids are kept packed and are joined as bytes.
+    The strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, model: str, end: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.model, self.full = model, None
-        self.light = Tokenizer.from_str(model)  # for pieces: lower case and parted already
-        self.light.encode_special_tokens = True
-        self.light.normalizer = None
-        self.light.pre_tokenizer = pre_tokenizers.Sequence([
+        self.library = Tokenizer.from_str(model)
+        self.library.encode_special_tokens = True
+        self.full = self.library.normalizer, self.library.pre_tokenizer
+        self.light = None, pre_tokenizers.Sequence([  # for pieces: lower case and parted already
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.light.get_vocab()
+        vocabulary = self.library.get_vocab()
         self.kind = width(max(end, *vocabulary.values()))
         self.end = np.array([end], self.kind).tobytes()
         self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
         self.stops[[i for t, i in vocabulary.items() if t.endswith(PIECE_END)]] = True
         self.plain, self.find = re.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
         self.known: dict[str, bytes] = {}  # words and pieces; a word of letters is one piece
+        self.held = 0  # bytes of these
 
-    def whole(self, text: str) -> bytes:
-        """Packed ids of any text, by the tokenizer as it is."""
-        if self.full is None:
-            from tokenizers import Tokenizer
+    def set(self, parts: tuple) -> None:
+        self.library.normalizer, self.library.pre_tokenizer = parts
 
-            self.full = Tokenizer.from_str(self.model)
-            self.full.encode_special_tokens = True  # their strings in a text are text
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of any texts, by the tokenizer as it is."""
+        self.set(self.full)
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in texts]
 
     def add_words(self, words: set[str]) -> None:
         """Encode the pieces not met before, a space between them; a piece's last token shows its end."""
         split = {w: self.find(w) for w in words if not w.isalpha()}
         new = list((words - split.keys()).union(*split.values()) - self.known.keys())
         if new:
-            joined = [" ".join(new[i:i + JOINED]) for i in range(0, len(new), JOINED)]
-            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.light.encode_batch_fast(joined, add_special_tokens=False)])
+            self.set(self.light)
+            ids = np.concatenate([np.array(self.library.encode_batch_fast([" ".join(new[i:i + JOINED])], add_special_tokens=False)[0].ids, self.kind)
+                                  for i in range(0, len(new), JOINED)])
             ends = (np.flatnonzero(self.stops[ids]) + 1) * ids.itemsize
             if len(ends) != len(new):
                 raise ValueError("the tokenizer file splits words in another way")
             data, ends = ids.tobytes(), ends.tolist()
             self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
+            self.held += len(new) * ENTRY_BYTES + len(data) + sum(map(len, new))
         of = self.known.__getitem__
         self.known.update((w, b"".join(map(of, pieces))) for w, pieces in split.items())
+        self.held += len(split) * ENTRY_BYTES + 3 * sum(map(len, split))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
+        if self.held > KEPT_BYTES:
+            self.known, self.held = {}, 0
         found = [t.lower().split() if self.plain(t) else None for t in (t or "" for t in texts)]
         if new := set().union(*filter(None, found)) - self.known.keys():
             self.add_words(new)
-        of = self.known.__getitem__
-        return [(self.whole(t) if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
+        of, others = self.known.__getitem__, iter(self.whole([t for words, t in zip(found, texts) if words is None]))
+        return [(next(others) if words is None else b"".join(map(of, words))) + self.end for words in found]
 
 
 def width(most: int) -> str:
@@ -114,36 +118,43 @@ def width(most: int) -> str:
 
 
 def tokenized(docs: DataFrame, model: str, end: int, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, bytes per id, ids): little-endian ids of the text and the end id, packed by the vocabulary's size."""
+    """(doc_id, n_tokens, bytes per id, ids): little-endian ids of the text and the end id, packed by the vocabulary's size.
+
+    A task's last row has no ids but `seen`, how often the task met each id, as pairs of 64-bit numbers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_text(encoding="utf-8"))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value, end)
-        size = np.dtype(tokens.kind).itemsize
+        size, counts = np.dtype(tokens.kind).itemsize, np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "size", "ids", "seen"]
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = tokens.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // size for x in ids], pa.int64()),
-                                                  pa.array([size] * len(ids), pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "size", "ids"])
+                ends = np.cumsum([len(x) for x in ids])
+                data = b"".join(ids)
+                more = np.bincount(np.frombuffer(data, tokens.kind), minlength=len(counts))
+                more[:len(counts)] += counts
+                counts = more
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends, prepend=0) // size), pa.array(np.full(len(ids), size, np.int32)),
+                                                  binary_column(data, ends), pa.nulls(len(ids), pa.binary())], names=names)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
+                                          pa.array([np.stack([used, counts[used]]).astype("<i8").tobytes()], pa.binary())], names=names)
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_arrow(d, run, "doc_id bigint, n_tokens bigint, size int, ids binary")
+    return map_arrow(d, run, "doc_id bigint, n_tokens bigint, size int, ids binary, seen binary")
 
 
 def frequencies(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs: one row per id of the vocabulary."""
+    """How often each id occurs, from the tasks' counts: one row per id of the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch, "ids"):
-                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), f"<u{part.column('size')[0]}")
-                more = np.bincount(ids, minlength=len(counts))
-                more[:len(counts)] += counts
-                counts = more
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(counts[used].astype(np.int64))], names=["token", "n"])
+            for data in batch.column("seen"):
+                used, counts = np.frombuffer(data.as_py(), "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts)], names=["token", "n"])
 
-    rows = map_arrow(tokens.select("size", "ids"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(tokens.filter("seen is not null").select("seen"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r.token: r.n for r in rows}
 
 
@@ -259,11 +270,12 @@ def unpack(data: bytes) -> Iterator[Block]:
 
 
 def write_tokens(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS) -> None:
-    """Write (doc_id, n_tokens, ids), which is staged, in ascending doc_id order."""
+    """Write the rows of `tokenized`, staged, in ascending doc_id order; a file ends after about so many tokens."""
     spark = tokens.sparkSession
     names, freq = scaled(frequencies(tokens))
     table = [(int(t), int(f)) for t, f in zip(names, freq)]
     spark.createDataFrame(table, "token bigint, freq bigint").coalesce(1).write.parquet(f"{folder}/table")
+    tokens = tokens.filter("ids is not null")
     rows, total = tokens.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // 500)
     parts = max(least, -(-total // file_tokens))
@@ -278,33 +290,38 @@ def write_tokens(tokens: DataFrame, folder: str, *, block_tokens: int = BLOCK_TO
             return pa.RecordBatch.from_arrays([pa.array([pack(coder, part, number, docs, counts, ids)], pa.binary())], names=["block"])
 
         for batch in batches:
-            for doc_id, n, size, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "size", "ids"))):
-                docs.append(doc_id)
-                counts.append(n)
-                held.append(ids)
-                n_held += counts[-1]
+            own, each = batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_numpy()
+            ends, at = np.cumsum(each), 0
+            size = batch.column("size")[0].as_py()
+            starts = np.frombuffer(batch.column("ids").buffers()[1], np.int32)[batch.column("ids").offset:]
+            data = batch.column("ids").buffers()[2]
+            while at < len(own):  # up to the document that fills the block
+                stop = min(len(own), 1 + int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_tokens - n_held)))
+                docs += own[at:stop]
+                counts += each[at:stop].tolist()
+                held.append(data[int(starts[at]):int(starts[stop])].to_pybytes())
+                n_held += int(each[at:stop].sum())
                 if n_held >= block_tokens:
                     yield block()
                     docs, counts, held, n_held, number = [], [], [], 0, number + 1
+                at = stop
         if docs:
             yield block()
 
     ordered = tokens.repartitionByRange(parts, F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"), "ids")
-    write_raw(map_arrow(ordered.select("doc_id", "n_tokens", "size", "ids"), run, "block binary"), "block", f"{folder}/blocks", TRAILER)
+    write_raw(map_arrow(ordered.select("doc_id", "n_tokens", "size", "ids"), run, "block binary"), "block", f"{folder}/blocks", TRAILER,
+              rows_per_file=max(1, file_tokens // block_tokens))
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document, decoded from the files."""
+def read_tokens(spark: SparkSession, folder: str, columns: tuple[Column | str, ...] = ("ids",)) -> DataFrame:
+    """(doc_id, start, n_tokens, ...) of every document, decoded from the files, which are read once.
+
+    `columns` are made of `ids`, the document's ids as little-endian unsigned 32-bit integers, while they are there.
+    """
     table = sorted((r.token, r.freq) for r in spark.read.schema("token bigint, freq bigint").parquet(f"{folder}/table").collect())
     shared = spark.sparkContext.broadcast((np.array([t for t, _ in table], np.int64), np.array([f for _, f in table], np.int64)))
     files = spark.read.format("binaryFile").load(f"{folder}/blocks")
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                made = [(b.part, b.number, b.tokens) for b in unpack(data.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in range(3)], names=["part", "number", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*shared.value)
         for batch in batches:
@@ -316,12 +333,12 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         + [pa.array(b.doc_ids, pa.int64()), pa.array(ends - b.counts), pa.array(b.counts), binary_column(b.decode(coder).astype("<u4"), ends * 4)],
                         names=["part", "number", "doc_id", "at", "n_tokens", "ids"])
 
-    blocks = staged(running_total(
-        map_arrow(files.select("content"), heads, "part bigint, number bigint, n bigint"), F.struct("part", "number"), "n", "before")
-        .select(F.col("part").alias("_part"), F.col("number").alias("_number"), "before"))
     docs = map_arrow(files.select("content"), run, "part bigint, number bigint, doc_id bigint, at bigint, n_tokens bigint, ids binary")
-    return (dimension_join(docs, blocks, (F.col("part") == F.col("_part")) & (F.col("number") == F.col("_number")))
-            .select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids"))
+    made = staged(docs.select("part", "number", "doc_id", "at", "n_tokens", *columns))
+    blocks = staged(running_total(made.groupBy("part", "number").agg(F.sum("n_tokens").alias("n")), F.struct("part", "number"), "n", "before")
+                    .select(F.col("part").alias("_part"), F.col("number").alias("_number"), "before"))
+    joined = dimension_join(made, blocks, (F.col("part") == F.col("_part")) & (F.col("number") == F.col("_number")))
+    return joined.select("doc_id", (F.col("before") + F.col("at")).alias("start"), *made.columns[4:])
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
@@ -330,4 +347,4 @@ def op8_token_files(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = shared_folder(spark)
     write_tokens(staged(tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), 2)), folder)
-    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(spark, folder, (F.crc32("ids").alias("ids_crc32"),))
