@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -40,18 +41,24 @@ LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
 BLOCK_TOKENS, FILE_TOKENS = 1 << 19, 1 << 24
 MAGIC, TRAILER, HEAD = b"RTB1", "RTB.", "<QQQIIIIIQ"
-KEPT_BYTES = 96 << 20  # memory of the words and pieces that a task remembers
+KEPT_BYTES = 144 << 20  # memory of the words and pieces that a task remembers
 ENTRY_BYTES = 240  # of one of them, besides its characters and ids
-# How the tokenizer file splits a text into pieces, and the mark of a piece's last token.
+# Fixed value: how the tokenizer file splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PIECE_END = "</w>"
 # Characters for which lower case, white space and pieces are known to be the library's; other texts go to it whole.
-PLAIN = "[\x00-\x1b\x20-\u024f]*"
-JOINED = 500  # words in one call of the library
+PLAIN = "\x00-\x1b\x20-\u024f"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+def byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in the vocabulary: printable ones for themselves, the rest from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(rest)}
 
 
 class Tokens:
-    """Ids of whole texts by the tokenizers library; it sees each different piece of plain texts once.
+    """Ids of whole texts by the tokenizers library; its model sees each different piece of plain texts once.
 
     Pieces never reach across white space, so a text's ids are those of its words in turn, and
     a word's are those of its pieces.  Runs of ids are kept packed and are joined as bytes.
@@ -59,57 +66,50 @@ class Tokens:
     """
 
     def __init__(self, model: str, end: int):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
-        self.full = self.library.normalizer, self.library.pre_tokenizer
-        self.light = None, pre_tokenizers.Sequence([  # for pieces: lower case and parted already
-            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.library.get_vocab()
-        self.kind = width(max(end, *vocabulary.values()))
+        self.merge = self.library.model.tokenize
+        self.kind = width(max(end, *self.library.get_vocab().values()))
         self.end = np.array([end], self.kind).tobytes()
-        self.stops = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.stops[[i for t, i in vocabulary.items() if t.endswith(PIECE_END)]] = True
-        self.plain, self.find = re.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
+        self.other, self.find = re.compile(f"[^{PLAIN}]").search, regex.compile(PIECES).findall
+        self.characters = byte_characters()
         self.known: dict[str, bytes] = {}  # words and pieces; a word of letters is one piece
         self.held = 0  # bytes of these
 
-    def set(self, parts: tuple) -> None:
-        self.library.normalizer, self.library.pre_tokenizer = parts
+    def plain(self, text: str) -> bool:
+        """Whether all characters are in PLAIN; most texts need no look at each of them."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.other(text)
+        return not any(c in text for c in SEPARATORS)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of any texts, by the tokenizer as it is."""
-        self.set(self.full)
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in texts]
+    def whole(self, text: str) -> bytes:
+        """Packed ids of any text, by the tokenizer as it is."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def add_words(self, words: set[str]) -> None:
-        """Encode the pieces not met before, a space between them; a piece's last token shows its end."""
+        """Remember the pieces not met before and the words of several pieces."""
         split = {w: self.find(w) for w in words if not w.isalpha()}
-        new = list((words - split.keys()).union(*split.values()) - self.known.keys())
-        if new:
-            self.set(self.light)
-            ids = np.concatenate([np.array(self.library.encode_batch_fast([" ".join(new[i:i + JOINED])], add_special_tokens=False)[0].ids, self.kind)
-                                  for i in range(0, len(new), JOINED)])
-            ends = (np.flatnonzero(self.stops[ids]) + 1) * ids.itemsize
-            if len(ends) != len(new):
-                raise ValueError("the tokenizer file splits words in another way")
-            data, ends = ids.tobytes(), ends.tolist()
-            self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *ends], ends))))
-            self.held += len(new) * ENTRY_BYTES + len(data) + sum(map(len, new))
+        new, packed = words.difference(split).union(*split.values()).difference(self.known), "H" if self.kind == "<u2" else "I"
+        for piece in new:
+            shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
+            self.known[piece] = array(packed, [t.id for t in self.merge(shown)]).tobytes()
         of = self.known.__getitem__
         self.known.update((w, b"".join(map(of, pieces))) for w, pieces in split.items())
-        self.held += len(split) * ENTRY_BYTES + 3 * sum(map(len, split))
+        self.held += (len(new) + len(split)) * ENTRY_BYTES + 3 * (sum(map(len, new)) + sum(map(len, split)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
         if self.held > KEPT_BYTES:
             self.known, self.held = {}, 0
         found = [t.lower().split() if self.plain(t) else None for t in (t or "" for t in texts)]
-        if new := set().union(*filter(None, found)) - self.known.keys():
+        if new := set().union(*filter(None, found)).difference(self.known):
             self.add_words(new)
-        of, others = self.known.__getitem__, iter(self.whole([t for words, t in zip(found, texts) if words is None]))
-        return [(next(others) if words is None else b"".join(map(of, words))) + self.end for words in found]
+        of = self.known.__getitem__
+        return [(self.whole(t) if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
 
 
 def width(most: int) -> str:
