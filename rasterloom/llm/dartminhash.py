@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import WORD, dimension_join, forget, map_arrow, slices, staged, table
+from rasterloom.llm.common import BROADCAST_ROWS, WORD, dimension_join, forget, map_arrow, slices, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
@@ -217,10 +217,11 @@ def agreement(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     return same / np.float32(mine.shape[1])
 
 
-def nearest(part: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, near: float, least: float, asked: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest(part: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, band: int, rows: int, near: float, least: float,
+            asked: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs that may be links: for each member outside the largest class its `asked` (or all) nearest in other classes.
 
-    Members of side 1 and 2 are met across the sides only.
+    A pair counts in the first band that it shares.  Members of side 1 and 2 are met across the sides only.
     """
     classes, own = np.unique(part, return_inverse=True)
     open_ = np.flatnonzero(own != np.bincount(own).argmax()) if len(classes) > 1 else np.zeros(0, np.int64)
@@ -231,22 +232,24 @@ def nearest(part: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.nda
         alike = agreement(sketch[mine], sketch)
         able = (alike >= near) & (own[mine][:, None] != own) & (np.minimum(size[mine][:, None], size) >= least * np.maximum(size[mine][:, None], size))
         able &= (side[mine][:, None] != side) | (side[mine][:, None] == 0)
-        alike[~able] = -1
-        if asked and asked < len(part):
-            best = np.argpartition(-alike, asked - 1, axis=1)[:, :asked]
-            row, col = np.nonzero(np.take_along_axis(alike, best, 1) > 0)
-            col = best[row, col]
-        else:
-            row, col = np.nonzero(able)
+        row, col = np.nonzero(able)
+        earlier = (sketch[mine[row], :band * rows] == sketch[col, :band * rows]).reshape(len(row), band, rows).all(2).any(1)
+        row, col = row[~earlier], col[~earlier]
+        if asked:
+            order = np.lexsort((-alike[row, col], row))
+            row, col = row[order], col[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[place < asked], col[place < asked]
         left.append(mine[row])
         right.append(col)
     none = [np.zeros(0, np.int64)]
     return np.concatenate(none + left), np.concatenate(none + right)
 
 
-def likely(seen: DataFrame, *, least: float, asked: int, coordinates: int, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) that may be links, of open buckets: rows (key, node, size, part, sketch)."""
-    near = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / coordinates))
+def likely(seen: DataFrame, *, least: float, asked: int, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
+    """Pairs (a, b) that may be links, of open buckets: rows (key, band, node, size, part, sketch)."""
+    near = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / (bands * rows)))
+    names = ["key", "band", "node", "size", "part", "sketch"]
     counts = staged(seen.groupBy("key").count().filter(F.col("count") > most).select(F.col("key").alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     sides = seen.withColumn("side", F.lit(0)).withColumn("cell", F.lit(0))
     if not counts.isEmpty():  # cells of two blocks each, in which every two members of a bucket meet
@@ -254,22 +257,21 @@ def likely(seen: DataFrame, *, least: float, asked: int, coordinates: int, most:
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
             (F.least(mine, k) * F.col("blocks") + F.greatest(mine, k)).alias("cell"),
             F.when(mine == k, 0).when(mine < k, 1).otherwise(2).alias("side")))
-        split = dimension_join(seen, counts, F.col("key") == F.col("_key")).select("key", "node", "size", "part", "sketch", F.inline(cells)).select(
-            "key", "node", "size", "part", "sketch", "side", "cell")
+        split = dimension_join(seen, counts, F.col("key") == F.col("_key")).select(*names, F.inline(cells)).select(*names, "side", "cell")
         sides = dimension_join(sides, counts, F.col("key") == F.col("_key"), "left_anti").unionByName(split)
     # the blocks of a diagonal cell are compared inside, as side 0; others across
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            nodes = [r[2] for r in rows]
-            i, j = nearest(np.array([r[4] for r in rows]), np.array([r[3] for r in rows]), np.array([np.frombuffer(r[5], np.uint8) for r in rows]),
-                           np.array([r[6] for r in rows]), near, least, asked)
+        def pairs(own: list[tuple]) -> pa.RecordBatch:
+            nodes = [r[2] for r in own]
+            i, j = nearest(np.array([r[4] for r in own]), np.array([r[3] for r in own]), np.array([np.frombuffer(r[5], np.uint8) for r in own]),
+                           np.array([r[6] for r in own]), own[0][7], rows, near, least, asked)
             found = {(nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x]) for x, y in zip(i.tolist(), j.tolist())}
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "size", "part", "sketch", "side"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "size", "part", "sketch", "side", "band"))):
                 if held and held[-1][:2] != row[:2]:
                     yield pairs(held)
                     held = []
@@ -278,7 +280,7 @@ def likely(seen: DataFrame, *, least: float, asked: int, coordinates: int, most:
             yield pairs(held)
 
     parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sides.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", "size", "part", "sketch", "side")
+    dealt = sides.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", "size", "part", "sketch", "side", "band")
     return map_arrow(dealt, run, "a binary, b binary").distinct()
 
 
@@ -287,13 +289,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread to neighbours and then jump to their label's label, so a path shrinks by half
     a round; a node with very many links is met by an equi-join and a pre-aggregated minimum.
+    Labels are broadcast where few nodes have links, by their count, and else shuffled.
     """
     both = staged(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = old = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    how = "broadcast" if labels.count() <= BROADCAST_ROWS else "merge"
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        jumped = (spread.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint(how), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = near.join(labels.hint(how), "node").select("node", F.least("label", "near").alias("next"), F.col("label").alias("old"))
+        jumped = (spread.join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")).hint(how), "next")
                   .select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("old")).alias("moved")))
         jumped = staged(jumped)
         forget(old)
@@ -307,21 +311,22 @@ def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: only the labels that the links join are relabelled."""
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     every = staged(ends.join(labels.hint("merge"), "node", "full").select("node", F.coalesce("label", "node").alias("label")))
+    how = "broadcast" if every.count() <= BROADCAST_ROWS else "merge"
     of = every.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-    pairs = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("_la")).hint("merge"), "a").join(of.hint("merge"), "b")
+    pairs = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("_la")).hint(how), "a").join(of.hint(how), "b")
     pairs = staged(pairs.filter("_la != _lb").select(F.col("_la").alias("a"), F.col("_lb").alias("b")).distinct())
     if pairs.isEmpty():
         return every
     merged = components(pairs).select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    return staged(every.join(merged.hint("merge"), "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+    return staged(every.join(merged.hint(how), "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
 
 
 def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text: str = "text", doc_id: str = "doc_id",
-           weighted: bool = False, exact: bool = False, growth: int = GROWTH, coordinates: int = BANDS * ROWS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+           weighted: bool = False, exact: bool = False, growth: int = GROWTH, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, first: least id) and the label of each node that has a link.  `signs` is staged."""
     nodes = staged(signs.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    met = nodes.select("node", "size", F.explode("keys").alias("key"))
+    met = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = met.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     buckets = staged(met.join(shared.hint("merge"), "key"))
 
@@ -337,12 +342,13 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
         .groupBy("node").agg(F.first("elements").alias("elements"), F.first("weights").alias("weights")))
     links = verified(pairs, sets, least)
     labels = components(links)
-    rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest, met_before = buckets.filter((F.col("n") > STAR) | (F.col("node") != F.col("centre"))).select("key", "band", "node", "size"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for asked in () if exact else ASKED:
-        seen = rest.join(labels.hint("merge"), "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("part"))
+        of = labels.select(F.col("node").alias("_n"), "label")
+        seen = dimension_join(rest, of, F.col("node") == F.col("_n"), "left").select("key", "band", "node", "size", F.coalesce("label", "node").alias("part"))
         mixed_up = seen.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
         seen = staged(seen.join(mixed_up.hint("merge"), "key").join(nodes.select("node", "sketch").hint("merge"), "node"))
-        again = staged(likely(seen, least=least, asked=asked, coordinates=coordinates, most=most).join(met_before.hint("merge"), ["a", "b"], "left_anti"))
+        again = staged(likely(seen, least=least, asked=asked, bands=bands, rows=rows, most=most).join(met_before.hint("merge"), ["a", "b"], "left_anti"))
         forget(seen)
         if again.isEmpty():
             break
@@ -386,9 +392,8 @@ def classes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **op
     """One row per row of docs: doc_id, text_md5, class_id (least id in its class), class_texts (different
     shingle sets in it), node and class_node (null without words)."""
     keys = {k: options.pop(k) for k in ("bands", "rows") if k in options}
-    options["coordinates"] = keys.get("bands", BANDS) * keys.get("rows", ROWS)
     signs = staged(signed(docs, text=text, doc_id=doc_id, weighted=options.get("weighted", False), **keys))
-    nodes, labels = linked(signs, docs, text=text, doc_id=doc_id, **options)
+    nodes, labels = linked(signs, docs, text=text, doc_id=doc_id, **keys, **options)
     named = staged(nodes.join(labels.hint("merge"), "node", "left").select("node", "first", "label"))
     of = staged(named.filter("label is not null").groupBy(F.col("label").alias("_label")).agg(F.min("first").alias("class_id"), F.count("*").alias("class_texts")))
     named = staged(dimension_join(named, of, F.col("label") == F.col("_label"), "left").select(

@@ -165,11 +165,11 @@ def test_cells_of_two_blocks_meet_all_members(spark):
     rng = np.random.default_rng(5)
     sketch = rng.integers(0, 4, (60, 240)).astype(np.uint8)
     sketch[1::2] = sketch[::2]
-    seen = spark.createDataFrame([(7, bytes([i]), 100.0, bytes([i]), sketch[i].tobytes()) for i in range(60)],
-                                 "key bigint, node binary, size double, part binary, sketch binary")
-    for most in (7, 60):
-        got = {(r.a[0], r.b[0]) for r in dartminhash.likely(seen, least=0.8, asked=0, coordinates=240, most=most).collect()}
-        assert got == {(i, i + 1) for i in range(0, 60, 2)}
+    for most, band in ((7, 0), (60, 0), (60, 3)):
+        seen = spark.createDataFrame([(7, band, bytes([i]), 100.0, bytes([i]), sketch[i].tobytes()) for i in range(60)],
+                                     "key bigint, band int, node binary, size double, part binary, sketch binary")
+        got = {(r.a[0], r.b[0]) for r in dartminhash.likely(seen, least=0.8, asked=0, most=most).collect()}
+        assert got == ({(i, i + 1) for i in range(0, 60, 2)} if band == 0 else set())  # pairs count in the first band they share
 
 
 def test_signature_agrees_as_weighted_similarity():
