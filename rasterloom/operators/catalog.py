@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rasterloom.operators.lineage import cut_lineage
 from rasterloom.operators.ordered import shuffled_join, spread
 
 MAX_CHAIN = 16
@@ -125,50 +126,101 @@ def duplicate_members(presets: DataFrame) -> DataFrame:
     return presets.join(duplicate_groups(presets), "signature").select("first_name", "n", "name")
 
 
-def similar_pairs(chains: DataFrame, *, threshold=0.85, limit: int | None = None) -> DataFrame:
+LEAD, CATEGORY, ORDERED, JACCARD = 0.15, 0.1, 0.25, 0.5   # fixed values: weights of the score
+CASES = [(lead, category) for lead in (True, False) for category in (True, False)]
+
+
+def subsets(items: Column, k: int) -> Column:
+    """All k-subsets of an array, each in the array's order."""
+    if k == 1:
+        return F.transform(items, lambda x: F.array(x))
+    return F.flatten(F.transform(items, lambda x, i: F.transform(
+        subsets(F.slice(items, i + 2, F.greatest(F.lit(0), F.size(items) - i - 1)), k - 1), lambda rest: F.concat(F.array(x), rest))))
+
+
+def similar_pairs(chains: DataFrame, *, threshold=0.85, limit: int | None = None, meet: float = 16.0) -> DataFrame:
     """Pairs of distinct chains with a high similarity.
 
     score = 0.5 Jaccard + 0.25 position match + 0.15 same lead + 0.1 same category.
     Equal chains (same steps and category) are one entry, named by their least
     id, with `copies`.
 
-    A score of `threshold` needs a Jaccard similarity of 2 * threshold - 1, and above 0.1
-    at least one shared step.  Two such sets share one of their rarest steps, so chains meet
-    in an equi-join on a short prefix of their steps in order of rarity; the pair counts
-    where the step is the first one that both prefixes have.  The length filter stands in
-    the join, and a step that very many chains have in their prefix is split by the
-    partner's length.
+    Chains meet in four cases, by whether lead and category are equal; equal ones are part of the
+    join key.  Case and sizes m <= n tell how many steps a pair must share at least.  If it shares o,
+    then the first k steps that it shares, in order of rarity, stand among the first m - o + k of the
+    one and n - o + k of the other, so every k-subset of these prefixes is a key; k is the least
+    with which about `meet` chains are expected at a key, from the counts of the steps, at most 3.
+    A pair counts at the key that is its first k common steps; a key that stays hot is left to the
+    engine's splitting of skewed joins, as its members share those steps, the case and the sizes.
     """
-    if threshold <= 0.1:
+    if threshold <= CATEGORY:
         raise ValueError("pairs without a common step reach 0.1: every pair is one")
-    j_min = max(2 * threshold - 1, 0.0)
-    d = chains.groupBy("steps", "category").agg(F.min("chain_id").alias("id"), F.count("*").alias("copies"))
-    d = spread(d, "id").withColumn("tokens", F.array_sort(F.array_distinct("steps")))
-    each = d.select("id", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df"))
+    d = chains.where(F.size("steps") > 0).groupBy("steps", "category").agg(F.min("chain_id").alias("id"), F.count("*").alias("copies"))
+    d = cut_lineage(spread(d, "id"))
+    each = d.select("id", F.explode(F.array_distinct("steps")).alias("token"))
+    counts = cut_lineage(each.groupBy("token").agg(F.count("*").alias("df")))
     ranked = shuffled_join(each, counts, "token").groupBy("id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda s: s["token"]).alias("rare"))   # one chain's steps
-    size = F.size("tokens")
-    prefix = F.slice("rare", F.lit(1), size - F.ceil(size * F.lit(j_min) - F.lit(1e-9)).cast("int") + 1) if j_min else F.col("rare")
-    d = shuffled_join(d, ranked, "id").withColumn("prefix", prefix)
-    # partners are as long as the similarity asks: own size at most, j_min times it at least
-    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(size * F.lit(j_min) - F.lit(1e-9)).cast("int")), size)
-    names = ["id", "steps", "category", "tokens", "copies", "prefix"]
-    a = d.select(*[F.col(n).alias(f"a_{n}") for n in names], F.explode("prefix").alias("token")).withColumn(
-        "length", F.size("a_tokens"))
-    b = d.withColumn("length", F.explode(lengths)).select(
-        "length", *[F.col(n).alias(f"b_{n}") for n in names], F.explode("prefix").alias("token"))
-    # a is the shorter one; of equal length the one with the smaller id
-    p = shuffled_join(a, b, ["token", "length"]).where(
-        (F.col("length") < F.size("b_tokens")) | ((F.col("length") == F.size("b_tokens")) & (F.col("a_id") < F.col("b_id"))))
-    p = p.where(F.col("token") == F.element_at(F.array_intersect("a_prefix", "b_prefix"), 1))   # each pair once
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    p = p.withColumn("jaccard", shared / (F.size("a_tokens") + F.size("b_tokens") - shared)).where(F.col("jaccard") >= j_min - 1e-9)
+    d = cut_lineage(shuffled_join(d, ranked, "id"))
+    n, most, mean = d.agg(F.count("*"), F.max(F.size("rare")), F.avg(F.size("rare"))).first()
+    if not n or not most:
+        return d.select(F.col("id").alias("a"), F.col("id").alias("b"), *[F.lit(0.0).alias(c) for c in ("score", "jaccard", "ordered")],
+                        F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b")).limit(0)
+    total, square = counts.agg(F.sum("df"), F.sum(F.col("df") * F.col("df"))).first()
+    share = mean * square / total / total   # chance that a chain has a step, met as often as it occurs
+    k_most = next((k for k in (1, 2) if n * share ** k <= meet), 3)
+    base = 1e-9 - threshold
+
+    def needed(m: Column, n: Column, own: Column, bonus: float) -> Column:
+        """Least number of shared steps; `own` is the chain's excess of steps over different ones."""
+        def reached(s: Column) -> Column:
+            ordered = F.least(F.lit(1.0), (s + own) / F.greatest(m, n))
+            return s / (m + n - s) * JACCARD + ordered * ORDERED + (bonus + base) >= 0
+        return F.get(F.filter(F.sequence(F.lit(1), F.least(m, n)), reached), F.lit(0))   # null where none is enough
+
+    sides = []
+    for small in (True, False):
+        parts = []
+        for lead, category in CASES:
+            bonus = LEAD * lead + CATEGORY * category
+            least = max(0.0, (threshold - bonus - ORDERED) / JACCARD)   # Jaccard similarity, if all positions match
+            if least > 1 + 1e-9:
+                continue
+            size = F.size("rare")
+            low = size if small else F.greatest(F.lit(1), F.ceil(size * least - 1e-9).cast("int"))
+            high = (F.least(F.lit(most), F.floor(size / least + 1e-9).cast("int")) if least > 0 else F.lit(most)) if small else size
+            x = d.where(low <= high).withColumn("_other", F.explode(F.sequence(low, high)))
+            m, big = (F.size("rare"), F.col("_other")) if small else (F.col("_other"), F.size("rare"))
+            own = F.size("steps") - F.size("rare")
+            x = x.withColumn("_o", needed(m, big, own, bonus)).where("_o is not null")
+            fair = F.coalesce(needed(m, big, big, bonus), F.lit(1))   # the same on both sides: with all positions matching
+            x = x.withColumn("_k", F.least(fair, F.lit(k_most)))
+            prefix = F.slice("rare", F.lit(1), F.least(F.size("rare"), F.size("rare") - F.col("_o") + F.col("_k")))
+            keys = subsets(prefix, k_most)
+            for k in range(k_most - 1, 0, -1):
+                keys = F.when(F.col("_k") == k, subsets(prefix, k)).otherwise(keys)
+            where = [F.lit(lead), F.lit(category), m, big, *([F.element_at("steps", 1)] if lead else []), *([F.col("category")] if category else [])]
+            parts.append(x.select("id", "steps", "category", "rare", "copies", F.lit(lead).alias("lead"), F.lit(category).alias("same"),
+                                  F.explode(keys).alias("key"), *[w.alias(f"_w{i}") for i, w in enumerate(where)])
+                         .withColumn("meet", F.xxhash64("key", *[f"_w{i}" for i in range(len(where))])).drop(*[f"_w{i}" for i in range(len(where))]))
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        sides.append(union)
+    a, b = (x.select("meet", *[F.col(c).alias(f"{n}_{c}") for c in x.columns if c != "meet"]) for n, x in zip("ab", sides))
+    p = shuffled_join(a, b, "meet").where(
+        ((F.size("a_rare") < F.size("b_rare")) | ((F.size("a_rare") == F.size("b_rare")) & (F.col("a_id") < F.col("b_id"))))
+        & (F.col("a_lead") == F.col("b_lead")) & (F.col("a_same") == F.col("b_same")) & (F.col("a_key") == F.col("b_key"))
+        & ((F.element_at("a_steps", 1) == F.element_at("b_steps", 1)) == F.col("a_lead"))
+        & (F.col("a_category").eqNullSafe(F.col("b_category")) == F.col("a_same")))
+    common = F.array_intersect("a_rare", "b_rare")
+    p = p.where(F.slice(common, F.lit(1), F.size("a_key")) == F.col("a_key"))   # each pair once
+    shared = F.size(common)
+    p = p.withColumn("jaccard", shared / (F.size("a_rare") + F.size("b_rare") - shared))
     match = F.size(F.filter(F.arrays_zip("a_steps", "b_steps"), lambda z: z["a_steps"] == z["b_steps"]))
     p = p.withColumn("ordered", match / F.greatest(F.size("a_steps"), F.size("b_steps")))
-    score = (F.col("jaccard") * 0.5 + F.col("ordered") * 0.25
-             + F.when(F.element_at("a_steps", 1) == F.element_at("b_steps", 1), 0.15).otherwise(0.0)
-             + F.when(F.col("a_category") == F.col("b_category"), 0.1).otherwise(0.0))
+    score = (F.col("jaccard") * JACCARD + F.col("ordered") * ORDERED + F.when(F.col("a_lead"), LEAD).otherwise(0.0)
+             + F.when(F.col("a_same"), CATEGORY).otherwise(0.0))
     swap = F.col("a_id") > F.col("b_id")
 
     def side(name: str, first: bool) -> Column:

@@ -8,11 +8,13 @@ times instead of once per offset; the exhaustive search runs on Arrow batches.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.functions import color as C
 from rasterloom.operators.ordered import shuffled_join
@@ -167,6 +169,28 @@ def decode_state(states: DataFrame, *, cols: int, rows: int) -> DataFrame:
                       for k, n in enumerate(("dx", "dy", "confidence", "strength"))])
 
 
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], inputs: list[str],
+                outputs: dict[str, str], step: Callable) -> DataFrame:
+    """Add `outputs` (name -> type) by `state, values = step(state, *inputs)`; state starts as None."""
+    names = list(outputs)
+    schema = StructType(df.schema.fields + StructType.fromDDL(
+        ", ".join(f"{n} {t}" for n, t in outputs.items())).fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            out = []
+            for key, row in zip(zip(*(pdf[k] for k in keys)), zip(*(pdf[c] for c in inputs))):
+                if key != current:
+                    current, state = key, None
+                state, values = step(state, *row)
+                out.append(values)
+            yield pdf.assign(**{n: [v[i] for v in out] for i, n in enumerate(names)})
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInPandas(run, schema)
+
+
 def flip_dots(df: DataFrame, *, width: int, height: int, cellSize=10, threshold=128.0, hysteresis=12.0,
               maxFlipRate=0.2, responseFrames=3) -> DataFrame:
     """Bistable cells: at most a share of all cells may start flipping per frame, largest error first.
@@ -179,7 +203,6 @@ def flip_dots(df: DataFrame, *, width: int, height: int, cellSize=10, threshold=
     lum = df.withColumns(cell).groupBy("clip_id", "frame", "cx", "cy").agg(F.avg(C.luma()).alias("l"))
     grid = lum.groupBy("clip_id", "frame").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cy", "cx", "l"))), lambda s: s["l"]).alias("cells"))
-    from rasterloom.operators.folds import fold_sorted
     cap = max(1, int(cols * rows * maxFlipRate))
 
     def step(state, cells):

@@ -1,17 +1,15 @@
 """Frequency-domain operators.
 
-Small frames use a separable DFT written as two scatter-and-sum passes over a
-constant twiddle table; with frames partitioned on `(clip_id, frame)` no pass
-needs an exchange.  Frames above `DFT_MAX` samples run numpy's FFT, one frame
-(never a clip) per group.
+A transform works on lines: the samples of a row are one array, log n butterfly passes turn it
+into its spectrum, and after one regrouping the columns follow in the same way.  A task holds
+lines, never a frame, so frames of any size take the same path; with frames partitioned on
+`(clip_id, frame)` the groupings need no exchange.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from rasterloom.functions import color as C
 from rasterloom.operators.ordered import shuffled_join
 
 FRAME = ("clip_id", "frame")
-DFT_MAX = 4096
 
 
 def padded(n: int) -> int:
@@ -39,55 +36,54 @@ def _table(values) -> Column:
     return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
 
-def _pass(df: DataFrame, src: str, out: str, n: int, keep: list[str], sign: int) -> DataFrame:
-    """One axis: sum of value * exp(sign * i * 2 pi * src * out / n)."""
-    ang = [2 * math.pi * k / n for k in range(n)]
-    cos, sin = _table(map(math.cos, ang)), _table(map(math.sin, ang))
-    t = df.select(*keep, src, "re", "im", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(out))
-    at = (F.pmod(F.col(src) * F.col(out), F.lit(n)) + 1).cast("int")
-    t = t.withColumns({"_c": F.element_at(cos, at), "_s": F.element_at(sin, at) * float(sign)})
-    return t.groupBy(*keep, out).agg(
-        F.sum(F.col("re") * F.col("_c") - F.col("im") * F.col("_s")).alias("re"),
-        F.sum(F.col("re") * F.col("_s") + F.col("im") * F.col("_c")).alias("im"))
-
-
-def _numpy_transform(df: DataFrame, src: tuple[str, str], out: tuple[str, str], w: int, h: int,
-                     inverse: bool) -> DataFrame:
-    ids = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in FRAME)
-    schema = f"{ids}, {out[0]} int, {out[1]} int, re double, im double"
-
-    def one_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.zeros((h, w), dtype=complex)
-        g[pdf[src[1]].to_numpy(), pdf[src[0]].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        f = np.fft.ifft2(g) * (w * h) if inverse else np.fft.fft2(g)
-        yy, xx = np.mgrid[0:h, 0:w]
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame": pdf["frame"].iloc[0],
-                             out[0]: xx.ravel(), out[1]: yy.ravel(), "re": f.real.ravel(), "im": f.imag.ravel()})
-    cols = df.select(*FRAME, *src, "re", "im")
-    return cols.groupBy(*FRAME).applyInPandas(one_frame, schema)
+def _butterflies(line: Column, n: int, sign: int) -> Column:
+    """Transform of an array of n (re, im), a power of two, without scaling: sum of value * exp(sign * i * 2 pi * j * k / n).
+
+    Each pass halves the transforms and doubles their stride: sums and turned differences of both
+    halves, interleaved by the stride, so the order comes out right by itself.
+    """
+    if n == 1:
+        return line
+    ang = [2 * math.pi * k / n for k in range(n // 2)]
+    cos, sin = _table(map(math.cos, ang)), _table(sign * math.sin(a) for a in ang)
+    strides = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1)])
+
+    def one(z: Column, m: Column, o: Column) -> Column:
+        at = F.floor(o / (m * 2)).cast("int") * m   # of the turn; the pair lies at + o mod m and half a line further
+        x, y = F.get(z, at + F.pmod(o, m)), F.get(z, at + F.pmod(o, m) + n // 2)
+        re, im, c, s = x["re"] - y["re"], x["im"] - y["im"], F.get(cos, at), F.get(sin, at)
+        return F.when(F.pmod(o, m * 2) < m, F.struct((x["re"] + y["re"]).alias("re"), (x["im"] + y["im"]).alias("im"))).otherwise(
+            F.struct((re * c - im * s).alias("re"), (re * s + im * c).alias("im")))
+    places = F.sequence(F.lit(0), F.lit(n - 1))
+    return F.aggregate(strides, line, lambda z, m: F.transform(places, lambda o: one(z, m, o)))
+
+
+def _lines(df: DataFrame, src: str, out: str, n: int, keep: list[str], sign: int) -> DataFrame:
+    """One axis: `(keep, src, re, im)` to `(keep, out, re, im)`, missing samples being zero."""
+    zero = F.struct(F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    lines = df.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(F.col(src).cast("int").alias("i"), F.struct("re", "im").alias("z")))).alias("_l"))
+    values = F.transform("_l", lambda x: x["z"])
+    holes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.get(F.filter("_l", lambda x: x["i"] == i), F.lit(0))["z"], zero))
+    ends_early = F.element_at("_l", -1)["i"] == F.size("_l") - 1   # what is missing is the padding
+    full = F.when(ends_early, F.concat(values, F.array_repeat(zero, (n - F.size("_l")).cast("int")))).otherwise(holes)
+    return lines.select(*keep, F.posexplode(_butterflies(full, n, sign)).alias(out, "_v")).select(*keep, out, "_v.re", "_v.im")
 
 
 def forward(plane: DataFrame, *, width: int, height: int, value: str = "v") -> DataFrame:
     """`(clip_id, frame, x, y, value)` to `(clip_id, frame, kx, ky, re, im)`, zero-padded."""
     w, h = padded(width), padded(height)
     d = plane.select(*FRAME, "x", "y", F.col(value).cast("double").alias("re"), F.lit(0.0).alias("im"))
-    if w * h > DFT_MAX:
-        return _numpy_transform(d, ("x", "y"), ("kx", "ky"), w, h, False)
-    d = _pass(d, "x", "kx", w, [*FRAME, "y"], -1)
-    return _pass(d, "y", "ky", h, [*FRAME, "kx"], -1)
+    d = _lines(d, "x", "kx", w, [*FRAME, "y"], -1)
+    return _lines(d, "y", "ky", h, [*FRAME, "kx"], -1)
 
 
 def inverse(spec: DataFrame, *, width: int, height: int) -> DataFrame:
     """Back to `(clip_id, frame, x, y, re, im)` with 1/N, cropped to the source size."""
     w, h = padded(width), padded(height)
-    if w * h > DFT_MAX:
-        d = _numpy_transform(spec, ("kx", "ky"), ("x", "y"), w, h, True)
-    else:
-        d = _pass(spec, "kx", "x", w, [*FRAME, "ky"], 1)
-        d = _pass(d, "ky", "y", h, [*FRAME, "x"], 1)
+    d = _lines(spec, "kx", "x", w, [*FRAME, "ky"], 1).where(F.col("x") < width)
+    d = _lines(d, "ky", "y", h, [*FRAME, "x"], 1)
     n = float(w * h)
-    return d.where((F.col("x") < width) & (F.col("y") < height)).withColumns(
-        {"re": F.col("re") / n, "im": F.col("im") / n})
+    return d.where(F.col("y") < height).withColumns({"re": F.col("re") / n, "im": F.col("im") / n})
 
 
 def luma_plane(df: DataFrame) -> DataFrame:

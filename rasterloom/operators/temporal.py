@@ -147,7 +147,8 @@ def motion_analysis(df: DataFrame, *, source="EMA", renderMode="MASK", threshold
     d = d.withColumn("_diff", _mean_diff("", "_ref_"))
     first = F.col("_ref_r").isNull()
     if renderMode == "ACCUMULATED_HEAT":
-        return _accumulated_heat(d, accumRate, coolRate, chunk)
+        from rasterloom.operators.folds import accumulated_heat
+        return accumulated_heat(d, "_diff", accum=accumRate, cool=coolRate, chunk=chunk).drop("_diff", "_ref_r", "_ref_g", "_ref_b")
     motion = C.clamp(0, 1, (F.col("_diff") - float(threshold)) / 80.0 * float(sensitivity))
     d = d.withColumn("_m", motion)
     if renderMode == "MASK":
@@ -165,17 +166,6 @@ def motion_analysis(df: DataFrame, *, source="EMA", renderMode="MASK", threshold
     return d.withColumns(cols).drop("_diff", "_m", "_ref_r", "_ref_g", "_ref_b")
 
 
-def _accumulated_heat(d: DataFrame, accum: float, cool: float, chunk: int) -> DataFrame:
-    """Leaky sum of the difference, in 0..1; clamped only when shown."""
-    rho = 1.0 - cool
-    size, overlap = chunk_length(rho, 1, chunk)
-    d = chunked(d, "frame", size, overlap).withColumn("_k", F.row_number().over(_window(PIXEL)) - 1)
-    term = F.coalesce(F.col("_diff"), F.lit(0.0)) / 255.0 * accum * F.pow(F.lit(1.0 / rho), F.col("_k"))
-    heat = F.sum(term).over(_window(PIXEL, Window.unboundedPreceding, 0)) * F.pow(F.lit(rho), F.col("_k"))
-    d = own_rows(d.withColumn("heat", F.least(F.lit(1.0), heat)), "frame", size)
-    return d.drop("_k", "_diff", "_ref_r", "_ref_g", "_ref_b")
-
-
 def scene_separation(df: DataFrame, *, mode="FOREGROUND", threshold=20.0, feather=5.0,
                      background="TRANSPARENT", bgColor=(0, 0, 0), learnRate=0.02,
                      frozenFrame="FIRST", chunk=CHUNK) -> DataFrame:
@@ -246,7 +236,7 @@ def long_exposure(df: DataFrame, *, mode="BLEND", blendFactor=0.7, windowSize=8,
         return d.withColumns({c: C.u8_soft(F.col(f"_d_{c}")) for c in C.RGB}).select(*df.columns)
     if mode == "ADDITIVE":
         from rasterloom.operators.folds import additive_exposure
-        return additive_exposure(df, decay=decay, brightnessThreshold=brightnessThreshold)
+        return additive_exposure(df, decay=decay, brightnessThreshold=brightnessThreshold, chunk=chunk)
     raise ValueError(f"unknown mode {mode!r}")
 
 

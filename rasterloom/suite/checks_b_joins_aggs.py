@@ -271,9 +271,13 @@ def _kmeans(spark, d):
 
 # ---- cells ------------------------------------------------------------------------------
 
-def gather_sql(sx, sy, extra="", src=RASTER):
-    return f"""with p as materialized (select * from {src} q0), t as materialized (select *, {sx} as sx, {sy} as sy {extra} from p)
- select t.clip_id, t.frame, t.x, t.y, s.r, s.g, s.b, s.a from t join p s on s.clip_id = t.clip_id and s.frame = t.frame and s.x = t.sx and s.y = t.sy"""
+RASTER_Q = RASTER.replace("255 as a", "255 as a, q as px")
+
+
+def gather_sql(sx, sy, src=RASTER_Q):
+    """Pixels taken from another place of the same frame, whose values are the list px."""
+    return f"""select clip_id, frame, x, y, px[i + 1] as r, px[(i + 21) % 64 + 1] as g, px[(i + 42) % 64 + 1] as b, a
+ from (select *, cast({sy} as int) * 8 + cast({sx} as int) as i from {src} q0) t"""
 
 
 def on_frames(name, op, sql, **params):
@@ -293,11 +297,11 @@ def _pixelate_mean(spark, d):
 _hex = f"""(select *, case when wq then -rw - rz else rq end as qc, case when wq then rz else -rq - rw end as rc from
  (select *, abs(rq - q) > abs(rw - w) and abs(rq - q) > abs(rz - z) as wq from
   (select *, floor(q + 0.5) as rq, floor(z + 0.5) as rz, floor(w + 0.5) as rw from
-   (select *, -q - z as w from (select *, ((x - 2.5) * (1.7320508 / 3.0) - (y - 2.5) / 3.0) / 2.5 as q, ((y - 2.5) * (2.0 / 3.0)) / 2.5 as z from {RASTER} h0) h1) h2) h3) h4)"""
+   (select *, -q - z as w from (select *, ((x - 2.5) * (1.7320508 / 3.0) - (y - 2.5) / 3.0) / 2.5 as q, ((y - 2.5) * (2.0 / 3.0)) / 2.5 as z from {RASTER_Q} h0) h1) h2) h3) h4)"""
 on_frames("hex_pixelate", A.hex_pixelate, gather_sql(
     f"least(7, greatest(0, {J('2.5 * 1.7320508 * (qc + rc * 0.5) + 2.5')}))", f"least(7, greatest(0, {J('2.5 * 1.5 * rc + 2.5')}))",
     src=_hex), width=8, height=8, cellSize=2.5)
-_tri = f"(select *, case when (x - floor(x / 3.0) * 3) + (y - floor(y / 3.0) * 3) < 3 then 1 / 3.0 else 2 / 3.0 end as fr from {RASTER} t0)"
+_tri = f"(select *, case when (x - floor(x / 3.0) * 3) + (y - floor(y / 3.0) * 3) < 3 then 1 / 3.0 else 2 / 3.0 end as fr from {RASTER_Q} t0)"
 on_frames("triangle_pixelate", A.triangle_pixelate, gather_sql(
     f"least(7, greatest(0, {J('floor(x / 3.0) * 3 + 3 * fr')}))", f"least(7, greatest(0, {J('floor(y / 3.0) * 3 + 3 * fr')}))",
     src=_tri), width=8, height=8, cellSize=3)

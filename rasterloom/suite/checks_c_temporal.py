@@ -78,14 +78,27 @@ on_raster("motion_analysis_previous", TP.motion_analysis, raster_sql(*[
     threshold=4, renderMode="DIFFERENCE", source="PREVIOUS")
 
 
-@check("motion_analysis_accumulated", f"""with q as (select *, coalesce({PDIFF}, 0.0) as d from {PREV} z)
- select {ID}, p.r, p.g, p.b, p.a, round(least(1.0, sum(h.d / 255.0 * 0.05 * pow(0.99, p.frame - h.frame))), 6) as heat
- from q p join q h on {SAME} and h.frame <= p.frame group by {ID}, p.r, p.g, p.b, p.a""")
+def heat_sql(accum, cool):
+    return f"""with recursive q as materialized (select *, coalesce({PDIFF}, 0.0) as d from {PREV} z),
+ f as (select clip_id, frame, x, y, r, g, b, a, least(1.0, d / 255.0 * {accum!r}) as heat from q where frame = 0 union all
+  select q.clip_id, q.frame, q.x, q.y, q.r, q.g, q.b, q.a, least(1.0, greatest(0.0, f.heat * (1 - {cool!r}) + q.d / 255.0 * {accum!r}))
+  from f join q on q.clip_id = f.clip_id and q.x = f.x and q.y = f.y and q.frame = f.frame + 1)
+ select clip_id, frame, x, y, r, g, b, a, round(heat, 6) as heat from f"""
+
+
+@check("motion_analysis_accumulated", heat_sql(0.05, 0.01))
 def _heat(spark, d):
     out = TP.motion_analysis(V.raster_px(spark, d), source="PREVIOUS", renderMode="ACCUMULATED_HEAT")
     return out.withColumn("heat", F.round("heat", 6))
 
 
+@check("motion_analysis_accumulated_full", heat_sql(6.0, 0.2))
+def _full_heat(spark, d):
+    """Motion that keeps reaching the ceiling and cools from there."""
+    out = TP.motion_analysis(V.raster_px(spark, d), source="PREVIOUS", renderMode="ACCUMULATED_HEAT", accumRate=6.0, coolRate=0.2)
+    return out.withColumn("heat", F.round("heat", 6))
+
+
 _mv = SMOOTH("3.0", "13.0", DIFF)
 on_raster("scene_separation", TP.scene_separation, raster_sql(
     "r", "g", "b", a=f"case when er is null then 255 else {J(f'{_mv} * 255.0 + 0.000000001')} end", pre=ema_pre()), threshold=8, feather=5)
@@ -200,7 +213,7 @@ on_raster("poster_hold", FD.poster_hold, fold_sql(
     holdThreshold=2.0, releaseSpeed=0.6)
 
 
-@check("time_mosaic_stabiliser", f"""with recursive q as (select clip_id, x // 4 as bx, y // 4 as by_, frame, coalesce(avg({PDIFF}), 255.0) as m from {PREV} z group by all),
+@check("time_mosaic_stabiliser", f"""with recursive q as (select clip_id, x // 4 as bx, y // 4 as by_, frame, round(coalesce(avg({PDIFF}), 255.0), 9) as m from {PREV} z group by all),
  f as (select clip_id, bx, by_, frame, frame as shown, 0 as age from q where frame = 0 union all
   select q.clip_id, q.bx, q.by_, q.frame, case when q.m > 22 or f.age >= 4 then q.frame else f.shown end,
    case when q.m > 22 or f.age >= 4 then 0 else f.age + 1 end from f join q on q.clip_id = f.clip_id and q.bx = f.bx and q.by_ = f.by_ and q.frame = f.frame + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import repair as RP
 from rasterloom.operators import spectral as SP
 from rasterloom.sources import views as V
-from rasterloom.suite.checks_b_joins_aggs import on_frames
+from rasterloom.suite.checks_b_joins_aggs import RASTER_Q, on_frames
 from rasterloom.suite.checks_d_space import SIZE, chans
 from rasterloom.suite.registry import CL, J, L709U, MIX, RASTER, SMOOTH, U8S, check
 
@@ -203,9 +203,10 @@ _cases = {
 for _mode, (_fmt, _name) in _cases.items():
     check(_name, f"select clip_id, frame, x, y, {chans(_fmt)}, a from {_psrc} z")(
         lambda spark, d, m=_mode: _damaged(spark, d, m))
-check("crc_stripe_nearest", f"""with z as materialized {_psrc}, n as materialized (select p.clip_id, p.frame, p.x, p.y, arg_min({{'r': h.r1, 'g': h.g1, 'b': h.b1}}, {{'d': abs(h.y - p.y), 'y': h.y}}) as v
- from z p join z h on h.clip_id = p.clip_id and h.frame = p.frame and h.x = p.x and not h.bad group by all)
- select z.clip_id, z.frame, z.x, z.y, coalesce(v.r, 0) as r, coalesce(v.g, 0) as g, coalesce(v.b, 0) as b, a from z left join n using (clip_id, frame, x, y)""")(
+_good = "not (" + _bad.replace("y", "h") + ")"   # of row h of the frame
+_from = f"list_min(list_transform(list_filter(range(0, 8), lambda h: {_good}), lambda h: abs(h - y) * 16 + h))"   # nearest, then highest row
+check("crc_stripe_nearest", f"""select clip_id, frame, x, y, coalesce(case when bad then px[i + 1] else r end, 0) as r, coalesce(case when bad then px[(i + 21) % 64 + 1] else g end, 0) as g,
+ coalesce(case when bad then px[(i + 42) % 64 + 1] else b end, 0) as b, a from (select *, {_bad} as bad, cast({_from} % 16 * 8 + x as int) as i from {RASTER_Q} c0) z""")(
     lambda spark, d: _damaged(spark, d, "NEAREST"))
 
 _i = "(y * 8 + x)"

@@ -8,6 +8,7 @@ from rasterloom.operators import folds as FD
 from rasterloom.operators import ordered as O
 from rasterloom.operators import signals as S
 from rasterloom.operators import timeline as TL
+from rasterloom.operators.lineage import cut_lineage
 from rasterloom.sources import views as V
 from rasterloom.suite.registry import check
 
@@ -19,14 +20,23 @@ SPEC = f"""(select g.channel, g.hop, g.bin, least(1.0, coalesce(c.n, 0) / 4.0) a
  left join (select channel, hop, bin, count(*) as n from {SIG} s group by all) c using (channel, hop, bin))"""
 
 
-def spec(spark, d):
-    return S.spectrum(V.signal(spark, d), HOP, full_scale=4.0)
+def slots(spark, d):
+    return S.slots(V.signal(spark, d), HOP, mid=50, scale=100)
+
+
+def series(spark, d):
+    return S.series(slots(spark, d), full_scale=4.0)
 
 
 def rnd(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def soft(df, *cols):
+    """Rounded with an upward tolerance, so that an exact half does not depend on the last bit."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in cols})
+
+
 def r6(*cols):
     return ", ".join(f"round({e}, 6) as {n}" for e, n in cols)
 
@@ -40,7 +50,7 @@ def ema_sql(src, col, keep, keys="channel"):
 
 @check("spectrum_smoothing", f"select channel, bin, hop, round(e, 6) as smooth from {ema_sql(SPEC, 'mag', 0.82, 'channel, bin')} q")
 def _smooth(spark, d):
-    out = S.smoothed_spectrum(spec(spark, d)).withColumn("bin", F.col("bin").cast("bigint"))
+    out = S.dense(S.smoothed_spectrum(series(spark, d)), {"smooth": 0.82}).withColumn("bin", F.col("bin").cast("bigint"))
     return rnd(out, "smooth").select("channel", "bin", "hop", "smooth")
 
 
@@ -58,13 +68,13 @@ BANDS = f"(select channel, hop, {band(0, 1)} as sub, {band(0, 2)} as bass, {band
 
 @check("band_averages_sub_bass_mid_treble", f"select channel, hop, {r6(('sub', 'sub'), ('bass', 'bass'), ('mid', 'mid'), ('treble', 'treble'))} from {BANDS} q")
 def _bands(spark, d):
-    return rnd(S.band_averages(spec(spark, d)), "sub", "bass", "mid", "treble")
+    return rnd(S.dense(S.band_averages(series(spark, d))), "sub", "bass", "mid", "treble")
 
 
 @check("bucket_average", f"select channel, hop, round({band(1, 4)}, 6) as mean_1_3, round({band(3, 3)}, 6) as mean_none from {SPEC} s group by all")
 def _bucket(spark, d):
-    return rnd(spec(spark, d).groupBy("channel", "hop").agg(
-        S.bucket_average(1, 4, "mean_1_3"), S.bucket_average(3, 3, "mean_none")), "mean_1_3", "mean_none")
+    return rnd(S.dense(series(spark, d).select(
+        "channel", "hop", "run", S.bucket_average(1, 4, "mean_1_3"), S.bucket_average(3, 3, "mean_none"))), "mean_1_3", "mean_none")
 
 
 ZC = f"""(select channel, hop, count(*) filter (where p <> q) / count(*) as zero_cross from (select channel, hop, sample >= 50 as p, lag(sample >= 50) over (partition by channel, hop order by ts_us, event_id) as q from {SIG} s) t group by all)"""
@@ -72,12 +82,12 @@ ZC = f"""(select channel, hop, count(*) filter (where p <> q) / count(*) as zero
 
 @check("zero_cross_rate", f"select channel, hop, round(zero_cross, 6) as zero_cross from {ZC} q")
 def _zc(spark, d):
-    return rnd(S.zero_crossings(V.signal(spark, d), HOP, mid=50), "zero_cross")
+    return rnd(S.zero_crossings(slots(spark, d)), "zero_cross")
 
 
 @check("spectral_centroid", f"select channel, hop, round(case when sum(mag) > 0 then sum(bin * mag) / (sum(mag) * 4) else 0.0 end, 6) as centroid from {SPEC} s group by all")
 def _centroid(spark, d):
-    return rnd(S.spectral_centroid(spec(spark, d)), "centroid")
+    return rnd(S.dense(S.spectral_centroid(series(spark, d))), "centroid")
 
 
 FLUX = f"""(select p.channel, p.hop, least(1.0, sum(greatest(0.0, p.mag - coalesce(h.mag, p.mag))) / 5 * 4.0) as flux from {SPEC} p left join {SPEC} h on h.channel = p.channel and h.bin = p.bin and h.hop = p.hop - 1 group by all)"""
@@ -86,7 +96,7 @@ ONSET = f"(select f.channel, f.hop, f.flux, e.e as onset_ema, least(1.0, greates
 
 @check("spectral_flux_onset", f"select channel, hop, {r6(('flux', 'flux'), ('onset_ema', 'onset_ema'), ('onset', 'onset'), ('novelty', 'novelty'))} from {ONSET} q")
 def _onset(spark, d):
-    return rnd(S.onsets(S.flux(spec(spark, d))), "flux", "onset_ema", "onset", "novelty")
+    return rnd(S.of_decays(S.onsets(S.flux(series(spark, d)))), "flux", "onset_ema", "onset", "novelty")
 
 
 @check("stereo_width_balance", f"""with b as (select hop, sum(case when channel = 0 then mag else 0.0 end) as l, sum(case when channel = 1 then mag else 0.0 end) as r from {SPEC} s group by 1),
@@ -95,8 +105,8 @@ def _onset(spark, d):
  select b.hop, round(case when l + r > 0 then least(1.0, greatest(0.0, (l - r) / (l + r) * 0.5 + 0.5)) else 0.5 end, 6) as balance,
  round(case when m + d > 0.00001 then d / (m + d) else 0.0 end, 6) as width from b left join w using (hop)""")
 def _stereo(spark, d):
-    sig = V.signal(spark, d)
-    return rnd(S.stereo(S.spectrum(sig, HOP, full_scale=4.0), sig, HOP, mid=50, scale=100), "balance", "width")
+    sl = slots(spark, d)
+    return rnd(S.stereo(S.series(sl, full_scale=4.0), sl), "balance", "width")
 
 
 LEVELS = f"(select channel, hop, least(1.0, sqrt(avg((sample - 50) / 100.0 * ((sample - 50) / 100.0))) * 1.8) as level from {SIG} s group by all)"
@@ -104,26 +114,17 @@ BL = f"(select b.*, coalesce(l.level, 0.0) as level from {BANDS} b left join {LE
 PEAK = f"(select p.channel, p.hop, max(h.level * pow(0.93, p.hop - h.hop)) as peak_decay from {BL} p join {BL} h on h.channel = p.channel and h.hop <= p.hop group by all)"
 
 
-def metrics(spark, d):
-    sig, sp = V.signal(spark, d), spec(spark, d)
-    return S.envelopes(S.band_averages(sp), S.rms_levels(sig, HOP, mid=50, scale=100))
-
-
 @check("envelopes_and_decays", f"""select channel, hop, {r6(('x.e', 'bass_envelope'), ('y.e', 'mid_envelope'), ('z.e', 'treble_envelope'), ('peak_decay', 'peak_decay'))} from {ema_sql(BL, 'bass', 0.8)} x
  join {ema_sql(BL, 'mid', 0.84)} y using (channel, hop) join {ema_sql(BL, 'treble', 0.88)} z using (channel, hop) join {PEAK} k using (channel, hop)""")
 def _envelopes(spark, d):
     cols = ["bass_envelope", "mid_envelope", "treble_envelope", "peak_decay"]
-    return rnd(metrics(spark, d), *cols).select("channel", "hop", *cols)
+    return rnd(S.of_decays(S.envelopes(S.with_bands(series(spark, d)))), *cols).select("channel", "hop", *cols)
 
 
 def mixed(spark, d):
-    sig, sp = V.signal(spark, d), spec(spark, d)
-    on = S.onsets(S.flux(sp))
-    lv = S.rms_levels(sig, HOP, mid=50, scale=100)
-    zc = S.zero_crossings(sig, HOP, mid=50)
-    m = S.band_averages(sp).join(on, ["channel", "hop"]).join(lv, ["channel", "hop"], "left").join(zc, ["channel", "hop"], "left")
-    m = m.fillna(0.0, ["level", "zero_cross"])
-    m = S.ema_of(m, "level", 0.82, "level_ema")
+    """All metrics of the series, one row a hop with samples or a stretch without."""
+    m = S.onsets(S.with_flux(S.with_bands(series(spark, d))))
+    m = S.ema_of(m, "level", S.LEVEL_KEEP, "level_ema")
     m = m.withColumn("pulse", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("level") - F.col("level_ema")) * 5.0)))
     return S.derived_mixes(m)
 
@@ -134,7 +135,7 @@ def mixed(spark, d):
  round(least(1.0, greatest(0.0, (1 - flux) * (0.35 + mid * 0.65))), 6) as harmonic, round(least(1.0, greatest(0.0, onset * 0.7 + pulse * 0.3)), 6) as percussive from m""")
 def _mixes(spark, d):
     cols = ["band_ratio", "roughness", "harmonic", "percussive"]
-    return rnd(mixed(spark, d), *cols).select("channel", "hop", *cols)
+    return rnd(S.of_decays(mixed(spark, d)), *cols).select("channel", "hop", *cols)
 
 
 # ---- windows ----------------------------------------------------------------------------
@@ -185,7 +186,7 @@ def _sessions(spark, d):
  b as (select channel, max(score) as best, avg(score) as m, sqrt(greatest(0.0, avg(score * score) - avg(score) * avg(score))) as sd, arg_max(60000 / (lag * 100.0), score) as bpm from w group by 1)
  select channel, round(bpm, 6) as bpm, round(case when sd > 0.00000001 then least(1.0, greatest(0.0, (best - m) / (sd * 4))) else 0.0 end, 6) as confidence from b where best > 0""")
 def _tempo(spark, d):
-    nov = S.onsets(S.flux(spec(spark, d))).select("channel", "hop", "novelty")
+    nov = S.onsets(S.flux(series(spark, d))).select("channel", "hop", "run", "novelty")
     return rnd(S.dominant_period(nov, hop_ms=100.0), "bpm", "confidence")
 
 
@@ -202,10 +203,10 @@ def _status(spark, d):
 @check("adaptive_range", """with recursive e as materialized (select user_id, event_id, value / 100.0 as v, row_number() over (partition by user_id order by ts, event_id) as rn from events),
  f as (select user_id, event_id, rn, v, v as lo, v as hi from e where rn = 1 union all select e.user_id, e.event_id, e.rn, e.v,
   case when e.v < f.lo then e.v else f.lo + (e.v - f.lo) * 0.004 end, case when e.v > f.hi then e.v else f.hi + (e.v - f.hi) * 0.004 end from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)
- select user_id, event_id, round(lo, 6) as low, round(hi, 6) as high, round(least(1.0, greatest(0.0, (v - (hi - greatest(0.08, hi - lo))) / greatest(0.08, hi - lo))), 6) as normalized from f""")
+ select user_id, event_id, round(lo + 0.000000001, 6) as low, round(hi + 0.000000001, 6) as high, round(least(1.0, greatest(0.0, (v - (hi - greatest(0.08, hi - lo))) / greatest(0.08, hi - lo))) + 0.000000001, 6) as normalized from f""")
 def _adaptive(spark, d):
     e = V.events(spark, d).select("user_id", "event_id", "ts_us", (F.col("value") / 100.0).alias("v"))
-    return rnd(FD.adaptive_range(e, ["user_id"], ["ts_us", "event_id"], "v"), "low", "high", "normalized").select(
+    return soft(FD.adaptive_range(e, ["user_id"], ["ts_us", "event_id"], "v", width=FD.DAY_US), "low", "high", "normalized").select(
         "user_id", "event_id", "low", "high", "normalized")
 
 
@@ -221,16 +222,17 @@ _ALL = f"""(select *, least(1.0, greatest(0.0, onset * 0.7 + pulse * 0.3)) as pe
  f as (select channel, hop, metric, rn, v, v as lo, v as hi from e where rn = 1 union all select e.channel, e.hop, e.metric, e.rn, e.v,
   case when e.v < f.lo then e.v else f.lo + (e.v - f.lo) * 0.004 end, case when e.v > f.hi then e.v else f.hi + (e.v - f.hi) * 0.004 end
   from f join e on e.channel = f.channel and e.metric = f.metric and e.rn = f.rn + 1)
- select channel, hop, metric, round(v, 6) as v, round(lo, 6) as low, round(hi, 6) as high, round(least(1.0, greatest(0.0, (v - (hi - greatest(0.08, hi - lo))) / greatest(0.08, hi - lo))), 6) as normalized from f""")
+ select channel, hop, metric, round(v + 0.000000001, 6) as v, round(lo + 0.000000001, 6) as low, round(hi + 0.000000001, 6) as high, round(least(1.0, greatest(0.0, (v - (hi - greatest(0.08, hi - lo))) / greatest(0.08, hi - lo))) + 0.000000001, 6) as normalized from f""")
 def _normaliser(spark, d):
     """Every metric of a hop follows its own range; keys are (channel, metric)."""
-    m = mixed(spark, d).select("channel", "hop", F.inline(F.array(*[
+    m = S.of_decays(mixed(spark, d)).select("channel", "hop", F.inline(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.col(n).alias("v")) for n in METRICS])))
-    return rnd(FD.adaptive_range(m, ["channel", "metric"], ["hop"], "v"), "v", "low", "high", "normalized")
+    return soft(FD.adaptive_range(m, ["channel", "metric"], ["hop"], "v"), "v", "low", "high", "normalized")
 
 
 def triggers(spark, d):
-    return S.ema_of(mixed(spark, d), "bass", 0.8, "bass_envelope").select("channel", "hop", S.beat_trigger().alias("trigger"))
+    m = S.ema_of(mixed(spark, d), "bass", S.ENVELOPES["bass"], "bass_envelope")
+    return S.of_decays(m).select("channel", "hop", S.beat_trigger().alias("trigger"))
 
 
 def beats(spark, d, hop_ms=100.0):
@@ -278,7 +280,7 @@ _HALF, _TWICE = "case when c.bpm / 2 between 60 and 180 then c.bpm / 2 else c.bp
  select channel, win as window, round(bpm, 6) as bpm, round(conf, 6) as confidence, round(tempo, 6) as tempo, round(trust, 6) as tempo_confidence from f""")
 def _tempo_smoothing(spark, d):
     """Tempo per day of history, followed over the days."""
-    nov = S.onsets(S.flux(spec(spark, d))).withColumn("window", F.floor(F.col("hop") / 48))
+    nov = S.of_decays(S.onsets(S.flux(series(spark, d)))).withColumn("window", F.floor(F.col("hop") / 48))
     daily = nov.select(F.struct("channel", "window").alias("channel"), "hop", "novelty")
     c = S.dominant_period(daily, hop_ms=100.0).select("channel.channel", "channel.window", "bpm", "confidence")
     return rnd(S.smooth_tempo(c), "bpm", "confidence", "tempo", "tempo_confidence")
@@ -295,7 +297,6 @@ def _phase(spark, d):
  taps as (select distinct channel, hop from {SIG} t0 where sample > 300)
  select channel, hop, n = 0 or floor(n * 100.0 / 500.0) > floor((n - 1) * 100.0 / 500.0) as beat, (select max(t.hop) from taps t where t.channel = h.channel and t.hop <= h.hop) as bar_anchor from h""")
 def _taps(spark, d):
-    hops = S.grid_beats(triggers(spark, d).select("channel", "hop"), 120.0, hop_ms=100.0).select("channel", "hop", "beat")
-    taps = V.signal(spark, d).where("sample > 300").select(
-        "channel", F.floor(F.col("ts_us") / F.lit(HOP)).cast("long").alias("hop")).distinct()
-    return S.tap_controls(hops, taps)
+    hops = cut_lineage(S.with_hop(V.signal(spark, d), HOP).groupBy("channel", "hop").agg(F.max(F.col("sample") > 300).alias("tapped")))
+    grid = S.grid_beats(S.dense(S.runs(hops.select("channel", "hop"))), 120.0, hop_ms=100.0).select("channel", "hop", "beat")
+    return S.tap_controls(grid, hops.where("tapped").select("channel", "hop"))
