@@ -293,7 +293,7 @@ def metric_score(metric_kind: str, text: Column) -> Column:
 def pick_fresh(metrics: DataFrame, group: list[str], name: str, n: int, *, seed: int = 0) -> DataFrame:
     """`n` members per group, unused ones first, then in hashed order (small dimension tables)."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*group).orderBy("used", F.xxhash64(F.lit(seed), name), name)
+    w = Window.partitionBy(*group).orderBy("used", F.md5(F.concat(F.lit(f"{seed}:"), name)), name)
     return metrics.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

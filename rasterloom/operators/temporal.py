@@ -335,9 +335,15 @@ def time_warp_displacement(df: DataFrame, *, width: int, height: int, depth=16,
     return delayed(df, F.least(have, F.floor(t * have + 0.5)))
 
 
+# Odd factors that spread a tile's position over 32 bits.
+TILE_MIX = (374761393, 668265263, 1442695041, 1274126177)
+
+
 def tile_hash(tx: Column, ty: Column, seed: int = 0) -> Column:
-    """Hash of a tile position to [0, 1)."""
-    return F.pmod(F.xxhash64(tx, ty, F.lit(seed)), F.lit(1 << 32)) / float(1 << 32)
+    """Hash of a tile position to [0, 1), in whole numbers below 2^63."""
+    m = F.pmod(tx.cast("long") * TILE_MIX[0] + ty.cast("long") * TILE_MIX[1] + seed * TILE_MIX[2], F.lit(1 << 32))
+    m = F.pmod(m.bitwiseXOR(F.shiftright(m, 13)) * TILE_MIX[3], F.lit(1 << 32))
+    return m.bitwiseXOR(F.shiftright(m, 16)) / float(1 << 32)
 
 
 def time_mosaic(df: DataFrame, *, width: int, height: int, tileSize=24, maxDelay=10,

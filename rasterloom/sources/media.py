@@ -42,8 +42,17 @@ def decode_pnm(data: bytes) -> np.ndarray:
     return np.dstack([np.broadcast_to(px, (h, w, 3)), np.full((h, w, 1), 255, np.uint8)])
 
 
+def decode_plain(data: bytes) -> np.ndarray:
+    """Plain grey or colour PNM: numbers in text."""
+    kind, w, h, top, *values = data.split()
+    px = np.array(values, np.int64).reshape(int(h), int(w), 1 if kind == b"P2" else 3) * 255 // int(top)
+    return np.dstack([np.broadcast_to(px, (int(h), int(w), 3)), np.full((int(h), int(w), 1), 255)]).astype(np.uint8)
+
+
 def decode_image(data: bytes) -> np.ndarray:
     """Any format an installed decoder reads; PNM needs none."""
+    if data[:2] in (b"P2", b"P3"):
+        return decode_plain(data)
     if data[:2] in (b"P5", b"P6"):
         return decode_pnm(data)
     try:
@@ -66,6 +75,12 @@ def image_rows(files: DataFrame) -> DataFrame:
     return d.mapInPandas(run, FRAME_ROWS)
 
 
+def write_images(frames: DataFrame, folder: str, *, width: int, height: int) -> None:
+    """One plain grey image (PNM "P2") for each frame `(clip_id, frame, q)`, in clip_id=../frame=../ folders."""
+    text = F.concat(F.lit(f"P2 {width} {height} 255\n"), F.array_join(F.transform("q", lambda v: v.cast("string")), " "))
+    frames.select("clip_id", "frame", text.alias("value")).write.partitionBy("clip_id", "frame").mode("append").text(folder)
+
+
 def scan_images(spark: SparkSession, folder: str, *, glob: str = "*") -> DataFrame:
     """Every image under a folder as line rows."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)

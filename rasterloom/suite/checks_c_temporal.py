@@ -8,7 +8,7 @@ from rasterloom.operators import folds as FD
 from rasterloom.operators import temporal as TP
 from rasterloom.sources import views as V
 from rasterloom.suite.checks_a_pixel import on_raster
-from rasterloom.suite.registry import CL, FU, J, L709U, RASTER, SMOOTH, U8S, check, each, raster_sql
+from rasterloom.suite.registry import CL, FU, J, L709U, RASTER, SMOOTH, U8S, check, each, raster_sql, tile_hash_sql
 
 SAME = "h.clip_id = p.clip_id and h.x = p.x and h.y = p.y"
 ID = "p.clip_id, p.frame, p.x, p.y"
@@ -183,7 +183,8 @@ on_raster("time_warp_displacement", TP.time_warp_displacement, delay_sql(
 on_raster("time_mosaic", TP.time_mosaic, delay_sql(
     "least(floor(sqrt(pow(x // 2 - 2, 2) + pow(y // 2 - 2, 2)) / sqrt(8.0) * 9), least(frame + 1, 10) - 1)"),
     width=8, height=8, tileSize=2, pattern="RADIAL")
-check("time_mosaic_hashed")(lambda spark, d: TP.time_mosaic(V.raster_px(spark, d), width=8, height=8, tileSize=2))
+on_raster("time_mosaic_hashed", TP.time_mosaic, delay_sql(f"least(floor({tile_hash_sql('x // 2', 'y // 2')} * 10), least(frame + 1, 10) - 1)"),
+          width=8, height=8, tileSize=2)
 on_raster("stop_motion", TP.stop_motion, delay_sql("frame % 6"))
 on_raster("keyframe_smear", TP.keyframe_smear, f"""select {ID}, {', '.join(U8S(f'h.{c} * 0.65 + p.{c} * 0.35') + f' as {c}' for c in 'rgb')}, p.a
  from {RASTER} p join {RASTER} h on {SAME} and h.frame = p.frame - p.frame % 8""")

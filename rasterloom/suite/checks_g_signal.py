@@ -231,12 +231,13 @@ def _normaliser(spark, d):
 
 
 def triggers(spark, d):
+    """Hops with `trigger` and the kick that it looks at."""
     m = S.ema_of(mixed(spark, d), "bass", S.ENVELOPES["bass"], "bass_envelope")
-    return S.of_decays(m).select("channel", "hop", S.beat_trigger().alias("trigger"))
+    return cut_lineage(S.of_decays(m).select("channel", "hop", S.beat_trigger().alias("trigger"), F.col("sub").alias("kick")))
 
 
 def beats(spark, d, hop_ms=100.0):
-    return S.detect_beats(triggers(spark, d), hop_ms=hop_ms)
+    return S.detect_beats(triggers(spark, d).select("channel", "hop", "trigger"), hop_ms=hop_ms)
 
 
 _MIX = f"""(select b.channel, b.hop, b.sub, b.bass, b.level, o.onset, o.onset_ema, e.e as level_ema, v.e as bass_envelope,
@@ -286,11 +287,27 @@ def _tempo_smoothing(spark, d):
     return rnd(S.smooth_tempo(c), "bpm", "confidence", "tempo", "tempo_confidence")
 
 
-@check("phase_bar_position")
+_NOW = "(e.hop * 100.0 - a.anchor) / e.span"
+
+
+@check("phase_bar_position", f"""{BEATS}, e as materialized (select s.channel, s.hop, s.ema as span, b.sub, row_number() over (partition by s.channel order by s.hop) as j
+  from s join {BANDS} b on b.channel = s.channel and b.hop = s.hop where s.beat and s.ema is not null),
+ a as (select channel, hop, j, hop * 100.0 as anchor, hop * 100.0 as bar, 0.0 as since, sub as mean from e where j = 1
+ union all select e.channel, e.hop, e.j, n.anchor, case when n.starts then n.anchor else a.bar end, case when n.starts then 0.0 else n.since end, n.mean
+  from a join e on e.channel = a.channel and e.j = a.j + 1
+  join lateral (select *, e.sub > greatest(0.08, m.mean * 1.35) and m.since >= 2 as starts from
+   (select a.mean * 0.75 + e.sub * 0.25 as mean, case when h.moves then a.anchor + h.whole * e.span else a.anchor end as anchor, case when h.moves then a.since + h.whole else a.since end as since from
+    (select floor({_NOW} + 0.5) as whole, floor({_NOW} + 0.5) >= 1 and abs({_NOW} - floor({_NOW} + 0.5)) < 0.22 as moves) h) m) n on true),
+ p as (select s.channel, s.hop, s.ema as span, (select max(a.hop) from a where a.channel = s.channel and a.hop <= s.hop) as at from s where s.ema is not null),
+ q as (select p.channel, p.hop, round((p.hop * 100.0 - a.anchor) / p.span, 9) as t, round((p.hop * 100.0 - a.bar) / (p.span * 4), 9) as b from p join a on a.channel = p.channel and a.hop = p.at)
+ select channel, hop, round(t - floor(t), 6) as tempo_phase, round(b - floor(b), 6) as bar_phase, round(floor(round((b - floor(b)) * 4, 6)) / 3.0, 6) as bar_beat from q""")
 def _phase(spark, d):
-    b = beats(spark, d).where("interval_ms is not null")
-    return S.phase(b.select("channel", "hop", (F.col("hop") * 100.0).alias("now_ms"), F.lit(0.0).alias("anchor_ms"),
-                            F.lit(50.0).alias("bar_anchor_ms"), "interval_ms"))
+    """Phases of all hops with a known interval, from anchors that follow the beats."""
+    t = triggers(spark, d)
+    b = cut_lineage(S.detect_beats(t.select("channel", "hop", "trigger"), hop_ms=100.0).where("interval_ms is not null"))
+    found = S.anchors(b.where("beat").join(t.select("channel", "hop", "kick"), ["channel", "hop"]).select("channel", "hop", "interval_ms", "kick"), hop_ms=100.0)
+    at = S.with_anchors(b.select("channel", "hop", (F.col("hop") * 100.0).alias("now_ms"), "interval_ms"), found)
+    return rnd(S.phase(at), "tempo_phase", "bar_phase", "bar_beat").select("channel", "hop", "tempo_phase", "bar_phase", "bar_beat")
 
 
 @check("tap_downbeat_bpm_override", f"""with h as (select channel, hop, hop - min(hop) over (partition by channel) as n from (select distinct channel, hop from {SPEC} q)),

@@ -16,7 +16,7 @@ from rasterloom.suite.checks_a_pixel import HSV, QL, SECTORS, from_hsv, lin, nea
 from rasterloom.suite.checks_b_joins_aggs import LAB, on_frames
 from rasterloom.suite.checks_d_space import SIZE, chans, taps_sql
 from rasterloom.operators import stencil as ST
-from rasterloom.suite.registry import CARRIER, FU, J, L709, L709U, RASTER, U8, U8S, carrier_sql, check, each, raster_sql
+from rasterloom.suite.registry import CARRIER, FU, J, L709, L709U, RASTER, U8, U8S, carrier_sql, check, each, raster_sql, tile_hash_sql
 
 # ---- sources ----------------------------------------------------------------------------
 
@@ -29,15 +29,16 @@ def _routing(spark, d):
         images.select("event_id", F.lit("image").alias("route")))
 
 
-@check("image_file_scan")
+@check("image_file_scan", f"""select clip_id, frame, 8 as width, count(*) as height, cast(sum(total) as bigint) as total from
+ (select clip_id, frame, y, sum(3 * r + a) as total from {RASTER} p group by all) q group by all""")
 def _image_scan(spark, d):
-    """Frames encoded to binary PNM in one pass, then decoded by the image reader."""
-    frames = V.frame_vectors(spark, d)
-    body = F.concat(*[F.concat(F.lit(b"P5 8 8 255\n"), F.unhex(F.array_join(F.transform("q", lambda v: F.lpad(F.hex(v), 2, "0")), "")))])
-    files = frames.select(F.concat_ws("/", F.lit("clip"), "clip_id", "frame").alias("path"), body.alias("content"))
-    rows = MD.image_rows(files)
-    return rows.groupBy("path").agg(F.max("width").alias("width"), F.count("*").alias("height"),
-                                    F.sum(F.aggregate("rgba", F.lit(0), lambda a, v: a + v)).cast("bigint").alias("total"))
+    """Every frame is written as an image file into the shared folder; the files are found, read and decoded."""
+    folder = lineage.work_folder(spark)
+    MD.write_images(V.frame_vectors(spark, d), folder, width=8, height=8)
+    rows = MD.scan_images(spark, folder, glob="*.txt")
+    at = [F.regexp_extract("path", f"/{c}=(\\d+)/", 1).cast("int").alias(c) for c in ("clip_id", "frame")]
+    return rows.groupBy(*at).agg(F.max("width").alias("width"), F.count("*").alias("height"),
+                                 F.sum(F.aggregate("rgba", F.lit(0), lambda a, v: a + v)).cast("bigint").alias("total"))
 
 
 @check("video_gif_frame_scan", """select user_id as clip_id, event_id, epoch_us(ts) as ts_us, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_token from events""")
@@ -277,7 +278,8 @@ def _pairing(spark, d):
     return K.greedy_pairs(s, "o_custkey", "o_orderpriority", "step", 5)
 
 
-@check("metric_pick_per_mode")
+@check("metric_pick_per_mode", """with m as (select o_orderkey % 7 as mode, 'S' || (l_partkey % 40) as step, count(*) > 40 as used from orders join lineitem on l_orderkey = o_orderkey group by all)
+ select mode, step, used, cast(rank as int) as rank from (select *, row_number() over (partition by mode order by used, md5('0:' || step), step) as rank from m) r where rank <= 6""".replace("from orders join lineitem on l_orderkey = o_orderkey", "from lineitem").replace("o_orderkey", "l_orderkey"))
 def _pick(spark, d):
     m = V.chain_steps(spark, d).groupBy(F.pmod("chain_id", F.lit(7)).alias("mode"), "step").agg((F.count("*") > 40).alias("used"))
     return K.pick_fresh(m, ["mode"], "step", 6)
@@ -454,7 +456,7 @@ def _clamp(spark, d):
                                               F.round(F.when(v.isNotNull(), C.clamp(20, 200, v)), 6).alias("nullable"))
 
 
-@check("tile_hash")
+@check("tile_hash", f"select p.*, {tile_hash_sql('x // 2', 'y // 2')} as hash from {RASTER} p")
 def _tile_hash(spark, d):
     from rasterloom.operators.temporal import tile_hash
     return V.raster_px(spark, d).withColumn("hash", tile_hash(F.floor(F.col("x") / 2), F.floor(F.col("y") / 2)))

@@ -50,7 +50,20 @@ def _levels(spark, d):
     return out.withColumn("level", F.round("level", 6))
 
 
-@check("beat_stream")
+_LEVEL = f"""(select cast(user_id % 2 as int) as channel, ts_us // 3600000000 as hop, least(1.0, sqrt(avg(pow((value - 50) / 100.0, 2))) * 1.8) as level
+ from {EV} e group by all having (min(ts_us) // 3600000000 + 1) * 3600000000 <= {_T})"""
+
+
+@check("beat_stream", f"""with recursive o as materialized (select *, level > 0.9 as fires, row_number() over (partition by channel order by hop) as i from {_LEVEL} l),
+ s as (select channel, hop, i, fires as hit, case when fires then hop else -1 end as last, 0.0 as mean, 0.0 as sure from o where i = 1
+ union all select o.channel, o.hop, o.i, n.hit, case when n.hit then o.hop when s.last >= 0 and n.age >= 91 then -1 else s.last end,
+  case when n.hit and s.last >= 0 and n.age * 100.0 < 1600 then n.mean else s.mean end,
+  case when not n.hit then s.sure * pow(0.992, o.hop - s.hop) * case when s.last >= 0 and n.age >= 91 then 0.5 else 1.0 end
+   when s.last >= 0 and n.age * 100.0 < 1600 then greatest(0.0, least(1.0, 1 - abs(n.age * 100.0 - n.mean) / greatest(180.0, n.mean))) else s.sure end
+  from s join o on o.channel = s.channel and o.i = s.i + 1
+  join lateral (select o.hop - s.last as age, o.fires and (s.last < 0 or o.hop - s.last >= 3) as hit,
+   case when s.mean > 0 then s.mean * 0.8 + (o.hop - s.last) * 100.0 * 0.2 else (o.hop - s.last) * 100.0 end as mean) n on true)
+ select channel, hop, hit as beat, round(case when last >= 0 then pow(0.72, hop - last) else 0.0 end, 6) as pulse, round(sure, 6) as confidence from s""")
 def _beats(spark, d):
     """Windowed energies feed the keyed beat state inside one stream per stage."""
     levels = ST.drain(ST.hop_levels(ST.read_events(spark, d), "1 hour", mid=50, scale=100))
@@ -58,4 +71,4 @@ def _beats(spark, d):
     levels.select("channel", F.floor(F.col("start_us") / F.lit(3_600_000_000)).cast("long").alias("hop"),
                   F.col("level").alias("energy"), F.lit(0.9).alias("floor")).write.parquet(f"{folder}/hops")
     hops = spark.readStream.schema("channel int, hop long, energy double, floor double").parquet(f"{folder}/hops")
-    return ST.drain(ST.live_beats(hops, hop_ms=100.0))
+    return ST.drain(ST.live_beats(hops, hop_ms=100.0)).withColumns({c: F.round(c, 6) for c in ("pulse", "confidence")})

@@ -92,3 +92,10 @@ def each(fmt: str) -> tuple[str, str, str]:
 
 def raster_sql(r: str, g: str, b: str, a: str = "a", pre: str = RASTER) -> str:
     return f"select clip_id, frame, x, y, {r} as r, {g} as g, {b} as b, {a} as a from {pre} p"
+
+
+def tile_hash_sql(tx: str, ty: str) -> str:
+    """Hash of a tile position to [0, 1), in whole numbers."""
+    m = f"((cast({tx} as bigint) * 374761393 + cast({ty} as bigint) * 668265263) % 4294967296)"
+    n = f"((xor({m}, {m} >> 13) * 1274126177) % 4294967296)"
+    return f"(xor({n}, {n} >> 16) / 4294967296.0)"
