@@ -303,21 +303,19 @@ def first_seen(df: DataFrame, keys: list[str], value: str, pos: str, skip: DataF
 
 
 def greedy_pairs(scores: DataFrame, key: str, left: str, right: str, rounds: int) -> DataFrame:
-    """Greedy best-score matching inside each key.
+    """Greedy best-score matching inside each key; equal scores go by a digest of the pair.
 
-    In every round each left takes its best free right and each right keeps its
-    best suitor; matched rows leave by anti-join.  Rounds are bounded by the
-    number of lefts, a parameter.
+    A pair is taken in the round in which it is the best free one of both its sides, which gives
+    what taking the best pair of the key again and again would give.  Matched rows leave by
+    anti-join.  The best pair of a key goes in every round, so rounds are bounded by the number of
+    lefts, a parameter.
     """
-    from rasterloom.operators.lineage import cut_lineage
-    rest, out = cut_lineage(scores), None
+    rest, out = cut_lineage(scores.withColumn("_h", F.md5(F.concat_ws(":", left, right)))), None
     for _ in range(rounds):
-        order = F.struct("score", F.xxhash64(left, right).alias("h"))
-        want = rest.groupBy(key, left).agg(F.max_by(F.struct(right, "score"), order).alias("_w"))
-        want = want.select(key, left, f"_w.{right}", "_w.score")
-        won = want.groupBy(key, right).agg(F.max_by(F.struct(left, "score"), order).alias("_w")).select(
-            key, f"_w.{left}", right, "_w.score")
-        won = cut_lineage(won)
+        order = F.struct("score", "_h")
+        by_left = rest.groupBy(key, left).agg(F.max_by(F.struct(right, "score"), order).alias("_w")).select(key, left, f"_w.{right}", "_w.score")
+        by_right = rest.groupBy(key, right).agg(F.max_by(left, order).alias(left))
+        won = cut_lineage(shuffled_join(by_left, by_right, [key, left, right]).select(key, left, right, "score"))
         out = won if out is None else out.unionByName(won)
         rest = cut_lineage(rest.join(won.select(key, left), [key, left], "left_anti").join(
             won.select(key, right), [key, right], "left_anti"))

@@ -269,7 +269,14 @@ def _metric_list(spark, d):
     return K.first_seen(V.table(spark, d, "events"), ["user_id"], "event_type", "event_id", skip)
 
 
-@check("metrictoparameter_pairing")
+@check("metrictoparameter_pairing", """with recursive s as materialized (select *, md5(o_orderpriority || ':' || step) as h from
+  (select o_custkey, o_orderpriority, 'S' || (l_partkey % 40) as step, count(*) * 2 + case when 'S' || (l_partkey % 40) < 'S2' then 1.5e0 else 0e0 end as score
+   from orders join lineitem on l_orderkey = o_orderkey group by o_custkey, o_orderpriority, l_partkey % 40) q),
+ r as (select o_custkey, o_orderpriority, step, score, [o_orderpriority] as ls, [step] as rs from (select *, row_number() over (partition by o_custkey order by score desc, h desc) as rn from s) f where rn = 1
+  union all select o_custkey, o_orderpriority, step, score, list_append(ls, o_orderpriority), list_append(rs, step) from
+   (select s.*, r.ls, r.rs, row_number() over (partition by s.o_custkey order by s.score desc, s.h desc) as rn from r join s on s.o_custkey = r.o_custkey
+    where not list_contains(r.ls, s.o_orderpriority) and not list_contains(r.rs, s.step)) n where rn = 1)
+ select o_custkey, o_orderpriority, step, score from r""")
 def _pairing(spark, d):
     """Order priorities compete for steps inside each customer; every pair seen is a candidate."""
     li = V.chain_steps(spark, d).select(F.col("chain_id").alias("o_orderkey"), "step")
