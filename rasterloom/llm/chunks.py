@@ -7,7 +7,7 @@ so an edit changes the chunks that it touches and leaves the others, wherever th
 A fingerprint is the set of a text's chunk digests, each with its length; how much of one
 text lies in another is the length of the shared chunks over the length of all chunks.
 
-Neighbours in descending id order meet in range buckets of counted size: texts are shuffled
+Neighbours in descending id order meet in range buckets of counted size, a task for each: texts are shuffled
 once, and the first row of each bucket is also sent to the end of the bucket before it, so
 no bucket needs another one and no whole order lies in one task.
 
@@ -133,8 +133,7 @@ def with_next(docs: DataFrame, *, rows: int = BUCKET_ROWS) -> DataFrame:
     here = F.struct(at.alias("b"), F.lit(False).alias("ahead"))
     copies = F.when(leads, F.array(here, F.struct(back.alias("b"), F.lit(True).alias("ahead")))).otherwise(F.array(here))
     spread = d.withColumn("bucket", bucket).select("doc_id", "text", F.inline(copies).alias("bucket", "ahead"))
-    parts = max(1, len(firsts))
-    return spread.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
+    return spread.repartitionById(len(edges) + 2, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), "text")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
