@@ -96,15 +96,16 @@ def cuts(keyed: DataFrame, **options) -> DataFrame:
     ends = (border.select("source", "_earlier").join(taken.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
             .select(F.col("source").alias("_s"), F.coalesce("_cut", "_earlier").alias("_cut")))
     return goals.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("mix_source"), "source_size", "target", "epochs", "_cut")
+        F.col("source").alias("mix_source"), "source_size", "target", F.col("epochs").alias("mix_epochs"), F.col("_cut").alias("mix_cut"))
 
 
 def take(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add source_size, target, copies (how often the mix takes the row) and taken (words)."""
-    within = F.struct("mix_key", "mix_tie") <= F.col("_cut")
-    d = dimension_join(keyed, plan, F.col("source").eqNullSafe(F.col("mix_source")), "left")
-    return (d.withColumn("copies", F.col("epochs") + F.coalesce(within, F.lit(False)).cast("int"))
-            .withColumn("taken", F.col("copies") * F.col("mix_size")).drop("_cut", "mix_source", "epochs"))
+    """Add source_size, target, copies (how often the mix takes the row) and taken (words); columns of these names are replaced."""
+    within = F.struct("mix_key", "mix_tie") <= F.col("mix_cut")
+    own = [c for c in keyed.columns if c.lower() not in ("source_size", "target", "copies", "taken")]
+    d = dimension_join(keyed.select(*[F.col(f"`{c}`") for c in own]), plan, F.col("source").eqNullSafe(F.col("mix_source")), "left")
+    return (d.withColumn("copies", F.col("mix_epochs") + F.coalesce(within, F.lit(False)).cast("int"))
+            .withColumn("taken", F.col("copies") * F.col("mix_size")).drop("mix_cut", "mix_source", "mix_epochs"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
