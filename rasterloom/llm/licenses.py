@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import BROADCAST_ROWS
+
 # Public licence names and the notices and texts that stand for them.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
@@ -128,7 +130,10 @@ def known(spark, notices=NOTICES) -> DataFrame:
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), notices=NOTICES) -> DataFrame:
-    """One row per document, kind of unit and licence found: the kept columns, unit, license, n (units that match)."""
+    """One row per document, kind of unit and licence found: the kept columns, unit, license, n (units that match).
+
+    A kept column of one of the last three names is left out.
+    """
     t, p = F.col("_text"), F.col("_paragraphs")
     table = known(docs.sparkSession, notices)
     found = table.collect()  # some dozens of digests
@@ -140,11 +145,14 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.struct(F.lit("paragraph").alias("unit"), p.alias("digests")),
         F.struct(F.lit("passage").alias("unit"), passages(p, texts).alias("digests")),
         F.struct(F.lit("line").alias("unit"), F.when(t.contains("\n"), digests(F.transform(F.split(t, "\n", -1), plain), reach)).alias("digests")))
-    looked = (docs.select(*keep, F.col(text).alias("_text")).filter("_text is not null")
-              .select(*keep, "_text", F.when(t.rlike(BLANK), digests(paragraphs(t), reach)).alias("_paragraphs"))
-              .select(*keep, F.inline(units)).select(*keep, "unit", F.explode("digests").alias("_digest")))
-    hits = looked.join(F.broadcast(table.select("digest", "license")), F.col("_digest") == F.col("digest"))
-    return hits.groupBy(*keep, "unit", "license").agg(F.count("*").alias("n"))
+    keep = [c for c in keep if c.lower() not in ("unit", "license", "n")]
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(1).alias("_"))
+    looked = (docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")).filter("_text is not null")
+              .select("_row", "_text", F.when(t.rlike(BLANK), digests(paragraphs(t), reach)).alias("_paragraphs"))
+              .select("_row", F.inline(units)).select("_row", "unit", F.explode("digests").alias("_digest")))
+    table = table.select("digest", "license")
+    hits = looked.join(table.hint("broadcast" if len(found) <= BROADCAST_ROWS else "merge"), F.col("_digest") == F.col("digest"))
+    return hits.groupBy("_row", "unit", "license").agg(F.count("*").alias("n")).select(*[F.col("_row")[c].alias(c) for c in keep], "unit", "license", "n")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -468,3 +469,44 @@ def test_a_shift_leaves_most_chunks():
     ends = chunks.boundaries(data)
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(data) and sizes.max() <= chunks.MOST and sizes[:-1].min() >= chunks.LEAST
+
+
+def test_columns_named_like_the_operators_own(spark, odd):
+    """Neither mix nor licence scan trips over them."""
+    clash = odd.withColumns({c: F.lit(7) for c in ("epochs", "copies", "target", "_cut", "taken", "license", "unit", "digest", "digests", "n", "row")})
+    keyed = staged(mixing.with_keys(clash))
+    got = mixing.take(keyed, staged(mixing.cuts(keyed)))
+    plain = staged(mixing.with_keys(odd))
+    want = mixing.take(plain, staged(mixing.cuts(plain)))
+    assert Counter(r.taken for r in got.collect()) == Counter(r.taken for r in want.collect())
+    assert {r.epochs for r in got.select("epochs").collect()} == {7}
+    docs = spark.createDataFrame([(1, dict(licenses.NOTICES)["MIT"] if "MIT" in dict(licenses.NOTICES) else licenses.NOTICES[0][1])], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit(7) for c in ("license", "unit", "digest", "digests", "n")})
+    found = licenses.scan(docs, keep=("doc_id", "license", "unit", "digest", "digests", "n"))
+    assert found.columns == ["doc_id", "digest", "digests", "unit", "license", "n"] and found.count() >= 1
+
+
+def plain_fingerprint(text):
+    """The same chunking byte by byte: the gear hash of the last 32 bytes, cut where its upper bits are zero."""
+    data, ends, start = text.encode(), [], 0
+    while start < len(data):
+        end = min(len(data), start + chunks.MOST)
+        for at in range(start + chunks.LEAST, end + 1):
+            if len(data) - start <= chunks.LEAST:
+                break
+            h = 0
+            for back in range(32):
+                if at - 1 - back >= 0:
+                    h = (h + (int(chunks.GEAR[data[at - 1 - back]]) << back)) % (1 << 64)
+            bits = chunks.STRICT_BITS if at < start + chunks.NORMAL else chunks.LOOSE_BITS
+            if h >> (64 - bits) == 0:
+                end = at
+                break
+        ends.append((start, end))
+        start = end
+    return {xxhash.xxh64_digest(data[a:b]): b - a for a, b in ends}
+
+
+def test_fingerprint_equals_a_plain_loop(documents):
+    for text in [*(t for _, t, _, _ in documents[:12] if t and len(t) < 6000), "", "x", "ab" * 300, "y" * 500, "é🙂" * 40]:
+        assert chunks.fingerprint(text) == plain_fingerprint(text)
