@@ -17,7 +17,8 @@ left.  Every link is verified on whole shingle sets.
 
 With 40 bands of 6, a pair of similarity 0.8 shares no band with probability 6e-6; its sketches
 agree in less than NEAR of the coordinates (three deviations below) with probability 1e-3, and
-less the more similar it is.  exact=True leaves the sketches out and refutes all pairs of a bucket in
+less the more similar it is; in the last round FINER more coordinates of the members that are still
+open narrow that, so few pairs below the wanted similarity are verified.  exact=True leaves the sketches out and refutes all pairs of a bucket in
 different classes, but those that cannot share enough elements; its rows grow with their number.
 
 Equal sets are one node from the start, so copies are never expanded.  Nodes, buckets, links
@@ -46,6 +47,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 STAR = 8  # buckets up to this size begin with one star
 DEVIATIONS = 3  # how far below the wanted similarity sketches may fall
+FINER = 1200  # coordinates more of members that are still open in the last round
 ASKED = (2, 8, 0)  # partners a member of an open bucket asks for in each round, 0 for all
 MOST = 8192  # members of a bucket that are compared in one piece
 GROWTH = 4  # a bucket has one centre in the first round and so many times more in each later one
@@ -246,10 +248,31 @@ def nearest(part: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.nda
     return np.concatenate(none + left), np.concatenate(none + right)
 
 
+def finer(seen: DataFrame, sets: DataFrame, coordinates: int = FINER) -> DataFrame:
+    """Add `more` to the rows (node, ...): bytes of so many coordinates more, of other darts than the bands'."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for elements, weights in zip(batch.column("elements").to_pylist(), batch.column("weights").to_pylist()):
+                x = np.frombuffer(elements, np.uint64)
+                w = np.frombuffer(weights, np.float64) if weights else np.ones(len(x))
+                made.append((signature(mixed(x ^ GOLDEN), w, coordinates) & np.uint64(255)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "more"])
+
+    needed = staged(seen.select(F.col("node").alias("_n")).distinct())
+    own = staged(map_arrow(dimension_join(sets, needed, F.col("node") == F.col("_n"), "left_semi").select("node", "elements", "weights"), run, "node binary, more binary"))
+    return seen.join(own.hint("merge"), "node")
+
+
 def likely(seen: DataFrame, *, least: float, asked: int, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
-    """Pairs (a, b) that may be links, of open buckets: rows (key, band, node, size, part, sketch)."""
-    near = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / (bands * rows)))
-    names = ["key", "band", "node", "size", "part", "sketch"]
+    """Pairs (a, b) that may be links, of open buckets: rows (key, band, node, size, part, sketch) and `more`, if it is there."""
+    def bound(coordinates: int) -> float:
+        return least - DEVIATIONS * float(np.sqrt(least * (1 - least) / coordinates))
+
+    near = bound(bands * rows)
+    if "more" not in seen.columns:
+        seen = seen.withColumn("more", F.lit(None).cast("binary"))
+    names = ["key", "band", "node", "size", "part", "sketch", "more"]
     counts = staged(seen.groupBy("key").count().filter(F.col("count") > most).select(F.col("key").alias("_key"), F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     sides = seen.withColumn("side", F.lit(0)).withColumn("cell", F.lit(0))
     if not counts.isEmpty():  # cells of two blocks each, in which every two members of a bucket meet
@@ -266,12 +289,17 @@ def likely(seen: DataFrame, *, least: float, asked: int, bands: int = BANDS, row
             nodes = [r[2] for r in own]
             i, j = nearest(np.array([r[4] for r in own]), np.array([r[3] for r in own]), np.array([np.frombuffer(r[5], np.uint8) for r in own]),
                            np.array([r[6] for r in own]), own[0][7], rows, near, least, asked)
+            if len(i) and own[0][8] is not None:
+                whole = np.array([np.frombuffer(r[5] + r[8], np.uint8) for r in own])
+                alike = np.concatenate([(whole[i[k:k + 8192]] == whole[j[k:k + 8192]]).mean(1) for k in range(0, len(i), 8192)])
+                close = alike >= bound(whole.shape[1])
+                i, j = i[close], j[close]
             found = {(nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x]) for x, y in zip(i.tolist(), j.tolist())}
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "size", "part", "sketch", "side", "band"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "node", "size", "part", "sketch", "side", "band", "more"))):
                 if held and held[-1][:2] != row[:2]:
                     yield pairs(held)
                     held = []
@@ -280,7 +308,7 @@ def likely(seen: DataFrame, *, least: float, asked: int, bands: int = BANDS, row
             yield pairs(held)
 
     parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sides.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", "size", "part", "sketch", "side", "band")
+    dealt = sides.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").select("key", "cell", "node", "size", "part", "sketch", "side", "band", "more")
     return map_arrow(dealt, run, "a binary, b binary").distinct()
 
 
@@ -348,6 +376,8 @@ def linked(signs: DataFrame, docs: DataFrame, *, least: float = SIMILARITY, text
         seen = dimension_join(rest, of, F.col("node") == F.col("_n"), "left").select("key", "band", "node", "size", F.coalesce("label", "node").alias("part"))
         mixed_up = seen.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo != hi").select("key")
         seen = staged(seen.join(mixed_up.hint("merge"), "key").join(nodes.select("node", "sketch").hint("merge"), "node"))
+        if not asked:
+            seen = staged(finer(seen, sets))
         again = staged(likely(seen, least=least, asked=asked, bands=bands, rows=rows, most=most).join(met_before.hint("merge"), ["a", "b"], "left_anti"))
         forget(seen)
         if again.isEmpty():

@@ -171,6 +171,10 @@ def test_cells_of_two_blocks_meet_all_members(spark):
                                      "key bigint, band int, node binary, size double, part binary, sketch binary")
         got = {(r.a[0], r.b[0]) for r in dartminhash.likely(seen, least=0.8, asked=0, most=most).collect()}
         assert got == ({(i, i + 1) for i in range(0, 60, 2)} if band == 0 else set())  # pairs count in the first band they share
+    more = spark.createDataFrame([(7, 0, bytes([i]), 100.0, bytes([i]), sketch[i].tobytes(), bytes([0 if i % 4 < 2 else i]) * 1200) for i in range(60)],
+                                 "key bigint, band int, node binary, size double, part binary, sketch binary, more binary")
+    got = {(r.a[0], r.b[0]) for r in dartminhash.likely(more, least=0.8, asked=0).collect()}
+    assert got == {(i, i + 1) for i in range(0, 60, 4)}  # the finer coordinates refuse the others
 
 
 def test_signature_agrees_as_weighted_similarity():
