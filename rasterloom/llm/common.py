@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,14 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def kept_by_worker(name: tuple, make):
+    """What `make` gives, made once in a reused Python worker and kept between its tasks (functions come anew with each)."""
+    store = sys.modules.setdefault("rasterloom_kept", ModuleType("rasterloom_kept"))
+    if getattr(store, "name", None) != name:  # one at a time: memory holds the latest
+        store.name, store.value = name, make()
+    return store.value
+
+
 def give_back() -> None:
     """Let a reused Python worker return what a batch needed; where the C library cannot, nothing happens."""
     pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import binary_column, dimension_join, map_arrow, running_total, shared_folder, slices, staged, write_raw
+from rasterloom.llm.common import binary_column, dimension_join, kept_by_worker, map_arrow, running_total, shared_folder, slices, staged, write_raw
 
 LANES, STRIDE, BITS = 2048, 128, 20
 LOW = 31  # states stay in [2 ** LOW, 2 ** (LOW + 32))
@@ -75,8 +75,10 @@ class Tokens:
         self.end = np.array([end], self.kind).tobytes()
         self.other, self.find = re.compile(f"[^{PLAIN}]").search, regex.compile(PIECES).findall
         self.characters = byte_characters()
-        self.known: dict[str, bytes] = {}  # words and pieces; a word of letters is one piece
-        self.held = 0  # bytes of these
+        # words and pieces (a word of letters is one piece): the latest, and those before, of which the used ones move on
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of the latest
 
     def plain(self, text: str) -> bool:
         """Whether all characters are in PLAIN; most texts need no look at each of them."""
@@ -94,7 +96,11 @@ class Tokens:
         """Remember the pieces not met before and the words of several pieces."""
         split = {w: self.find(w) for w in words if not w.isalpha()}
         new, packed = words.difference(split).union(*split.values()).difference(self.known), "H" if self.kind == "<u2" else "I"
+        older = self.older.get
         for piece in new:
+            if (ids := older(piece)) is not None:
+                self.known[piece] = ids
+                continue
             shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.characters)
             self.known[piece] = array(packed, [t.id for t in self.merge(shown)]).tobytes()
         of = self.known.__getitem__
@@ -103,11 +109,14 @@ class Tokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text, the end id included."""
-        if self.held > KEPT_BYTES:
-            self.known, self.held = {}, 0
+        if self.held > KEPT_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         found = [t.lower().split() if self.plain(t) else None for t in (t or "" for t in texts)]
         if new := set().union(*filter(None, found)).difference(self.known):
-            self.add_words(new)
+            again = self.older.keys() & new
+            self.known.update((w, self.older[w]) for w in again)
+            self.held += len(again) * ENTRY_BYTES + 3 * sum(map(len, again))
+            self.add_words(new - again)
         of = self.known.__getitem__
         return [(self.whole(t) if words is None else b"".join(map(of, words))) + self.end for words, t in zip(found, texts)]
 
@@ -125,7 +134,7 @@ def tokenized(docs: DataFrame, model: str, end: int, *, text: str = "text", doc_
     shared = docs.sparkSession.sparkContext.broadcast(Path(model).read_text(encoding="utf-8"))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value, end)
+        tokens = kept_by_worker(("tokens", hash(shared.value), end), lambda: Tokens(shared.value, end))
         size, counts = np.dtype(tokens.kind).itemsize, np.zeros(0, np.int64)
         names = ["doc_id", "n_tokens", "size", "ids", "seen"]
         for batch in batches:
